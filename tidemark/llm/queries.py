@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import packing, token_files
+from tidemark.llm import media, packing, token_files, warc
 from tidemark.llm.common import new_path
 
 
@@ -14,12 +14,26 @@ def op1_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(spark, path)
 
 
+def op3_signature_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "media")
+    media.store_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"), path)
+    return media.read_stored(spark, path)
+
+
+def op7_warc_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "archives")
+    warc.write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
+    return warc.read_archives(spark, path)
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 QUERIES = {
     "op1_token_planes": op1_token_planes,
+    "op3_signature_sniffing": op3_signature_sniffing,
+    "op7_warc_chain": op7_warc_chain,
     "op8_best_fit_packing": op8_best_fit_packing,
 }
 ORACLE_SQL: dict[str, str] = {}
