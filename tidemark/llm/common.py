@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.shipping import ship_package
+
 #: Rows that Spark hands to Python at once: whole texts travel in them.
 ROWS_PER_BATCH = 256
 #: Characters that one vectorised step works on.
@@ -45,6 +47,7 @@ def partitions(spark: SparkSession) -> int:
 
 def map_arrow(df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     bounded_batches(df.sparkSession)
+    ship_package(df.sparkSession)
     return df.mapInArrow(step, schema)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import media, packing, token_files, warc
+from tidemark.llm import media, packing, quality, token_files, toxicity, warc
 from tidemark.llm.common import new_path
 
 
@@ -20,6 +20,10 @@ def op3_signature_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_stored(spark, path)
 
 
+def op4_toxic_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op7_warc_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "archives")
     warc.write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
@@ -30,10 +34,16 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op9_kernel_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES = {
     "op1_token_planes": op1_token_planes,
     "op3_signature_sniffing": op3_signature_sniffing,
+    "op4_toxic_sentences": op4_toxic_sentences,
     "op7_warc_chain": op7_warc_chain,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_kernel_quality": op9_kernel_quality,
 }
 ORACLE_SQL: dict[str, str] = {}
