@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import media, packing, quality, token_files, toxicity, warc
+from tidemark.llm import media, packing, quality, suffixes, token_files, toxicity, warc
 from tidemark.llm.common import new_path
 
 
@@ -38,6 +39,14 @@ def op9_kernel_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op10_bucket_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixes.remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return out.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 QUERIES = {
     "op1_token_planes": op1_token_planes,
     "op3_signature_sniffing": op3_signature_sniffing,
@@ -45,5 +54,6 @@ QUERIES = {
     "op7_warc_chain": op7_warc_chain,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_kernel_quality": op9_kernel_quality,
+    "op10_bucket_refinement": op10_bucket_refinement,
 }
 ORACLE_SQL: dict[str, str] = {}
