@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import media, packing, quality, suffixes, token_files, toxicity, warc
+from tidemark.llm import jaccard, media, packing, quality, suffixes, token_files, toxicity, warc
 from tidemark.llm.common import new_path
 
 
@@ -25,6 +25,10 @@ def op4_toxic_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op6_prefix_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_sets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op7_warc_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "archives")
     warc.write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
@@ -51,6 +55,7 @@ QUERIES = {
     "op1_token_planes": op1_token_planes,
     "op3_signature_sniffing": op3_signature_sniffing,
     "op4_toxic_sentences": op4_toxic_sentences,
+    "op6_prefix_orders": op6_prefix_orders,
     "op7_warc_chain": op7_warc_chain,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_kernel_quality": op9_kernel_quality,
