@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import jaccard, media, packing, quality, suffixes, token_files, toxicity, warc
+from tidemark.llm import jaccard, media, packing, quality, suffixes, token_files, toxicity, vectors, warc
 from tidemark.llm.common import new_path
 
 
@@ -15,6 +15,10 @@ def op1_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(spark, path)
 
 
+def op2_rotation_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op3_signature_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "media")
     media.store_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"), path)
@@ -53,6 +57,7 @@ def op10_bucket_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_planes": op1_token_planes,
+    "op2_rotation_codes": op2_rotation_codes,
     "op3_signature_sniffing": op3_signature_sniffing,
     "op4_toxic_sentences": op4_toxic_sentences,
     "op6_prefix_orders": op6_prefix_orders,
