@@ -5,16 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def hotspots_fan_in(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return edges.groupBy(F.col("l_partkey").alias("path")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "path").limit(10)
+def query(sql: str | None = None):
+    """Registers a function of (spark, sf_dir) under its own name, with the SQL that gives the same rows."""
 
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
 
-QUERIES["hotspots_fan_in"] = hotspots_fan_in
-ORACLE_SQL["hotspots_fan_in"] = "SELECT l_partkey AS path, count(*) AS c FROM lineitem GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10"
+    return add
+
+
+from tidemark.plans import event_queries, graph_queries, join_queries, rank_queries, text_queries  # noqa: E402, F401
