@@ -28,17 +28,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import documents, map_arrow, partitions, stash, text_steps
 from tidemark.llm.grams import BASE, mix, rolling, sliding_min
+from tidemark.llm.repeats import key_filter, may_hold
 
 LENGTH = 200
 #: A q-gram is a quarter of the length, so that two refinements reach the full depth.
 PARTS = 4
-#: Bits of the filter of repeated q-grams (32 MB); a fuller filter only lets more anchors pass.
-FILTER_BITS = 1 << 28
 #: A q-gram is frequent from this many occurrences, or this share of all; so there are at most 50,000 of them.
 FREQUENT, FREQUENT_SHARE = 1_000, 1 / 50_000
 
@@ -114,46 +113,17 @@ def _count_grams(length: int):
     return run
 
 
-def _filter_bits(bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of each block of the filter that this partition's q-grams fall in, its bits."""
-        block = min(bits, 1 << 20)
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            at = batch.column(0).to_numpy().view(np.uint64) & np.uint64(bits - 1)
-            for b in np.unique(at // np.uint64(block)).tolist():
-                own = at[at // np.uint64(block) == b] % np.uint64(block)
-                held.setdefault(b, np.zeros(block, bool))[own.astype(np.int64)] = True
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([np.packbits(x).tobytes() for x in held.values()], pa.binary())], names=["block", "bits"])
-
-    return run
-
-
-def _repeated_filter(shared: DataFrame, count: int) -> np.ndarray:
-    """A bit for each q-gram with several occurrences, at the low bits of its identifier; FILTER_BITS at most."""
-    bits = min(FILTER_BITS, 1 << max(16, (16 * count).bit_length()))
-    block = min(bits, 1 << 20)
-    out = np.zeros(bits // 8, np.uint8)
-    rows = map_arrow(shared.select("gram", F.shiftright(F.col("gram").bitwiseAND(bits - 1), 20).alias("block")).repartition(max(1, bits // block), "block").select("gram"), _filter_bits(bits), "block long, bits binary")
-    for r in rows.toLocalIterator():
-        out[r["block"] * block // 8 : (r["block"] + 1) * block // 8] |= np.frombuffer(r["bits"], np.uint8)
-    return out
-
-
 STRETCHES = "gram long, frequent boolean, text_id string, first int, bytes binary"
 
 
 def _cut_stretches(length: int, bits: np.ndarray, frequent: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = np.uint64(8 * len(bits) - 1)
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for i, j in text_steps(texts):
                 raws, raw, ends = _joined(list(dict.fromkeys(texts[i:j])))
                 gram, first, last = anchors(raw, ends, length)
-                at = gram & size
-                passes = np.flatnonzero((bits[(at >> np.uint64(3)).astype(np.int64)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1)
+                passes = may_hold(bits, gram)
                 gram, first, last = gram[passes].view(np.int64), first[passes], last[passes]
                 of = np.searchsorted(ends, first, "right")
                 names = {k: text_key(raws[k]) for k in np.unique(of).tolist()}
@@ -237,7 +207,7 @@ def repeated_starts(texts: DataFrame, *, length: int = LENGTH) -> DataFrame:
     shared = stash(grams.filter("n > 1"), "repeated-grams")
     count, total = shared.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     often = shared.filter(F.col("n") >= max(FREQUENT, FREQUENT_SHARE * total)).select("gram").toPandas()["gram"].to_numpy(np.int64)  # 50,000 at most
-    cut = stash(map_arrow(texts.select("text"), _cut_stretches(length, _repeated_filter(shared, count), often), STRETCHES), "stretches")
+    cut = stash(map_arrow(texts.select("text"), _cut_stretches(length, key_filter(shared, "gram", count), often), STRETCHES), "stretches")
     together = cut.filter("not frequent").select("gram", "text_id", "first", "bytes").repartition(4 * partitions(spark), "gram").sortWithinPartitions("gram")
     runs = stash(map_arrow(together, _compare(length), RUNS), "runs")
     if not len(often):
