@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import jaccard, media, packing, quality, suffixes, token_files, toxicity, vectors, warc
+from tidemark.llm import jaccard, media, mixing, packing, quality, suffixes, token_files, toxicity, vectors, warc
 from tidemark.llm.common import new_path
 
 
@@ -29,6 +29,52 @@ def op4_toxic_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op5_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
+    return mixing.mix(docs).select("doc_id", "source", "mix.*")
+
+
+OP5_SQL = f"""
+WITH RECURSIVE sizes AS (
+  SELECT doc_id, source, coalesce(source, '') AS key, coalesce(doc_id::VARCHAR, '') AS id,
+         ceil(strlen(coalesce(text, '')) / {mixing.TOKEN_BYTES}.0)::BIGINT AS tokens
+  FROM documents
+), totals AS (
+  SELECT key, sum(tokens)::BIGINT AS total, ceil(count(*) / {mixing.BLOCK_DOCUMENTS}.0)::BIGINT AS blocks
+  FROM sizes GROUP BY key HAVING sum(tokens) > 0
+), most AS (
+  SELECT max(total) AS most, min(total) AS least FROM totals
+), bisect(low, high) AS (
+  SELECT 0::BIGINT, {mixing.GRID}::BIGINT
+  UNION ALL
+  SELECT CASE WHEN met THEN low ELSE mid + 1 END, CASE WHEN met THEN mid ELSE high END
+  FROM (SELECT low, high, (low + high) // 2 AS mid, pow(least / most, ((low + high) // 2) / {mixing.GRID}.0 - 1) <= {mixing.MAX_REPEATS} AS met
+        FROM bisect, most WHERE low < high)
+), quotas AS (
+  SELECT key, total, blocks, floor(most * pow(total / most, a))::BIGINT AS quota
+  FROM totals, most, (SELECT max(low) / {mixing.GRID}.0 AS a FROM bisect)
+), placed AS (
+  SELECT doc_id, source, key, id, tokens, quota, total, quota // total AS epochs,
+         ('0x' || substr(md5('{mixing.SEED}/' || key || '/' || id), 1, 12))::BIGINT % blocks AS block
+  FROM sizes JOIN quotas USING (key)
+), sized AS (
+  SELECT key, block, quota, total, epochs, sum(tokens)::BIGINT AS size FROM placed GROUP BY ALL
+), passed AS (
+  SELECT *, (sum(size) OVER (PARTITION BY key, epoch ORDER BY md5('{mixing.SEED}/' || key || '/' || epoch || '/' || block), block) - size)::BIGINT AS ahead
+  FROM (SELECT *, unnest(range(epochs + 1)) AS epoch FROM sized)
+), taken AS (
+  SELECT key, block, epoch, epoch * total + ahead AS before, size,
+         CASE WHEN epoch < epochs THEN total ELSE quota - epochs * total END - ahead AS rest
+  FROM passed
+)
+SELECT doc_id, source, tokens, epoch::INTEGER AS epoch, block, before, quota FROM (
+  SELECT p.doc_id, p.source, p.tokens, t.epoch, p.block, t.before, p.quota, t.rest, t.size,
+         sum(p.tokens) OVER (PARTITION BY p.key, p.block, t.epoch ORDER BY md5('{mixing.SEED}/' || p.key || '/' || t.epoch || '/' || p.id), p.id) AS until
+  FROM placed p JOIN taken t USING (key, block) WHERE t.rest > 0
+) WHERE rest >= size OR until <= rest
+"""
+
+
 def op6_prefix_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_sets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -60,10 +106,11 @@ QUERIES = {
     "op2_rotation_codes": op2_rotation_codes,
     "op3_signature_sniffing": op3_signature_sniffing,
     "op4_toxic_sentences": op4_toxic_sentences,
+    "op5_temperature_mixing": op5_temperature_mixing,
     "op6_prefix_orders": op6_prefix_orders,
     "op7_warc_chain": op7_warc_chain,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_kernel_quality": op9_kernel_quality,
     "op10_bucket_refinement": op10_bucket_refinement,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_temperature_mixing": OP5_SQL}

@@ -14,7 +14,8 @@ same wherever the string occurs. First, anchors are counted by their q-gram; tho
 occurrence end the matter for all strings anchored there. Second, the stretches of text
 around the other anchors are dealt out by q-gram, and in each bucket the suffixes that
 share the anchor are refined to `length` bytes. A q-gram with very many occurrences
-is dealt out by the refined identifiers themselves instead.
+is dealt out by the refined identifiers themselves instead, each once for every task that
+has met it.
 
 Copies of a whole text count as one text while suffixes are compared; a text that has a
 copy is covered by it altogether.
@@ -39,7 +40,7 @@ LENGTH = 200
 #: A q-gram is a quarter of the length, so that two refinements reach the full depth.
 PARTS = 4
 #: A q-gram is frequent from this many occurrences, or this share of all; so there are at most 50,000 of them.
-FREQUENT, FREQUENT_SHARE = 1_000, 1 / 50_000
+FREQUENT, FREQUENT_SHARE = 250, 1 / 50_000
 
 
 def anchors(raw: np.ndarray, ends: list[int], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -187,15 +188,32 @@ def _compare(length: int, rows_at_once: int = 20_000):
     return run
 
 
-def _spell_out(length: int):
+SPELT = "text_id string, first int, last int, id long"
+
+
+def _spell_out(length: int, rows_at_once: int = 20_000):
+    """Of a frequent q-gram's stretches: runs of suffixes that repeat among the rows at hand (id null), and one row for each distinct suffix there."""
+
+    def flush(held: dict[tuple, bytes]) -> Iterator[pa.RecordBatch]:
+        names, first = [k[0] for k in held], np.array([k[1] for k in held])
+        ids, counts = _refined(list(held.values()), length)
+        _, one, which, n = np.unique(ids, return_index=True, return_inverse=True, return_counts=True)
+        known = _runs(names, first, counts, n[which] > 1)
+        yield pa.RecordBatch.from_arrays([*known.columns, pa.nulls(known.num_rows, pa.int64())], names=["text_id", "first", "last", "id"])
+        row = np.repeat(np.arange(len(counts)), counts)
+        at = pa.array((first[row] + np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts))[one].astype(np.int32))
+        yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in row[one].tolist()], pa.string()), at, at, pa.array(ids[one].view(np.int64))], names=["text_id", "first", "last", "id"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, bytes] = {}
         for batch in batches:
-            names, first, blobs = (c.to_pylist() for c in batch.columns)
-            if blobs:
-                ids, counts = _refined(blobs, length)
-                row = np.repeat(np.arange(len(counts)), counts)
-                at = np.array(first)[row] + np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-                yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in row.tolist()], pa.string()), pa.array(at.astype(np.int32)), pa.array(ids.view(np.int64))], names=["text_id", "first", "id"])
+            for name, first, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held[name, first] = blob
+            if len(held) >= rows_at_once:
+                yield from flush(held)
+                held = {}
+        if held:
+            yield from flush(held)
 
     return run
 
@@ -212,9 +230,11 @@ def repeated_starts(texts: DataFrame, *, length: int = LENGTH) -> DataFrame:
     runs = stash(map_arrow(together, _compare(length), RUNS), "runs")
     if not len(often):
         return runs
-    spelt = stash(map_arrow(cut.filter("frequent").select("text_id", "first", "bytes"), _spell_out(length), "text_id string, first int, id long").distinct(), "frequent-suffixes")
-    many = stash(spelt.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1"), "frequent-buckets").select("id")
-    return runs.unionByName(spelt.join(many, "id").select("text_id", "first", F.col("first").alias("last")))
+    spelt = stash(map_arrow(cut.filter("frequent").select("text_id", "first", "bytes"), _spell_out(length), SPELT), "frequent-suffixes")
+    own = spelt.filter("id is not null").select("text_id", "first", "id").distinct()
+    many = stash(own.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1"), "frequent-buckets").select("id")
+    known = spelt.filter("id is null").select("text_id", "first", "last")
+    return runs.unionByName(known).unionByName(own.join(many, "id").select("text_id", "first", F.col("first").alias("last")))
 
 
 RESULT = "doc_id long, n_bytes long, spans array<struct<start: int, end: int>>, kept binary"
