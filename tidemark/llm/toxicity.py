@@ -2,10 +2,12 @@
 
 A document is a bag of sentences and only the bag has a label. A sentence's
 probability is logistic in hashed words and word beginnings; the bag's is their
-noisy-or, 1 - prod(1 - p). Training maximises the likelihood of the bags' labels by
-rounds: every partition takes Adam steps on its own bags, starting from the common
-weights, and the partitions' weights are averaged by their numbers of bags. Afterwards
-the sentence probabilities tell which sentences offend.
+noisy-or, 1 - prod(1 - p). Only the bias may be negative: words give evidence of
+toxicity or none, so that long sentences of clean words don't outweigh an offending one.
+Training maximises the likelihood of the bags' labels by rounds: every partition takes
+Adam steps on its own bags, starting from the common weights, and the partitions'
+weights are averaged by their numbers of bags. Afterwards the sentence probabilities
+tell which sentences offend.
 """
 
 from __future__ import annotations
@@ -25,8 +27,11 @@ from tidemark.llm.common import documents, map_arrow, stash
 TRAINING_DOCUMENTS = 12_000
 SIZE = 1 << 18
 STARTS = (4, 5)
-ROUNDS, STEPS, PARTS = 4, 12, 6
-RATE, SHRINK = 0.25, 2e-5
+ROUNDS, STEPS = 4, 12
+#: Bags to a partition of the training.
+PART_BAGS = 2_000
+#: Step size, and the pull of every word's weight towards zero, in bags.
+RATE, SHRINK = 0.3, 0.2
 #: A clean sentence's log-odds before training: bags have tens of sentences, a tenth of them are toxic.
 START_BIAS = -5.0
 WORDS_KEPT = 400_000
@@ -87,10 +92,11 @@ def _train_part(weights: bytes, round_no: int):
         labels = np.array([r["label"] for r in rows])
         m, v = np.zeros_like(w), np.zeros_like(w)
         for t in range(1, STEPS + 1):
-            g = noisy_or_gradient(w, feats, sentence_of, bag_of, labels) - SHRINK * w
-            g[-1] += SHRINK * w[-1]
+            g = noisy_or_gradient(w, feats, sentence_of, bag_of, labels)
+            g[:-1] -= SHRINK / len(rows)
             m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
             w += RATE / (1 + round_no) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
+            np.maximum(w[:-1], 0, out=w[:-1])
         step = 1 << 14
         starts = range(0, len(w), step)
         yield pa.RecordBatch.from_arrays([pa.array(list(starts), pa.int64()), pa.array([len(rows)] * len(starts), pa.int64()), pa.array([w[i : i + step].tobytes() for i in starts], pa.binary())], names=["start", "bags", "w"])
@@ -114,11 +120,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, label_col: str, training_document
     share = training_documents / max(1, known.count())
     picked = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1e6 * min(1, share)))
     rows = docs.join(F.broadcast(picked), "doc_id").select("label", "text")  # bounded by training_documents
-    bags = stash(map_arrow(rows, _bags, BAG).repartition(PARTS), "bags")
+    bags = stash(map_arrow(rows, _bags, BAG), "bags")
+    parts_wanted = max(1, -(-bags.count() // PART_BAGS))
     w = np.zeros(SIZE + 1)
     w[-1] = START_BIAS
     for k in range(ROUNDS):
-        parts = map_arrow(bags.repartition(PARTS), _train_part(w.tobytes(), k), "start long, bags long, w binary")
+        parts = map_arrow(bags.repartition(parts_wanted), _train_part(w.tobytes(), k), "start long, bags long, w binary")
         for r in parts.groupBy("start").applyInArrow(_average, "start long, bags long, w binary").collect():  # the weights: 2 MB
             w[r["start"] : r["start"] + len(r["w"]) // 8] = np.frombuffer(r["w"], "<f8")
     return w
