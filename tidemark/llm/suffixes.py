@@ -32,7 +32,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import documents, map_arrow, partitions, stash, text_steps
+from tidemark.llm.common import map_arrow, partitions, stash, text_steps
 from tidemark.llm.grams import BASE, mix, rolling, sliding_min
 from tidemark.llm.repeats import key_filter, may_hold
 
@@ -240,12 +240,21 @@ def repeated_starts(texts: DataFrame, *, length: int = LENGTH) -> DataFrame:
 RESULT = "doc_id long, n_bytes long, spans array<struct<start: int, end: int>>, kept binary"
 
 
-def _remove(length: int):
+def _whole_characters(raw: bytes, a: int, b: int) -> tuple[int, int]:
+    """A span without the characters that it covers in part."""
+    while a < b and raw[a] & 0xC0 == 0x80:
+        a += 1
+    while b > a and b < len(raw) and raw[b] & 0xC0 == 0x80:
+        b -= 1
+    return a, b
+
+
+def _remove(length: int, as_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
             sizes, spans, kept = [], [], []
-            for text, copied, runs in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+            for text, copied, runs in zip(*(c.to_pylist() for c in batch.columns[1:4]), strict=True):
                 raw = (text or "").encode()
                 merged: list[list[int]] = [[0, len(raw)]] if copied and len(raw) >= length else []
                 for r in sorted(runs or [], key=lambda r: r["first"]):
@@ -253,24 +262,34 @@ def _remove(length: int):
                         merged[-1][1] = max(merged[-1][1], r["last"] + length)
                     else:
                         merged.append([r["first"], r["last"] + length])
+                if as_text:
+                    merged = [list(_whole_characters(raw, a, b)) for a, b in merged]
                 edges = [0, *(x for s in merged for x in s), len(raw)]
                 sizes.append(len(raw))
                 spans.append([{"start": a, "end": b} for a, b in merged])
                 kept.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
+            more = batch.columns[4:]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary()), *more], names=["doc_id", "n_bytes", "spans", "kept", "carried"][: 4 + len(more)]
+            )
 
     return run
 
 
-def remove_repeats(docs: DataFrame, *, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, *, length: int = LENGTH, as_text: bool = False, carry: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Removes each byte covered by a string of `length` bytes that also starts at another place, in any document.
 
     Returns per document doc_id, n_bytes, spans (maximal removed runs, in bytes) and kept
-    (the remaining UTF-8 bytes joined). Strings are judged on the input. Null texts are
-    empty; texts shorter than `length` stay whole. Rows with equal texts are copies of each
-    other, whatever their ids. length is a multiple of four. Other columns are not read.
+    (the remaining UTF-8 bytes joined; a string with as_text, where characters that a run
+    covers in part stay). Strings are judged on the input. Null texts are empty; texts
+    shorter than `length` stay whole. Rows with equal texts are copies of each other,
+    whatever their ids, which may be null. length is a multiple of four. carry names
+    columns to return in a struct named carried; other columns are not read. An empty
+    table gives no rows.
     """
-    docs = documents(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
+    row = [F.struct(*(F.col(f"`{c}`") for c in carry)).alias("carried")] if carry else []
+    wide = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *row)
+    docs = wide.select("doc_id", "text")
     named = stash(docs.select("doc_id", F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 32).alias("text_id")), "text-ids")
     copied = stash(named.groupBy("text_id").agg(F.count("*").alias("n")).filter("n > 1"), "copied-texts").select("text_id", F.lit(True).alias("copied"))
     marked = stash(named.join(copied, "text_id", "left").select("doc_id", "text_id", F.coalesce("copied", F.lit(False)).alias("copied")), "marked-texts")
@@ -278,5 +297,8 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, id_col: str = "doc_
     single = marked.filter("not copied").join(runs, "text_id").select("doc_id", "text_id", "copied", "runs")
     decided = stash(single.unionByName(marked.filter("copied").distinct().withColumn("runs", F.lit(None).cast("array<struct<first: int, last: int>>"))), "removals")
     own_key = F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 32)
-    ready = docs.withColumn("text_id", own_key).join(decided, ["doc_id", "text_id"], "left").select("doc_id", "text", "copied", "runs")
-    return map_arrow(ready, _remove(length), RESULT)
+    found = decided.withColumnsRenamed({"doc_id": "found_id", "text_id": "found_text"})
+    ready = wide.withColumn("text_id", own_key).join(found, F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.col("text_id") == F.col("found_text")), "left")
+    more = f", carried {ready.schema['carried'].dataType.simpleString()}" if carry else ""
+    out = map_arrow(ready.select("doc_id", "text", "copied", "runs", *(["carried"] if carry else [])), _remove(length, as_text), RESULT + more)
+    return out.withColumn("kept", F.decode("kept", "UTF-8")) if as_text else out
