@@ -38,9 +38,10 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def suffix_array(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that occur elsewhere are cut out of the texts, whole characters only; n_chars follows."""
-    out = suffixes.remove_repeats(docs, carry=[c for c in docs.columns if c not in ("doc_id", "text")], as_text=True)
-    out = out.withColumnRenamed("kept", "text")
-    return (out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out).select(*docs.columns)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    out = suffixes.remove_repeats(docs, carry=others, as_text=True)
+    now = {"doc_id": F.col("doc_id"), "text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    return out.select(*(now.get(c, F.col(f"carried.`{c}`")).alias(c) for c in docs.columns))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
