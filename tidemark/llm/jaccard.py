@@ -7,7 +7,9 @@ documents) and differ in how equally frequent tokens follow each other. Candidat
 from common tokens under the first order; they must also have common tokens under each
 further order; only what all filters leave is verified on the whole sets.
 
-Documents with equal sets are one node. Tokens that only one document has in front are
+Documents with equal sets are one node. Whole sets are made anew for the candidates
+only; a short profile of each set (token counts by hash bucket) bounds the overlap of a
+pair from above and lets most unlike pairs go before that. Tokens that only one document has in front are
 dropped early: a first pass counts the front tokens, a bounded bit filter tells a second
 pass which are shared. In each bucket of a shared token all nodes are first compared with
 one of them; the links found join nodes to components. Then the remaining pairs of a
@@ -134,7 +136,30 @@ def _count_front(words: int, rarity: np.ndarray, percent: int):
     return run
 
 
-NODES = "doc_id long, node long, tokens array<long>, hashes binary"
+def profile(hashes: np.ndarray) -> bytes:
+    """How many tokens of a set fall to each of about n / 6 hash buckets: the overlap of two sets is at most that of their counts."""
+    buckets = 1 << max(4, (len(hashes) // 4).bit_length() - 1)
+    return np.bincount((hashes & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets).astype("<i4").tobytes()
+
+
+def most_overlap(a: bytes, b: bytes) -> int:
+    """The larger profile is folded to the buckets of the smaller."""
+    x, y = np.frombuffer(a, "<i4"), np.frombuffer(b, "<i4")
+    size = min(len(x), len(y))
+    return int(np.minimum(x.reshape(-1, size).sum(0), y.reshape(-1, size).sum(0)).sum())
+
+
+def _may_link(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, n, m, p, q = (c.to_pylist() for c in batch.columns)
+            near = [100 * (o := most_overlap(*x)) >= percent * (k - o) for k, x in zip(map(int.__add__, n, m), zip(p, q, strict=True), strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(near, pa.bool_()))
+
+    return run
+
+
+NODES = "doc_id long, node long, tokens array<long>, profile binary"
 
 
 def _shared_front(words: int, rarity: np.ndarray, percent: int, bits: np.ndarray):
@@ -147,9 +172,27 @@ def _shared_front(words: int, rarity: np.ndarray, percent: int, bits: np.ndarray
                     tokens = front(s, rarity, ORDERS[0], percent)
                     tokens = tokens[may_hold(bits, tokens)]
                     if len(tokens):
-                        rows.append((doc_id, node_of(s), tokens.view(np.int64), s.tobytes()))
+                        rows.append((doc_id, node_of(s), tokens.view(np.int64), profile(s)))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()), strict=True)], names=["doc_id", "node", "tokens", "hashes"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()), strict=True)], names=["doc_id", "node", "tokens", "profile"])
+
+    return run
+
+
+SETS = "doc_id long, node long, hashes binary"
+
+
+def _sets_of(words: int, bits: np.ndarray):
+    """The whole sets of documents whose id may be among those that the filter holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(batch.column(0).is_valid())
+            batch = batch.filter(pa.array(may_hold(bits, batch.column(0).to_numpy().view(np.uint64))))
+            ids, texts = (c.to_pylist() for c in batch.columns)
+            for i, j in text_steps(texts):
+                sets = shingle_sets(texts[i:j], words)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j], pa.int64()), pa.array([node_of(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["doc_id", "node", "hashes"])
 
     return run
 
@@ -176,7 +219,8 @@ def similar_sets(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT,
     Returns per document doc_id, n_shingles and component_id, the smallest doc_id that
     links reach. With fewer words than a shingle the whole sequence is the only one; null
     texts and texts without words have none and link with nothing. Rows that repeat a
-    doc_id are treated as documents each. Other columns are not read.
+    doc_id are treated as documents each; those without one link with nothing but equal
+    sets. Other columns are not read.
     """
     docs = documents(docs, id_col, text_col)
     surveyed = stash(map_arrow(docs, _survey(words), SURVEYED), "shingle-survey")
@@ -192,7 +236,14 @@ def similar_sets(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT,
     buckets = stash(held.select("doc_id", "node", "tokens").join(first, ["node", "doc_id"]).select("node", "n", F.explode("tokens").alias("token")).distinct(), "token-buckets")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        sets = held.select("node", "doc_id", "hashes").join(first.select("node", "doc_id"), ["node", "doc_id"]).select("node", "hashes")
+        profiles = held.join(first, ["node", "doc_id"]).select("node", "n", "profile")
+        with_one = pairs.join(profiles.toDF("a", "n", "p"), "a")
+        with_both = with_one.join(profiles.toDF("b", "m", "q"), "b").select("a", "b", "n", "m", "p", "q")
+        pairs = stash(map_arrow(with_both, _may_link(percent), "a long, b long"), "close-pairs")
+        # Whole sets are made anew, for the candidates only.
+        wanted = stash(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(first.select("node", "doc_id"), "node"), "candidates")
+        ids = key_filter(wanted, "doc_id", wanted.count())
+        sets = stash(map_arrow(docs, _sets_of(words, ids), SETS).join(wanted, ["node", "doc_id"]).select("node", "hashes"), "candidate-sets")
         left = pairs.join(sets.withColumnsRenamed({"node": "a", "hashes": "s"}), "a")
         both = left.join(sets.withColumnsRenamed({"node": "b", "hashes": "t"}), "b").select("a", "b", "s", "t")
         return map_arrow(both, _verify(rarity, percent), "a long, b long")
@@ -208,7 +259,8 @@ def similar_sets(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT,
     open_rows = stash(placed.join(mixed, "token"), "open-rows")
     other = open_rows.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("part").alias("other"))
     across = open_rows.join(other, "token").filter(close & (F.col("node") < F.col("b")) & (F.col("part") != F.col("other"))).select(F.col("node").alias("a"), "b").distinct()
-    links = links.unionByName(stash(verified(across.join(tried, ["a", "b"], "left_anti")), "links"))
+    untried = stash(across.join(tried, ["a", "b"], "left_anti"), "pairs-across")
+    links = links.unionByName(stash(verified(untried), "links"))
 
     roots = stash(connected_components(links), "roots")
     labels = stash(first.join(roots, "node").groupBy("root").agg(F.min("doc_id").alias("component_id")), "labels")
