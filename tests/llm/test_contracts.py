@@ -68,7 +68,7 @@ def held_out(spark, name, column, threshold):
 def test_op4(spark):
     got, labels, scores = held_out(spark, "op4_toxic_sentences", "toxic", 0.5)
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got)
-    assert brute.auc(labels, scores) >= 0.9
+    assert brute.auc(labels, scores) >= 0.95
 
 
 def test_op5(spark):
@@ -123,7 +123,7 @@ def test_op8(spark, texts):
 def test_op9(spark):
     got, labels, scores = held_out(spark, "op9_kernel_quality", "quality", 0.7)
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in got)
-    assert brute.auc(labels, scores) >= 0.9
+    assert brute.auc(labels, scores) >= 0.95
     clean = [s for s, y in zip(scores, labels, strict=True) if y == 1]
     assert sum(s >= 0.7 for s in clean) >= 0.97 * len(clean)
 
