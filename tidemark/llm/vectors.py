@@ -3,15 +3,17 @@
 A unit vector is turned by a random rotation and coded by the signs of its coordinates,
 with one correction factor, the inner product of the code and the turned vector. For
 another turned vector q, <code, q> / factor estimates the inner product without bias, and
-its error stays within a few times sqrt((1 - factor^2) / factor^2 / (d - 1)). Pairs whose
-upper bound misses the threshold are settled by the codes; all others are recomputed
-exactly in double precision.
-
-Sign bits also deal vectors into buckets of several tables, so that not all pairs are
-met; the number of tables follows from the wanted recall at the threshold. In a bucket,
-every vector first proposes its best-estimated partner. Confirmed links form components,
-and a bucket whose vectors lie in several components then proposes every remaining pair
-across them. Links are counted last, by exact products of blocks inside each component.
+its error stays within a few times sqrt((1 - factor^2) / factor^2 / (d - 1)).
+
+A first pass only gathers components early: sign bits deal vectors into buckets of several
+tables, every vector proposes the best-estimated partner of its bucket, and proposals are
+recomputed exactly in double precision. What it misses is left to the second pass, which
+compares the codes of all vectors of a length with each other, block by block. There a pair
+across components is settled only by a bound that always holds: the angle between two
+vectors is at least that between the one's code and the other less that between the one and
+its own code, with what rounding moved added to the slack; the rounded coordinates give a
+second such bound. All pairs left are recomputed exactly. Links are counted last, by exact
+products of blocks inside each component.
 """
 
 from __future__ import annotations
@@ -29,10 +31,12 @@ from tidemark.llm.common import map_arrow, partitions, stash
 from tidemark.llm.components import connected_components
 
 THRESHOLD = 0.95
-#: Expected share of pairs at the threshold that meet in a bucket; pairs in one component are found anyway.
+#: Expected share of pairs at the threshold that meet in a bucket of the first pass; the second pass meets all pairs.
 RECALL = 0.995
 #: Vectors to a bucket on average, and to a block of a bucket or component.
 BUCKET, BLOCK = 64, 2048
+#: Vectors to a cut of the second pass, at most, and cuts that a smaller table is dealt to; rows compared at once.
+CUT, CUTS, TILE = 32_768, 12, 512
 #: Standard deviations of the estimate's error that a bound allows for.
 DEVIATIONS = 4.0
 SEED = 11
@@ -73,7 +77,7 @@ def tables_for(count: int, threshold: float, recall: float) -> tuple[int, int]:
     return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - meet)))
 
 
-CODES = "node long, buckets array<long>, signs binary, factor double, scale double, levels binary"
+CODES = "node long, buckets array<long>, signs binary, factor double, scale double, levels binary, error double"
 
 
 def _code(bits: int, tables: int):
@@ -91,9 +95,10 @@ def _code(bits: int, tables: int):
                 scale = np.abs(turned).max() / 127
                 # randomised rounding keeps the estimate free of bias
                 levels = np.floor(turned / scale + np.random.default_rng((SEED, node & (1 << 63) - 1)).random(dim)).clip(-128, 127).astype(np.int8)
-                rows.append((node, buckets, np.packbits(turned > 0).tobytes(), float(code @ turned), float(scale), levels.tobytes()))
-            kinds = (pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.float64(), pa.float64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["node", "buckets", "signs", "factor", "scale", "levels"])
+                error = float(np.linalg.norm(turned - levels * scale))
+                rows.append((node, buckets, np.packbits(turned > 0).tobytes(), float(code @ turned), float(scale), levels.tobytes(), error))
+            kinds = (pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.float64(), pa.float64(), pa.binary(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["node", "buckets", "signs", "factor", "scale", "levels", "error"])
 
     return run
 
@@ -108,45 +113,105 @@ def upper_bounds(signs: list[bytes], factor: np.ndarray, scale: np.ndarray, leve
     return estimate, estimate + slack[:, None]
 
 
-def _propose(threshold: float, across: bool):
-    """Rows come sorted by block; across: all pairs between components, else each vector's best partner."""
+def _propose(threshold: float):
+    """Rows come sorted by block; each vector's best partner."""
 
     def of_block(rows: list[tuple]) -> np.ndarray:
-        part = np.array([r[2] for r in rows])
-        if len(rows) < 2 or (part == part[0]).all():
+        if len(rows) < 2:
             return np.zeros((0, 2), np.int64)
-        factor, scale = (np.array([r[i] for r in rows]) for i in (4, 5))
-        estimate, upper = upper_bounds([r[3] for r in rows], factor, scale, [r[6] for r in rows])
-        near = (upper >= threshold) & (upper.T >= threshold) & (part[:, None] != part)
+        factor, scale = (np.array([r[i] for r in rows]) for i in (3, 4))
+        estimate, upper = upper_bounds([r[2] for r in rows], factor, scale, [r[5] for r in rows])
+        near = (upper >= threshold) & (upper.T >= threshold)
+        np.fill_diagonal(near, False)
         node = np.array([r[1] for r in rows])
-        if across:
-            a, b = np.nonzero(np.triu(near, 1))
-        else:
-            a = np.flatnonzero(near.any(1))
-            b = np.where(near, estimate, -np.inf)[a].argmax(1)
+        a = np.flatnonzero(near.any(1))
+        b = np.where(near, estimate, -np.inf)[a].argmax(1)
         return np.stack([node[a], node[b]], 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emit(rows: list[tuple]) -> pa.RecordBatch:
-            found = np.sort(of_block(rows), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+        for rows in _blocks_of(batches):
+            yield _as_pairs(of_block(rows))
 
-        held: list[tuple] = []
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and row[0] != held[-1][0]:
-                    yield emit(held)
-                    held = []
-                held.append(row)
-        if held:
-            yield emit(held)
+    return run
+
+
+def _blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """The rows of each block, from rows sorted by block in the first column."""
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held and row[0] != held[-1][0]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def _as_pairs(found: np.ndarray) -> pa.RecordBatch:
+    found = np.sort(found, axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+
+
+def pairs_across(left: list[tuple], right: list[tuple] | None, threshold: float) -> Iterator[np.ndarray]:
+    """Nodes of all pairs of different parts that bounds don't rule out, of (node, part, signs, factor, scale, levels, error); right None: pairs within left."""
+    theta = math.acos(min(1.0, max(-1.0, threshold)))
+
+    def columns(rows: list[tuple]):
+        node, part = (np.array([r[i] for r in rows], np.int64) for i in (0, 1))
+        factor, scale, error = (np.array([r[i] for r in rows]) for i in (3, 4, 6))
+        levels = np.frombuffer(b"".join(r[5] for r in rows), np.int8).reshape(len(rows), -1)
+        return node, part, factor, scale, error, levels
+
+    node, part, factor, scale, error, levels = columns(left)
+    node_r, part_r, _, scale_r, error_r, levels_r = columns(left if right is None else right)
+    dim = levels.shape[1]
+    code = np.unpackbits(np.frombuffer(b"".join(r[2] for r in left), np.uint8).reshape(len(left), -1), axis=1, count=dim) * np.float32(2) - 1
+    code = np.column_stack([code, np.ones(len(left), np.float32)])
+    # the last column adds what rounding may have taken from the product
+    turned = np.column_stack([levels_r * (scale_r / math.sqrt(dim))[:, None], error_r]).astype(np.float32)
+    rounding = (dim + 2) * 2.0**-23
+    least = np.cos(np.minimum(math.pi, np.arccos(np.clip(factor, -1, 1)) + theta)) - rounding
+    least = least.astype(np.float32) - np.float32(2.0**-23)
+    for i in range(0, len(left), TILE):
+        # within one cut, a tile meets only what stands after its first row
+        first = i if right is None else 0
+        near = code[i : i + TILE] @ turned[first:].T >= least[i : i + TILE, None]
+        if 100 * np.count_nonzero(near) > near.size:
+            near &= part[i : i + TILE, None] != part_r[first:]
+        a, b = np.nonzero(near)
+        a, b = a + i, b + first
+        chosen = part[a] != part_r[b]
+        if right is None:
+            chosen &= a < b
+        a, b = a[chosen], b[chosen]
+        for k in range(0, len(a), 1 << 16):
+            p, q = a[k : k + (1 << 16)], b[k : k + (1 << 16)]
+            product = np.einsum("ij,ij->i", levels[p].astype(float), levels_r[q].astype(float)) * scale[p] * scale_r[q]
+            upper = product + error[p] + error_r[q] + error[p] * error_r[q] + rounding
+            left_over = upper >= threshold
+            if left_over.any():
+                yield np.stack([node[p[left_over]], node_r[q[left_over]]], 1)
+
+
+def _all_across(threshold: float):
+    """Rows come sorted by block: (block, low, high, cut, then what pairs_across takes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _blocks_of(batches):
+            low, high = rows[0][1:3]
+            left = [r[4:] for r in rows if r[3] == low]
+            right = None if low == high else [r[4:] for r in rows if r[3] == high]
+            if left and (right is None or right):
+                for found in pairs_across(left, right, threshold):
+                    yield _as_pairs(found)
 
     return run
 
 
-def _in_blocks(rows: DataFrame, key: str) -> DataFrame:
-    """Adds column block: rows of a key that has up to BLOCK rows are one block; larger keys are cut, and every two cuts meet in a block."""
-    cuts = stash(rows.groupBy(key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("cuts")).filter("cuts > 1"), "large-keys")
+def _in_blocks(rows: DataFrame, key: str, size: int = BLOCK) -> DataFrame:
+    """Adds column block: rows of a key that has up to size rows are one block; larger keys are cut, and every two cuts meet in a block."""
+    cuts = stash(rows.groupBy(key).agg(F.ceil(F.count("*") / size).cast("int").alias("cuts")).filter("cuts > 1"), "large-keys")
     cut = rows.join(cuts, key, "left").withColumn("cuts", F.coalesce("cuts", F.lit(1))).withColumn("cut", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("other")
     met = cut.select("*", other).withColumn("low", F.least("cut", "other")).withColumn("high", F.greatest("cut", "other"))
@@ -175,15 +240,7 @@ def _count_links(threshold: float):
         return pa.RecordBatch.from_arrays([pa.array(node), pa.array(linked @ copies)], names=["node", "links"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and row[0] != held[-1][0]:
-                    yield of_block(held)
-                    held = []
-                held.append(row)
-        if held:
-            yield of_block(held)
+        yield from map(of_block, _blocks_of(batches))
 
     return run
 
@@ -201,24 +258,31 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = THRESHOLD, recall:
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     units = stash(map_arrow(rows, _normalise, UNITS), "unit-vectors")
     nodes = stash(units.filter("same is not null").groupBy("same").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")), "vector-nodes")
-    bits, tables = tables_for(nodes.count(), threshold, recall)
+    count = nodes.count()
+    bits, tables = tables_for(count, threshold, recall)
     own = stash(units.filter("same is not null").join(nodes, "same").filter("vec_id = node").select("node", "dim", "copies", "unit"), "node-vectors")
     codes = stash(map_arrow(own.select("node", "dim", "unit"), _code(bits, tables), CODES), "vector-codes")
 
-    def confirmed(parts: DataFrame | None) -> DataFrame:
-        """Links between vectors of different parts, without parts between any."""
-        dealt = codes.select("node", F.explode("buckets").alias("bucket"))
-        dealt = dealt.withColumn("part", F.col("node")) if parts is None else dealt.join(parts, "node", "left").select("node", "bucket", F.coalesce("root", "node").alias("part"))
-        mixed = dealt.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p < q").select("bucket")
-        placed = _in_blocks(stash(dealt.join(mixed, "bucket"), "dealt"), "bucket").join(codes.drop("buckets"), "node")
-        sorted_rows = placed.select("block", "node", "part", "signs", "factor", "scale", "levels").repartition(partitions(spark), "block").sortWithinPartitions("block")
-        pairs = stash(map_arrow(sorted_rows, _propose(threshold, parts is not None), "a long, b long").distinct(), "vector-pairs")
+    def confirmed(proposed: DataFrame) -> DataFrame:
+        pairs = stash(proposed.distinct(), "vector-pairs")
         side = own.select("node", "unit")
         both = pairs.join(side.withColumnsRenamed({"node": "a", "unit": "u"}), "a").join(side.withColumnsRenamed({"node": "b", "unit": "v"}), "b")
         return stash(map_arrow(both.select("a", "b", "u", "v"), _exact(threshold), "a long, b long"), "vector-links")
 
-    links = confirmed(None)
-    links = links.unionByName(confirmed(stash(connected_components(links), "vector-parts")))
+    def by_block(rows: DataFrame) -> DataFrame:
+        return rows.repartition(partitions(spark), "block").sortWithinPartitions("block")
+
+    dealt = codes.select("node", F.explode("buckets").alias("bucket"))
+    mixed = dealt.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
+    placed = _in_blocks(stash(dealt.join(mixed, "bucket"), "dealt"), "bucket").join(codes.drop("buckets"), "node")
+    links = confirmed(map_arrow(by_block(placed.select("block", "node", "signs", "factor", "scale", "levels")), _propose(threshold), "a long, b long"))
+
+    parts = stash(connected_components(links), "vector-parts")
+    parted = stash(own.select("node", "dim").join(parts, "node", "left").select("node", "dim", F.coalesce("root", "node").alias("part")), "vectors-of-parts")
+    size = min(CUT, max(BLOCK, -(-count // CUTS)))
+    met = _in_blocks(parted, "dim", size).join(codes.drop("buckets"), "node")
+    met = by_block(met.select("block", "low", "high", "cut", "node", "part", "signs", "factor", "scale", "levels", "error"))
+    links = links.unionByName(confirmed(map_arrow(met, _all_across(threshold), "a long, b long")))
     roots = stash(connected_components(links), "vector-roots")
     members = _in_blocks(stash(own.join(roots, "node").select("node", "root"), "members"), "root").join(own.select("node", "copies", "unit"), "node")
     in_order = members.select("block", "node", "cut", "copies", "low", "high", "unit").repartition(partitions(spark), "block").sortWithinPartitions("block")
