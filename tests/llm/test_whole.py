@@ -1,9 +1,11 @@
 """Cases in which an operator once did less than its whole job."""
 
 import numpy as np
+import pytest
 
 from tests.llm import brute
-from tidemark.llm import vectors
+from tidemark.llm import vectors, warc
+from tidemark.llm.common import new_path
 
 
 def test_vectors_that_share_no_bucket_are_linked(spark, monkeypatch):
@@ -22,3 +24,20 @@ def test_vectors_that_share_no_bucket_are_linked(spark, monkeypatch):
     wanted = brute.vector_links(rows, 0.95)
     assert sum(n for n, _ in wanted.values()) == 400
     assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == wanted
+
+
+def test_records_with_long_headers_and_those_after_them_are_read(spark):
+    pages = [(1, "first"), (2, "second"), (3, "first"), (4, "x WARC/1.0\r\nWARC/1.0\r\nContent-Length: 0\r\n\r\n\r\n\r\n y")]
+    rows = spark.createDataFrame([(i, "http://a/" + "u" * 40_000 if i < 3 else "http://b/", h) for i, h in pages], "page_id long, url string, html string")
+    path = new_path(spark, "warc")
+    warc.write_archives(rows, path)
+    got = warc.read_archives(spark, path).collect()
+    assert {r["page_id"]: (r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got} == brute.archives(pages)
+
+
+def test_a_broken_chain_is_an_error(spark):
+    record = "WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{}>\r\nContent-Length: {}\r\n\r\nabc"
+    path = new_path(spark, "warc")
+    spark.createDataFrame([(record.format(1, 3),), (record.format(2, 9),)], "value string").coalesce(1).write.option("lineSep", warc.END).text(path)
+    with pytest.raises(Exception, match="no whole record at byte"):
+        warc.read_archives(spark, path)

@@ -30,8 +30,8 @@ from tidemark.llm.common import bounded_batches, stash
 
 #: Payload bytes to an archive, and to a chunk whose successors one task follows.
 ARCHIVE_BYTES, CHUNK_BYTES = 16 << 20, 1 << 20
-HEADER_BYTES = 16 << 10
 END = "\r\n\r\n"
+END_BYTES = END.encode()
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 
 
@@ -79,13 +79,30 @@ def _number(urn: bytes | None) -> int | None:
     return int(m[1]) if m else None
 
 
-def parse_record(data: bytes, at: int) -> tuple | None:
-    """(successor, page_id, payload_bytes, payload_digest, record_type, refers_to) of what may be a record at this place."""
-    end = data.find(b"\r\n\r\n", at, at + HEADER_BYTES)
-    if end < 0:
-        return None
-    fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(b":") for x in data[at:end].split(b"\r\n")[1:])}
-    if not (n := fields.get(b"content-length", b"")).isdigit() or (after := end + 8 + int(n)) > len(data) or data[after - 4 : after] != b"\r\n\r\n":
+def _headers(data: bytes) -> Iterator[tuple[int, int, dict[bytes, bytes]]]:
+    """(offset, end of header, fields) of every place with the magic and a blank line after it, last place first.
+
+    A header may be of any length. Places before the same blank line share its fields, so
+    that the whole takes one pass; fields are valid until the next step.
+    """
+    blank, upto, fields = data.find(END_BYTES, len(data)), len(data), {}
+    for m in reversed(list(_MAGIC.finditer(data))):
+        at = m.start()
+        nearer = data.find(END_BYTES, at, upto + 3)
+        if nearer >= 0:
+            blank, upto, fields = nearer, nearer, {}
+        past, upto = upto, m.end()
+        if blank < 0:
+            continue
+        for line in reversed(data[m.end() : max(m.end(), past)].removesuffix(b"\r\n").split(b"\r\n")):
+            k, _, v = line.partition(b":")
+            fields.setdefault(k.strip().lower(), v.strip())
+        yield at, blank, fields
+
+
+def parse_record(data: bytes, end: int, fields: dict[bytes, bytes]) -> tuple | None:
+    """(successor, page_id, payload_bytes, payload_digest, record_type, refers_to) of what may be a record with this header."""
+    if not (n := fields.get(b"content-length", b"")).isdigit() or (after := end + 8 + int(n)) > len(data) or data[after - 4 : after] != END_BYTES:
         return None
     kind = fields.get(b"warc-type", b"").decode("utf-8", "replace")
     if kind == "revisit":
@@ -99,7 +116,7 @@ def parse_record(data: bytes, at: int) -> tuple | None:
 
 def find_candidates(data: bytes, chunk_bytes: int) -> list[tuple]:
     """(offset, successor, exit, chunk, fields ...); exit: the first offset beyond the chunk that its chain leads to, None where it breaks off."""
-    found = {m.start(): r for m in _MAGIC.finditer(data) if (r := parse_record(data, m.start()))}
+    found = {at: r for at, end, fields in _headers(data) if (r := parse_record(data, end, fields))}
     exits: dict[int, int | None] = {}
     for at in sorted(found, reverse=True):
         after = found[at][0]
@@ -114,7 +131,13 @@ def _scan(chunk_bytes: int):
         names = [x.split(" ")[0] for x in CANDIDATES.split(", ")]
         for batch in batches:
             for file, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows = [(file, *x) for x in find_candidates(gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content, chunk_bytes)]
+                data = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
+                rows = [(file, *x) for x in find_candidates(data, chunk_bytes)]
+                successor, at = {r[1]: r[2] for r in rows}, 0
+                while at in successor:
+                    at = successor[at]
+                if at != len(data):
+                    raise ValueError(f"{file}: no whole record at byte {at} of {len(data)}")
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * len(kinds), kinds, strict=True)], names=names)
 
     return run
@@ -136,7 +159,10 @@ RECORD_COLUMNS = [x.split(" ")[0] for x in RECORDS.split(", ")]
 
 
 def read_archives(spark: SparkSession, path: str, *, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """The records of all archives (.warc or .warc.gz) under path, with their payloads' sizes and digests as read."""
+    """The records of all archives (.warc or .warc.gz) under path, with their payloads' sizes and digests as read.
+
+    An archive whose records don't follow each other up to its end is an error.
+    """
     files = spark.read.format("binaryFile").load(path).filter("length > 0").select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # a row is an archive
     try:
