@@ -29,11 +29,23 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links of similar word shingles join, the one with the smallest id stays; of rows that repeat its id, one."""
-    found = stash(jaccard.similar_sets(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"), "jaccard-kept")
-    kept = _with_ids(docs, found)
-    repeated = found.groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    """Of rows that links of similar word shingles join, one with the smallest id stays, a null id being the largest; rows without words all stay.
+
+    A row is named by a hash of its id and text, so rows that repeat an id, or have none,
+    are documents of their own; rows with equal names are copies.
+    """
+    name = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
+    rows = docs.withColumn("row_name", name)
+    found = stash(jaccard.similar_sets(rows.select("row_name", "text"), id_col="row_name"), "jaccard-classes").withColumnRenamed("doc_id", "row_name")
+    ids = rows.select("row_name", "doc_id").distinct()
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_name")
+    named = found.filter("n_shingles > 0").groupBy("row_name", "component_id").agg(F.count("*").alias("copies")).join(ids, "row_name")
+    chosen = stash(named.groupBy("component_id").agg(F.min_by(F.struct("row_name", "copies"), order).alias("row")).select("row.*"), "jaccard-kept")
+    wordless = found.filter("n_shingles = 0").select("row_name").distinct()
+    single = rows.join(chosen.filter("copies = 1").select("row_name").union(wordless), "row_name", "left_semi")
+    # Copies of a kept row's id and text: one of them stays.
+    copied = rows.join(chosen.filter("copies > 1"), "row_name", "left_semi").dropDuplicates(["row_name"])
+    return single.unionByName(copied).select(*docs.columns)
 
 
 def suffix_array(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
