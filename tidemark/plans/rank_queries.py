@@ -126,4 +126,4 @@ def permutation_lift(spark, sf_dir):
     injected = lines.filter("l_linenumber <= 3").select(F.col("l_orderkey").alias("session"), F.col("l_linenumber").alias("slot"), F.col("l_partkey").alias("path"))
     opened = lines.filter("l_linestatus = 'F'").select(F.col("l_orderkey").alias("session"), F.col("l_partkey").alias("path"))
     pool = analogs.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("path"), (F.col("p_partkey") - 1).alias("number"))
-    return st.permutation_lift(injected, opened, pool, rounds=20, seed=12345)
+    return st.permutation_lift(injected, opened, pool, rounds=200, seed=12345)
