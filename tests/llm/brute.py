@@ -17,9 +17,7 @@ _TOKENIZER = []
 
 def token_ids(text: str | None) -> list[int]:
     if not _TOKENIZER:
-        t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-        t.encode_special_tokens = True
-        _TOKENIZER.append(t)
+        _TOKENIZER.append(Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")))
     return [*_TOKENIZER[0].encode(text or "", add_special_tokens=False).ids, 2]
 
 

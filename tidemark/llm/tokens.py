@@ -4,7 +4,8 @@ A byte-level BPE text is cut into words by a fixed pattern before any merge.
 Here the cut is made once per text by an equal pattern of the standard library,
 each distinct word is encoded once per Python worker by the tokenizers library,
 and a text's ids are the joined ids of its words. Texts with a character that the
-two pattern engines class differently go to the library whole.
+two pattern engines class differently, or with an added token of the vocabulary
+(which the library finds before any cut), go to the library whole.
 """
 
 from __future__ import annotations
@@ -36,7 +37,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.space_first = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.space_first[i] = token.startswith("Ġ")  # the byte-level alphabet's space
@@ -67,13 +69,14 @@ class Encoder:
         """One bytes object per text; null and empty texts have no ids."""
         if len(self.words) > CACHE_WORDS:
             self.words = {}
-        cut = [_WORDS.findall(t) if t else [] for t in texts]
+        whole = {i for i, t in enumerate(texts) if t and self.added and self.added.search(t)}
+        cut = [_WORDS.findall(t) if t and i not in whole else [] for i, t in enumerate(texts)]
         new = list(set().union(*cut) - self.words.keys())
         self._learn(new)
         known, out = self.words, []
-        for text, words in zip(texts, cut, strict=True):
+        for i, (text, words) in enumerate(zip(texts, cut, strict=True)):
             try:
-                out.append(b"".join(map(known.__getitem__, words)))
+                out.append(self._whole([text])[0] if i in whole else b"".join(map(known.__getitem__, words)))
             except TypeError:
                 out.append(self._whole([text])[0])
         for w in new:
