@@ -144,6 +144,7 @@ def pack(docs: DataFrame, *, capacity: int = CAPACITY, vocabulary: str | None =
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     before = Window.partitionBy("length").orderBy("task")
     firsts = counts.select("length", "task", (F.sum("n").over(before) - F.col("n")).alias("before"))
-    ranked = pieces.join(firsts, ["length", "task"]).select("doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else []), (F.col("before") + F.col("nth")).alias("rank"))
+    # a row for each length and task: shuffled with the pieces, not broadcast, as it grows with the input
+    ranked = pieces.join(firsts.hint("merge"), ["length", "task"]).select("doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else []), (F.col("before") + F.col("nth")).alias("rank"))
     schema = "doc_id long, piece int, start long, length int, ids_crc32 long, " + ("ids binary, " if with_ids else "") + "sequence_id long, offset long"
     return map_arrow(ranked, _place(best_fit_runs(histogram, capacity)), schema).withColumn("length", F.col("length").cast("long"))
