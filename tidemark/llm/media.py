@@ -239,7 +239,7 @@ def sniff_column(media: DataFrame, column: str = "media", declared: str | None =
     replace any of the same name.
     """
     names = [c for c in media.columns if c not in ("true_type", "embedded", "corrected")]
-    kept = media.select(*names)
+    kept = media.select(*(F.col(f"`{c}`") for c in names))
     at = names.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,7 +250,7 @@ def sniff_column(media: DataFrame, column: str = "media", declared: str | None =
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([k for k, _ in seen]), pa.array(inner, kinds)], names=[*names, "true_type", "embedded"])
 
     out = map_arrow(kept, run, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in kept.schema)}, true_type string, embedded {EMBEDDED}")
-    return out.withColumn("corrected", ~F.col(declared).eqNullSafe(F.col("true_type"))) if declared else out
+    return out.withColumn("corrected", ~F.col(f"`{declared}`").eqNullSafe(F.col("true_type"))) if declared else out
 
 
 def carve(blob: bytes, offset: int, length: int) -> bytes:
