@@ -252,15 +252,18 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = THRESHOLD, recall:
     smallest vec_id that links reach) and kept (it is that one). Vectors that are null,
     empty or zero, or hold a null or a component that isn't finite, link with nothing, nor do
     vectors of different lengths. Equal vectors are compared once and count for each other.
-    Ids are taken to be distinct. Other columns are not read. An empty table gives no rows.
+    Vectors are told apart by their components, not by their ids: rows that repeat an id, or
+    have none, are vectors each. A component without any id has none. Other columns are not
+    read. An empty table gives no rows.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
+    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v"))
     units = stash(map_arrow(rows, _normalise, UNITS), "unit-vectors")
-    nodes = stash(units.filter("same is not null").groupBy("same").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")), "vector-nodes")
+    nodes = units.filter("same is not null").groupBy("same").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("copies"))
+    nodes = stash(nodes.withColumn("node", F.monotonically_increasing_id()), "vector-nodes")
     count = nodes.count()
     bits, tables = tables_for(count, threshold, recall)
-    own = stash(units.filter("same is not null").join(nodes, "same").filter("vec_id = node").select("node", "dim", "copies", "unit"), "node-vectors")
+    own = stash(units.filter("same is not null").join(nodes, "same").dropDuplicates(["same"]).select("node", "dim", "copies", "unit"), "node-vectors")
     codes = stash(map_arrow(own.select("node", "dim", "unit"), _code(bits, tables), CODES), "vector-codes")
 
     def confirmed(proposed: DataFrame) -> DataFrame:
@@ -287,7 +290,8 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = THRESHOLD, recall:
     members = _in_blocks(stash(own.join(roots, "node").select("node", "root"), "members"), "root").join(own.select("node", "copies", "unit"), "node")
     in_order = members.select("block", "node", "cut", "copies", "low", "high", "unit").repartition(partitions(spark), "block").sortWithinPartitions("block")
     counted = map_arrow(in_order, _count_links(threshold), "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
-    told = stash(nodes.join(roots, "node", "left").join(counted, "node", "left").select("same", F.coalesce("root", "node").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "vector-results")
+    labels = nodes.join(roots, "node").groupBy("root").agg(F.min("first_id").alias("component_id"))
+    told = stash(nodes.join(roots, "node", "left").join(labels, "root", "left").join(counted, "node", "left").select("same", F.when(F.col("root").isNull(), F.col("first_id")).otherwise(F.col("component_id")).alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "vector-results")
     out = units.select("vec_id", "same").join(told, "same", "left")
     component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
