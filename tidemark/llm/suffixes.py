@@ -13,9 +13,10 @@ length - q + 1 places; the leftmost one of the least hash is its anchor, which i
 same wherever the string occurs. First, anchors are counted by their q-gram; those of one
 occurrence end the matter for all strings anchored there. Second, the stretches of text
 around the other anchors are dealt out by q-gram, and in each bucket the suffixes that
-share the anchor are refined to `length` bytes. A q-gram with very many occurrences
-is dealt out by the refined identifiers themselves instead, each once for every task that
-has met it.
+share the anchor are refined to `length` bytes. The stretches of a q-gram with more
+occurrences than one task should hold are dealt to several tasks; each finds what
+repeats among its own, and gives the refined identifier of every distinct suffix once,
+to be counted over all tasks.
 
 Copies of a whole text count as one text while suffixes are compared; a text that has a
 copy is covered by it altogether.
@@ -39,8 +40,8 @@ from tidemark.llm.repeats import key_filter, may_hold
 LENGTH = 200
 #: A q-gram is a quarter of the length, so that two refinements reach the full depth.
 PARTS = 4
-#: A q-gram is frequent from this many occurrences, or this share of all; so there are at most 50,000 of them.
-FREQUENT, FREQUENT_SHARE = 250, 1 / 50_000
+#: Stretches that are compared together: a q-gram with more occurrences is frequent and dealt to several tasks.
+FREQUENT, DEALT = 20_000, 64
 
 
 def anchors(raw: np.ndarray, ends: list[int], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -117,7 +118,9 @@ def _count_grams(length: int):
 STRETCHES = "gram long, frequent boolean, text_id string, first int, bytes binary"
 
 
-def _cut_stretches(length: int, bits: np.ndarray, frequent: np.ndarray):
+def _cut_stretches(length: int, bits: np.ndarray, frequent: np.ndarray | None):
+    """The stretches whose q-gram the first filter may hold; frequent ones are those that the second may hold, of all occurrences alike."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(0).to_pylist()
@@ -131,7 +134,7 @@ def _cut_stretches(length: int, bits: np.ndarray, frequent: np.ndarray):
                 whole, starts = raw.tobytes(), first - np.array([0, *ends])[of]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(gram), pa.array(np.isin(gram, frequent)), pa.array([names[k] for k in of.tolist()], pa.string()), pa.array(starts.astype(np.int32)),
+                        pa.array(gram), pa.array(np.zeros(len(gram), bool) if frequent is None else may_hold(frequent, gram.view(np.uint64))), pa.array([names[k] for k in of.tolist()], pa.string()), pa.array(starts.astype(np.int32)),
                         pa.array([whole[a : b + length] for a, b in zip(first.tolist(), last.tolist(), strict=True)], pa.binary()),
                     ],
                     names=["gram", "frequent", "text_id", "first", "bytes"],
@@ -164,7 +167,7 @@ def _refined(blobs: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
     return ids[starts], counts
 
 
-def _compare(length: int, rows_at_once: int = 20_000):
+def _compare(length: int, rows_at_once: int = FREQUENT):
     """Rows come sorted by q-gram; all of one q-gram are compared together."""
 
     def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -191,7 +194,7 @@ def _compare(length: int, rows_at_once: int = 20_000):
 SPELT = "text_id string, first int, last int, id long"
 
 
-def _spell_out(length: int, rows_at_once: int = 20_000):
+def _spell_out(length: int, rows_at_once: int = FREQUENT):
     """Of a frequent q-gram's stretches: runs of suffixes that repeat among the rows at hand (id null), and one row for each distinct suffix there."""
 
     def flush(held: dict[tuple, bytes]) -> Iterator[pa.RecordBatch]:
@@ -223,14 +226,16 @@ def repeated_starts(texts: DataFrame, *, length: int = LENGTH) -> DataFrame:
     spark = texts.sparkSession
     grams = map_arrow(texts.select("text"), _count_grams(length), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     shared = stash(grams.filter("n > 1"), "repeated-grams")
-    count, total = shared.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    often = shared.filter(F.col("n") >= max(FREQUENT, FREQUENT_SHARE * total)).select("gram").toPandas()["gram"].to_numpy(np.int64)  # 50,000 at most
-    cut = stash(map_arrow(texts.select("text"), _cut_stretches(length, key_filter(shared, "gram", count), often), STRETCHES), "stretches")
+    often = shared.filter(F.col("n") > FREQUENT).select("gram")
+    count, frequent = shared.count(), often.count()
+    bits = key_filter(shared, "gram", count), key_filter(often, "gram", frequent) if frequent else None
+    cut = stash(map_arrow(texts.select("text"), _cut_stretches(length, *bits), STRETCHES), "stretches")
     together = cut.filter("not frequent").select("gram", "text_id", "first", "bytes").repartition(4 * partitions(spark), "gram").sortWithinPartitions("gram")
     runs = stash(map_arrow(together, _compare(length), RUNS), "runs")
-    if not len(often):
+    if not frequent:
         return runs
-    spelt = stash(map_arrow(cut.filter("frequent").select("text_id", "first", "bytes"), _spell_out(length), SPELT), "frequent-suffixes")
+    dealt = cut.filter("frequent").repartition(4 * partitions(spark), "gram", F.pmod(F.xxhash64("text_id", "first"), F.lit(DEALT)))
+    spelt = stash(map_arrow(dealt.select("text_id", "first", "bytes"), _spell_out(length), SPELT), "frequent-suffixes")
     own = spelt.filter("id is not null").select("text_id", "first", "id").distinct()
     many = stash(own.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1"), "frequent-buckets").select("id")
     known = spelt.filter("id is null").select("text_id", "first", "last")
