@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def name_tokens(name: Column) -> Column:
     """Distinct lower-case parts of a name, of three characters or more: cut at case changes and separators."""
+    # The patterns of case changes and separators.
     spaced = F.regexp_replace(F.regexp_replace(name, "([a-z0-9])([A-Z])", "$1 $2"), "([A-Z]+)([A-Z][a-z])", "$1 $2")
-    parts = F.transform(F.split(spaced, r"[\x00_\-.$ ]+"), lambda t: F.regexp_replace(F.lower(t), "[^a-z0-9]", ""))
+    parts = F.transform(F.split(spaced, r"[\x00_\-.$\s]+"), lambda t: F.regexp_replace(F.lower(t), "[^a-z0-9]", ""))
     return F.array_distinct(F.filter(parts, lambda t: F.length(t) >= 3))
 
 
@@ -18,38 +19,6 @@ def top_segment(path: Column) -> Column:
     return F.when(F.instr(path, "/") > 0, F.substring_index(path, "/", 1))
 
 
-def stem(path: Column) -> Column:
-    return F.regexp_replace(F.substring_index(path, "/", -1), r"\.[^.]*$", "")
-
-
-#: The class of a file by its extension.
-FILE_TYPES = {
-    "js": "js", "jsx": "js", "mjs": "js", "cjs": "js", "ts": "ts", "tsx": "ts", "mts": "ts", "cts": "ts",
-    "py": "python", "swift": "swift", "json": "json", "md": "doc", "css": "style", "scss": "style", "html": "markup",
-}
-
-
-def file_type(path: Column) -> Column:
-    kinds = F.create_map(*(F.lit(x) for pair in FILE_TYPES.items() for x in pair))
-    return F.coalesce(F.element_at(kinds, F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))), F.lit("other"))
-
-
-def is_test_path(path: Column) -> Column:
-    return F.lower(path).rlike(r"(^|/)(test|tests|__tests__|spec)/|[._-](test|spec)\.[a-z]+$|(^|/)test_[^/]*\.py$")
-
-
-def path_match_class(term: Column, path: Column) -> Column:
-    """How a term matches a path: its stem, a token of it, a directory, a stem within two edits, or only somewhere."""
-    t, base = F.lower(term), F.lower(stem(path))
-    return (
-        F.when(base == t, "stem-exact")
-        .when(F.array_contains(F.split(base, "[-_. ]+"), t), "stem-token")
-        .when(F.array_contains(F.slice(F.split(F.lower(path), "/"), F.lit(1), F.greatest(F.size(F.split(path, "/")) - 1, F.lit(0))), t), "dir-segment")
-        .when(F.levenshtein(base, t) <= 2, "near")
-        .otherwise("loose")
-    )
-
-
 def term_hits(line: Column, terms: list[str]) -> Column:
     """How many distinct terms a line holds, whatever their case."""
     low = F.lower(line)
@@ -59,3 +28,11 @@ def term_hits(line: Column, terms: list[str]) -> Column:
 def noise_ratio(line: Column, noise: list[str]) -> Column:
     words = F.filter(F.split(F.lower(line), "[^a-z]+"), lambda w: w != "")
     return F.when(F.size(words) > 0, F.size(F.filter(words, lambda w: w.isin(noise))) / F.size(words)).otherwise(0.0)
+
+
+def with_context(lines: DataFrame, key: str, order: str, text: str, reach: int) -> DataFrame:
+    """Adds before and after: arrays of the whole lines around each, fewer at the ends."""
+    w = Window.partitionBy(key).orderBy(order)
+    some = lambda x: x.isNotNull()
+    before = F.filter(F.array(*(F.lag(text, k).over(w) for k in range(reach, 0, -1))), some)
+    return lines.withColumns({"before": before, "after": F.filter(F.array(*(F.lead(text, k).over(w) for k in range(1, reach + 1))), some)})

@@ -42,12 +42,13 @@ def fan_in_out(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def resolution_stats(edges: DataFrame) -> DataFrame:
+    """Of internal edges only."""
     resolved = F.count_if(F.col("kind") != "unresolved")
-    return edges.agg(F.count("*").alias("total"), resolved.alias("resolved"), F.when(F.count("*") == 0, 100.0).otherwise(F.round(100 * resolved / F.count("*"))).alias("pct"))
+    return edges.filter(~F.col("is_external")).agg(F.count("*").alias("total"), resolved.alias("resolved"), F.when(F.count("*") == 0, 100.0).otherwise(F.round(100 * resolved / F.count("*"))).alias("pct"))
 
 
 def top_misses(edges: DataFrame, by: str, limit: int) -> DataFrame:
-    return edges.filter(F.col("kind") == "unresolved").groupBy(by).agg(F.count("*").alias("n")).orderBy(F.desc("n"), by).limit(limit)
+    return edges.filter((F.col("kind") == "unresolved") & ~F.col("is_external")).groupBy(by).agg(F.count("*").alias("n")).orderBy(F.desc("n"), by).limit(limit)
 
 
 def type_counts(files: DataFrame) -> DataFrame:
@@ -75,9 +76,10 @@ def explain_group(edges: DataFrame, group_from: Column, group_to: Column, group)
 
 
 def cochange_pairs(commits: DataFrame, *, bulk: int, min_count: int, limit: int) -> DataFrame:
-    """Files that change together; commits with more than `bulk` distinct raw rows are left out before pairing."""
-    sized = commits.groupBy("hash").agg(F.count("*").alias("raw")).filter(F.col("raw") <= bulk).select("hash")
-    kept = commits.distinct().join(sized, "hash")
+    """Files that change together; commits of more than `bulk` distinct files are left out before pairing."""
+    commits = commits.distinct()
+    sized = commits.groupBy("hash").agg(F.count("*").alias("files")).filter(F.col("files") <= bulk).select("hash")
+    kept = commits.join(sized, "hash")
     occurs = kept.groupBy("file").agg(F.count("*").alias("occ"))
     left, right = kept.withColumnRenamed("file", "file_a"), kept.withColumnRenamed("file", "file_b")
     pairs = left.join(right, "hash").filter("file_a < file_b").groupBy("file_a", "file_b").agg(F.count("*").alias("count")).filter(F.col("count") >= min_count)
@@ -99,11 +101,67 @@ def partners(pairs: DataFrame, node, *, hub_degree: int, limit: int) -> DataFram
 
 
 def closure(spark, links: DataFrame, start: DataFrame, max_depth: int) -> DataFrame:
-    """Nodes reached from the start nodes (column node) over links (a, b), with their least depth; frontier joins, one for each level."""
-    seen = start.select("node", F.lit(0).alias("depth"))
-    front = seen
-    for depth in range(1, max_depth + 1):
-        step = front.join(links, F.col("node") == F.col("a")).select(F.col("b").alias("node")).distinct()
-        front = step.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth))
-        seen = seen.unionByName(front)
-    return seen
+    """Nodes reached from the start nodes (column node) over links (a, b), with their least depth: a recursive query, so that links are planned once."""
+    links.createOrReplaceTempView("closure_links")
+    start.createOrReplaceTempView("closure_start")
+    return spark.sql(f"""
+        WITH RECURSIVE walk(node, depth) AS (
+            SELECT node, 0 FROM closure_start
+            UNION ALL
+            SELECT DISTINCT b, depth + 1 FROM walk JOIN closure_links ON a = node WHERE depth < {int(max_depth)}
+        )
+        SELECT node, min(depth) AS depth FROM walk GROUP BY node""")
+
+
+def exports_of(exports: DataFrame, node) -> DataFrame:
+    return exports.filter(F.col("id") == node).select("name", "kind").orderBy("kind", "name")
+
+
+def exports_by_symbol(exports: DataFrame, terms: DataFrame, limit: int) -> DataFrame:
+    """Exports whose name is a term, whatever its case; the first of each term by kind and file."""
+    from pyspark.sql import Window
+
+    met = exports.join(F.broadcast(terms), F.lower("name") == F.lower("term"))  # the terms of a prompt
+    place = F.row_number().over(Window.partitionBy("term").orderBy("kind", "id", "name"))
+    return met.withColumn("place", place).filter(F.col("place") <= limit).select("term", "id", "name", "kind")
+
+
+def importers_like(edges: DataFrame, token: str, limit: int) -> DataFrame:
+    return edges.filter(F.lower(F.col("specifier").cast("string")).contains(token.lower())).select("from_path").distinct().orderBy("from_path").limit(limit)
+
+
+def relations_to(relations: DataFrame, target, *, kind: str | None = None, confidence: str | None = None) -> DataFrame:
+    out = relations.filter(F.col("target") == target)
+    for column, value in (("kind", kind), ("confidence", confidence)):
+        out = out if value is None else out.filter(F.col(column) == value)
+    return out
+
+
+def without_files(edges: DataFrame, gone: DataFrame) -> DataFrame:
+    """Edges after files (id) are deleted: their own rows go, edges to them lose their target."""
+    left = edges.join(gone.select(F.col("id").alias("from_path")), "from_path", "left_anti")
+    lost = gone.select(F.col("id").alias("to_path"), F.lit(True).alias("lost")).distinct()
+    return left.join(lost, "to_path", "left").withColumn("to_path", F.when(F.col("lost"), None).otherwise(F.col("to_path"))).drop("lost")
+
+
+def expanded_dirs(files: DataFrame, is_manifest: Column, packages: int) -> DataFrame:
+    parts = F.split("path", "/")
+    two = files.groupBy(F.element_at(parts, 1).alias("top"), F.concat_ws("/", F.slice(parts, 1, 2)).alias("two")).agg(F.count("*").alias("files"), F.max(is_manifest).alias("manifest"))
+    held = two.groupBy("top").agg(F.count_if("manifest").alias("packages"))
+    shown = F.when(F.col("packages") >= packages, F.col("two")).otherwise(F.col("top"))
+    return two.join(held, "top").groupBy(shown.alias("dir")).agg(F.sum("files").alias("files"))
+
+
+def rollup_text(rows: DataFrame, limit: int) -> DataFrame:
+    """Per id its most frequent folders with their counts, as a line of text."""
+    from pyspark.sql import Window
+
+    counted = rows.groupBy("id", "dir").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("id")
+    placed = counted.withColumns({"place": F.row_number().over(w.orderBy(F.desc("n"), "dir")), "dirs": F.count("*").over(w)}).filter(F.col("place") <= limit)
+    line = F.transform(F.array_sort(F.collect_list(F.struct("place", "dir", "n"))), lambda x: F.concat(x["dir"], F.lit(" ("), x["n"].cast("string"), F.lit(")")))
+    return placed.groupBy("id").agg(F.concat(F.array_join(line, ", "), F.when(F.max("dirs") > limit, ", …").otherwise("")).alias("rollup"))
+
+
+def notes_on(notes: DataFrame, files: list[str]) -> DataFrame:
+    return notes.filter((F.size("files") == 0) | F.arrays_overlap("files", F.array(*map(F.lit, files))))

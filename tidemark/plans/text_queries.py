@@ -82,20 +82,15 @@ def symbol_def_extract(spark, sf_dir):
     )
 
 
-@query(f"""WITH f AS ({analogs.FILES_SQL}), s AS (SELECT id, path, lower(regexp_replace(string_split(path, '/')[-1], '\\.[^.]*$', '')) AS stem, string_split(lower(path), '/') AS parts FROM f)
-SELECT id, CASE WHEN stem = 'steel' THEN 'stem-exact' WHEN list_contains(regexp_split_to_array(stem, '[-_. ]+'), 'steel') THEN 'stem-token'
-  WHEN list_contains(parts[1:len(parts) - 1], 'steel') THEN 'dir-segment' WHEN levenshtein(stem, 'steel') <= 2 THEN 'near' ELSE 'loose' END AS class FROM s WHERE contains(lower(path), 'steel')""")
-def path_match_classes(spark, sf_dir):
-    files = analogs.files(spark, sf_dir).filter(F.lower("path").contains("steel"))
-    return files.select("id", ft.path_match_class(F.lit("steel"), F.col("path")).alias("class"))
-
-
-@query("""SELECT conv_id, turn, role, substr(text, 1, 80) AS text, lag(substr(text, 1, 80)) OVER w AS before, lead(substr(text, 1, 80)) OVER w AS after
-FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
+@query("""SELECT conv_id, turn, role, text, before, after FROM (SELECT *, lag(text, 1) OVER w AS one, lag(text, 2) OVER w AS two, lead(text, 1) OVER w AS next, lead(text, 2) OVER w AS last,
+list_filter([lag(text, 2) OVER w, lag(text, 1) OVER w], lambda x: x IS NOT NULL) AS before, list_filter([lead(text, 1) OVER w, lead(text, 2) OVER w], lambda x: x IS NOT NULL) AS after
+FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE contains(lower(text), ' the ') OR contains(lower(text), ' der ')""")
 def hit_context(spark, sf_dir):
-    """Every turn with the one before and the one after, cut to 80 characters for display."""
-    w, cut = Window.partitionBy("conv_id").orderBy("turn"), F.substring("text", 1, 80)
-    return analogs.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", cut.alias("text"), F.lag(cut).over(w).alias("before"), F.lead(cut).over(w).alias("after"))
+    """Turns that are hits of a search, with up to two whole turns before and after."""
+    turns = analogs.table(spark, sf_dir, "conversations")
+    found = ft.with_context(turns, "conv_id", "turn", "text", 2)
+    low = F.lower("text")
+    return found.filter(low.contains(" the ") | low.contains(" der ")).select("conv_id", "turn", "role", "text", "before", "after")
 
 
 @query("SELECT doc_id, sha256(text) AS content, substr(sha1(source || '/' || doc_id), 1, 10) AS claim FROM documents")

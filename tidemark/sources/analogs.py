@@ -58,3 +58,51 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").alias("ord"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts"), F.col("user_id").alias("sid"), F.col("event_type").alias("name"), "value",
         (F.get_json_object("props", "$.k").cast("long") % 7).alias("turn"), F.when(bucket < 0.4, "holdback").otherwise("armed").alias("arm"),
     )
+
+
+def _pick(values: list[str], at):
+    return F.element_at(F.array(*map(F.lit, values)), (at + 1).cast("int"))
+
+
+def sql_list(values: list[str]) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+#: A source tree: a file for each part, with all kinds of folders, names and extensions.
+FOLDERS = ["src", "lib/core", "tests", "src/__tests__", "vendor/acme", "docs", "web/node_modules/x", "Sources/XCTKit", "Sources/AppTesting", "examples", "scripts/dist", ".github", "home/.ssh"]
+STEMS = ["index", "main", "app", "UserApp", "flag_registry", "test_flags", "flags_test", "CHANGELOG", "flagRegistry", "util.spec", ".env", "renderer"]
+EXTENSIONS = [".js", ".ts", ".tsx", ".py", ".swift", ".md", ".json", ".mjs", ".cjs", ".jsx", ".txt", ".rst", ".pem", ".go", ".example", ".local", ""]
+TREE_SQL = f"""SELECT p_partkey AS id, {sql_list(FOLDERS)}[p_partkey % 13 + 1] || '/m' || (p_partkey // 100) || '/' || {sql_list(STEMS)}[p_partkey // 13 % 12 + 1] || {sql_list(EXTENSIONS)}[p_partkey * 7 % 17 + 1] AS path, p_size AS size_bytes FROM part"""
+
+
+def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    path = F.concat(_pick(FOLDERS, k % 13), F.lit("/m"), F.floor(k / 100).cast("string"), F.lit("/"), _pick(STEMS, F.floor(k / 13) % 12), _pick(EXTENSIONS, k * 7 % 17))
+    return table(spark, sf_dir, "part").select(k.alias("id"), path.alias("path"), F.col("p_size").alias("size_bytes"))
+
+
+#: What a file exports: names in several cases, some of them many files have.
+NAMES = ["resolveImport", "FLAG_REGISTRY", "Widget", "session", "useState", "run", "parseGitLog", "URI", "state_of", "HTMLParser", "flags", "normalizeAll"]
+KINDS = ["function", "class", "const", "explicit", "default", "struct", "extension"]
+EXPORTS_SQL = f"""SELECT DISTINCT l_partkey AS id, {sql_list(NAMES)}[(l_partkey * 3 + l_linenumber) % 12 + 1] || CASE WHEN l_linenumber > 2 THEN (l_partkey % 40)::VARCHAR ELSE '' END AS name,
+  {sql_list(KINDS)}[(l_partkey + l_linenumber) % 7 + 1] AS kind FROM lineitem"""
+
+
+def exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, n = F.col("l_partkey"), F.col("l_linenumber")
+    name = F.concat(_pick(NAMES, (k * 3 + n) % 12), F.when(n > 2, (k % 40).cast("string")).otherwise(""))
+    return table(spark, sf_dir, "lineitem").select(k.alias("id"), name.alias("name"), _pick(KINDS, (k + n) % 7).alias("kind")).distinct()
+
+
+#: Lines of code, a line for each line item: definitions, exports, imports, prose.
+LINES = [
+    "export function resolveImport(root) {", "  const flags = loadFlags()", "class Widget(Base):", "def parse_log(text):", "import { Widget } from './widget'", "module.exports = { run }", "exports.run = run", "return the value of the flags",
+    "export class URI extends Node {", "FLAG_REGISTRY = {}", "public struct URI: Hashable {", "    async def run(self):", "export const useState = 1", "const x = require('./session')", "if else for while return const let", "func run() {", "extension Widget {", "export default function main() {",
+    "__all__ = ['Widget', 'run']", "export { run as start, Widget }", "type State = number", "plain words about a session", "await import('./lazy')", "export * from './all'", "import 'side-effect'", "export interface Shape {", "pub fn parse_log() {", "@main", "from .models import User", "  case north",
+]
+CODE_SQL = f"SELECT l_partkey AS id, l_orderkey * 10 + l_linenumber AS line_no, {sql_list(LINES)}[(l_orderkey * 7 + l_linenumber) % 30 + 1] AS line, 400.0 + l_quantity AS score FROM lineitem"
+
+
+def code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, n = F.col("l_orderkey"), F.col("l_linenumber")
+    return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("id"), (o * 10 + n).alias("line_no"), _pick(LINES, (o * 7 + n) % 30).alias("line"), (F.lit(400.0) + F.col("l_quantity")).alias("score"))
