@@ -25,11 +25,6 @@ def term_hits(line: Column, terms: list[str]) -> Column:
     return sum((low.contains(t.lower()).cast("int") for t in terms[1:]), low.contains(terms[0].lower()).cast("int"))
 
 
-def noise_ratio(line: Column, noise: list[str]) -> Column:
-    words = F.filter(F.split(F.lower(line), "[^a-z]+"), lambda w: w != "")
-    return F.when(F.size(words) > 0, F.size(F.filter(words, lambda w: w.isin(noise))) / F.size(words)).otherwise(0.0)
-
-
 def with_context(lines: DataFrame, key: str, order: str, text: str, reach: int) -> DataFrame:
     """Adds before and after: arrays of the whole lines around each, fewer at the ends."""
     w = Window.partitionBy(key).orderBy(order)

@@ -6,10 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fixed values of the scoring model.
-GRAPH_FACTOR, BOTH_FACTOR = 1.4, 1.2
 FAN_IN_STEP, FAN_IN_CAP = 0.02, 0.15
-DEFINITION_FLOOR = 600.0
-TEST_PENALTY, VENDOR_PENALTY, DOC_PENALTY = 25, 50, 40
 COUNT_WEIGHT = 0.075
 
 
@@ -18,34 +15,6 @@ def fan_in_fraction(fan_in: Column) -> Column:
     return F.least(F.lit(FAN_IN_CAP), F.log1p(fan_in.cast("double")) * FAN_IN_STEP)
 
 
-def graph_rank(hits: DataFrame, limit: int) -> DataFrame:
-    """Rows of query, path, base, is_definition, fan_in: where a definition is among a query's hits, the others keep half of the fan-in part."""
-    any_def = F.max(F.col("is_definition").cast("int")).over(Window.partitionBy("query"))
-    part = fan_in_fraction(F.col("fan_in")) * F.when((any_def == 1) & ~F.col("is_definition"), 0.5).otherwise(1.0)
-    scored = hits.withColumn("score", F.round(F.col("base") * (1 + part), 2))
-    order = Window.partitionBy("query").orderBy(F.desc("score"), F.desc("fan_in"), "path")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).select("query", "path", "score", "fan_in", "rank")
-
-
-def fuse(graph: DataFrame, text: DataFrame, penalty: Column, limit: int) -> DataFrame:
-    """Full outer merge by query and path of (graph_score, is_definition, fan_in) and (text_score, line): graph evidence counts more, both together more still, and definitions have a floor."""
-    both = graph.join(text, ["query", "path"], "full_outer")
-    in_graph, in_text = F.col("graph_score").isNotNull(), F.col("text_score").isNotNull()
-    base = F.greatest(F.coalesce(F.col("graph_score") * GRAPH_FACTOR, F.lit(0.0)), F.coalesce("text_score", F.lit(0.0)))
-    raised = base * F.when(in_graph & in_text, BOTH_FACTOR).otherwise(1.0) * (1 - penalty)
-    floor = (DEFINITION_FLOOR + F.coalesce("graph_score", F.lit(0.0))) * (1 - penalty)
-    score = F.round(F.when(F.coalesce("is_definition", F.lit(False)), F.greatest(raised, floor)).otherwise(raised), 2)
-    ranked = both.withColumn("fused", score).withColumn("fan", F.coalesce("fan_in", F.lit(0)))
-    order = Window.partitionBy("query").orderBy(F.desc("fused"), F.desc("fan"), "path")
-    return ranked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).select("query", "path", "fused", "fan", in_graph.alias("in_graph"), in_text.alias("in_text"), "rank")
-
-
-def adjusted_score(score: Column, fan_in: Column, is_entry: Column, is_hot: Column, is_test: Column, is_vendor: Column, is_doc: Column) -> Column:
-    plus = F.when(is_entry, 10).otherwise(0) + F.when(is_hot, 15).otherwise(0) + F.least(fan_in, F.lit(15))
-    minus = F.when(is_test, TEST_PENALTY).otherwise(0) + F.when(is_vendor, VENDOR_PENALTY).otherwise(0) + F.when(is_doc, DOC_PENALTY).otherwise(0)
-    return F.greatest(score + plus - minus, F.lit(0.0))
-
-
 def cap_per_file(hits: DataFrame, cap: int) -> DataFrame:
     w = Window.partitionBy("path").orderBy(F.desc("score"), "ord")
     return hits.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= cap)

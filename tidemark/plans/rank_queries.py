@@ -9,51 +9,7 @@ from tidemark.functions import statistics as st
 from tidemark.operators import graph, ranking
 from tidemark.plans.registry import query
 from tidemark.sources import analogs
-from tidemark.sources.analogs import EDGES_SQL, FILES_SQL
-
-GRAPH = f"""edges AS ({EDGES_SQL}), files AS ({FILES_SQL}), fan AS (SELECT to_path AS id, count(*) AS n FROM edges WHERE NOT is_external AND to_path IS NOT NULL GROUP BY 1),
-hits AS (SELECT type AS query, path, CASE size_bytes % 4 WHEN 0 THEN 100.0 WHEN 1 THEN 85.0 WHEN 2 THEN 70.0 ELSE 60.0 END AS base, size_bytes % 4 = 0 AS is_definition, coalesce(n, 0) AS fan_in, size_bytes, id FROM files LEFT JOIN fan USING (id)),
-ranked AS (SELECT *, max(is_definition::INTEGER) OVER (PARTITION BY query) AS any_def FROM hits),
-scored AS (SELECT query, path, is_definition, fan_in, id, size_bytes, round(base * (1 + least(0.15, ln(1 + fan_in) * 0.02) * CASE WHEN any_def = 1 AND NOT is_definition THEN 0.5 ELSE 1.0 END), 2) AS score FROM ranked),
-top AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, fan_in DESC, path) AS rank FROM scored)"""
-
-
-def _hits(spark, sf_dir):
-    files, edges = analogs.files(spark, sf_dir), analogs.edges(spark, sf_dir)
-    fan = graph.fan_in_out(files.select("id"), edges).select("id", "fan_in")
-    size = F.col("size_bytes") % 4
-    base = F.when(size == 0, 100.0).when(size == 1, 85.0).when(size == 2, 70.0).otherwise(60.0)
-    return files.join(fan, "id").select(F.col("type").alias("query"), "path", base.alias("base"), (size == 0).alias("is_definition"), "fan_in", "size_bytes", "id")
-
-
-@query(f"WITH {GRAPH} SELECT query, path, score, fan_in, rank::INTEGER AS rank FROM top WHERE rank <= 10")
-def graph_rank_suppressed(spark, sf_dir):
-    return ranking.graph_rank(_hits(spark, sf_dir), 10)
-
-
-FUSED = f"""WITH {GRAPH}, g AS (SELECT query, path, score AS graph_score, id % 2 = 0 AS is_definition, fan_in FROM top WHERE rank <= 10),
-t AS (SELECT type AS query, path, 50.0 + size_bytes AS text_score, size_bytes AS line FROM files WHERE size_bytes >= 25),
-b AS (SELECT coalesce(g.query, t.query) AS query, coalesce(g.path, t.path) AS path, graph_score, text_score, is_definition, fan_in, CASE WHEN contains(coalesce(g.path, t.path), 'brushed') THEN 0.25 ELSE 0.0 END AS penalty FROM g FULL JOIN t ON g.query = t.query AND g.path = t.path),
-r AS (SELECT *, greatest(coalesce(graph_score * 1.4, 0.0), coalesce(text_score, 0.0)) * CASE WHEN graph_score IS NOT NULL AND text_score IS NOT NULL THEN 1.2 ELSE 1.0 END * (1 - penalty) AS raised FROM b),
-f AS (SELECT query, path, round(CASE WHEN is_definition THEN greatest(raised, (600.0 + coalesce(graph_score, 0.0)) * (1 - penalty)) ELSE raised END, 2) AS fused, coalesce(fan_in, 0) AS fan, graph_score IS NOT NULL AS in_graph, text_score IS NOT NULL AS in_text FROM r),
-o AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY fused DESC, fan DESC, path) AS rank FROM f)"""
-
-
-@query(f"{FUSED} SELECT query, path, fused, fan, in_graph, in_text, rank::INTEGER AS rank FROM o WHERE rank <= 8")
-def fused_merge(spark, sf_dir):
-    top = ranking.graph_rank(_hits(spark, sf_dir), 10).join(analogs.files(spark, sf_dir).select("id", "path"), "path")
-    found = top.select("query", "path", F.col("score").alias("graph_score"), (F.col("id") % 2 == 0).alias("is_definition"), "fan_in")
-    text = analogs.files(spark, sf_dir).filter("size_bytes >= 25").select(F.col("type").alias("query"), "path", (F.col("size_bytes") + 50.0).alias("text_score"), F.col("size_bytes").alias("line"))
-    return ranking.fuse(found, text, F.when(F.col("path").contains("brushed"), 0.25).otherwise(0.0), 8)
-
-
-@query(f"""WITH {GRAPH} SELECT id, greatest(base + CASE WHEN size_bytes = 1 THEN 10 ELSE 0 END + CASE WHEN fan_in >= 40 THEN 15 ELSE 0 END + least(fan_in, 15) - CASE WHEN contains(path, 'anodized') THEN 25 ELSE 0 END
- - CASE WHEN contains(path, 'plated') THEN 50 ELSE 0 END - CASE WHEN contains(path, 'tin') THEN 40 ELSE 0 END, 0.0) AS score FROM hits""")
-def hit_adjusted_score(spark, sf_dir):
-    has = lambda s: F.col("path").contains(s)
-    score = ranking.adjusted_score(F.col("base"), F.col("fan_in"), F.col("size_bytes") == 1, F.col("fan_in") >= 40, has("anodized"), has("plated"), has("tin"))
-    return _hits(spark, sf_dir).select("id", score.alias("score"))
-
+from tidemark.sources.analogs import EDGES_SQL
 
 LINE_HITS = "h AS (SELECT l_partkey AS path, l_quantity AS score, l_orderkey * 10 + l_linenumber AS ord, l_suppkey % 40 AS fan_in FROM lineitem)"
 

@@ -65,23 +65,6 @@ def token_coverage_rank(spark, sf_dir):
     return covered.groupBy("doc_id").agg(F.min_by("line_no", F.struct(-F.col("coverage"), "line_no")).alias("line_no"), F.max("coverage").alias("coverage"))
 
 
-NOISE = ["the", "of", "and", "to", "in", "is", "that", "it"]
-
-
-@query(f"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '') AS words FROM documents)
-SELECT doc_id, round(CASE WHEN len(words) > 0 THEN len(list_filter(words, lambda x: x IN ({', '.join(f"'{w}'" for w in NOISE)}))) / len(words) ELSE 0 END, 6) AS ratio FROM w""")
-def noise_ratio(spark, sf_dir):
-    return analogs.table(spark, sf_dir, "documents").select("doc_id", F.round(ft.noise_ratio(F.col("text"), NOISE), 6).alias("ratio"))
-
-
-@query("""SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, nullif(regexp_extract(url, '^[a-z]+://([^/]+)', 1), '') AS host FROM pages""")
-def symbol_def_extract(spark, sf_dir):
-    """The first defining pattern of a page, as the first definition of a line."""
-    return analogs.table(spark, sf_dir, "pages").select(
-        "page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.nullif(F.regexp_extract("url", "^[a-z]+://([^/]+)", 1), F.lit("")).alias("host")
-    )
-
-
 @query("""SELECT conv_id, turn, role, text, before, after FROM (SELECT *, lag(text, 1) OVER w AS one, lag(text, 2) OVER w AS two, lead(text, 1) OVER w AS next, lead(text, 2) OVER w AS last,
 list_filter([lag(text, 2) OVER w, lag(text, 1) OVER w], lambda x: x IS NOT NULL) AS before, list_filter([lead(text, 1) OVER w, lead(text, 2) OVER w], lambda x: x IS NOT NULL) AS after
 FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE contains(lower(text), ' the ') OR contains(lower(text), ' der ')""")
