@@ -134,7 +134,8 @@ def file_exports(spark, sf_dir):
 
 def _sources(spark, sf_dir):
     lines = analogs.code(spark, sf_dir).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("lines"))
-    return lines.select("id", F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("source"))
+    # a statement of its own between lines, as a list followed by from is no export
+    return lines.select("id", F.array_join(F.transform("lines", lambda x: x["line"]), "\n;\n").alias("source"))
 
 
 ASKED = {1: ["resolveImport"], 2: ["Widget", "run"], 3: ["URI", "extension"], 4: ["flags", "registry", "loadFlags"], 5: ["parse_log", "north"], 6: ["session", "value"]}
