@@ -192,6 +192,11 @@ def folded(counts: np.ndarray, size: int) -> np.ndarray:
     return counts.reshape(-1, size).sum(0, dtype=np.uint16)
 
 
+def short_names(tokens: np.ndarray) -> bytes:
+    """Two bytes for each token; like tokens have like names, and a few others too."""
+    return np.unique((tokens >> np.uint64(40)).astype("<u2")).tobytes()
+
+
 NODES = "name binary, n int, profile binary, tokens array<long>, second binary, third binary"
 
 
@@ -207,7 +212,7 @@ def _shared_fronts(words: int, rarity: np.ndarray, percent: int, bits: np.ndarra
                 shared = may_hold(bits, s)
                 fronts = [s[shared & in_front(s, rarity, o, percent)] for o in ORDERS]
                 if all(map(len, fronts)):
-                    rows.append((name_of(s), len(s), profile(s), fronts[0].view(np.int64), *(f.astype("<u4").tobytes() for f in fronts[1:])))
+                    rows.append((name_of(s), len(s), profile(s), fronts[0].view(np.int64), *(short_names(f) for f in fronts[1:])))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
@@ -242,7 +247,7 @@ def tie_candidates(rows: list[tuple], across: bool, percent: int) -> list[tuple[
         for k, front in enumerate(fronts):
             for x in (i, j):
                 if front[x] is None:
-                    front[x] = frozenset(np.frombuffer(rows[x][5 + k], "<u4").tolist())
+                    front[x] = frozenset(np.frombuffer(rows[x][5 + k], "<u2").tolist())
             if front[i].isdisjoint(front[j]):
                 return False
         return True
@@ -393,19 +398,22 @@ def similar_sets(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT,
     fronts = map_arrow(docs.select("text"), _count_fronts(words, rarity, percent), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     shared = stash(fronts.filter("n > 1").select("token"), "shared-tokens")
     bits = key_filter(shared, "token", shared.count())
-    held = map_arrow(docs.select("text"), _shared_fronts(words, rarity, percent, bits), NODES)
-    held = stash(held.join(nodes.select("name", "node"), "name").dropDuplicates(["name"]).drop("name"), "shared-nodes")
+    held = stash(map_arrow(docs.select("text"), _shared_fronts(words, rarity, percent, bits), NODES), "shared-sets")
+    fronts = held.select("name", "n", "tokens").dropDuplicates(["name"]).join(nodes.select("name", "node"), "name")
 
-    # Buckets: by token and class of sizes; two sets of like sizes are in one class or in neighbouring ones.
+    # Tokens that the same sets have in front are one; among few postings, buckets are then made by
+    # class of sizes: two sets of like sizes are in one class or in neighbouring ones.
     size_class = F.floor(F.log(F.col("n").cast("double")) / math.log(1.005 * 100 / percent)).cast("int")
-    own = held.select("node", "n", size_class.alias("own"), F.explode("tokens").alias("token"))
-    dealt = own.select("token", "node", "n", F.explode(F.array("own", F.col("own") + 1)).alias("class"), "own").withColumn("native", F.col("own") == F.col("class")).drop("own")
-    members = dealt.groupBy("token", "class").agg(
-        F.count("*").alias("n"), F.sum("n").alias("tokens"), F.count_if("native").alias("natives"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")
-    )
-    unlike = members.filter("n > 1 and natives > 0").groupBy("class", "n", "tokens", "natives", "x", "y").agg(F.min("token").alias("token"))
-    buckets = stash(unlike.select("token", "class", F.greatest(F.ceil(F.col("n") / CUT_NODES), F.ceil(F.col("tokens") / PROFILE_TOKENS)).cast("int").alias("cuts")), "shingle-buckets")
-    met = _every_two_cuts(dealt.drop("n").join(buckets, ["token", "class"]), "node").join(held.select("node", "n", "profile", "second", "third"), "node")
+    own = fronts.select("node", "n", size_class.alias("own"), F.explode("tokens").alias("token"))
+    postings = own.groupBy("token").agg(F.count("*").alias("held"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).filter("held > 1")
+    unlike = stash(postings.groupBy("held", "x", "y").agg(F.min("token").alias("token")).select("token"), "shingle-postings")
+    classes = F.explode(F.array("own", F.col("own") + 1)).alias("class")
+    dealt = stash(own.join(unlike, "token").select("token", "node", "n", classes, "own").withColumn("native", F.col("own") == F.col("class")).drop("own"), "shingle-members")
+    members = dealt.groupBy("token", "class").agg(F.count("*").alias("held"), F.sum("n").alias("tokens"), F.count_if("native").alias("natives")).filter("held > 1 and natives > 0")
+    cuts = F.greatest(F.ceil(F.col("held") / CUT_NODES), F.ceil(F.col("tokens") / PROFILE_TOKENS)).cast("int")
+    buckets = stash(members.select("token", "class", cuts.alias("cuts")), "shingle-buckets")
+    met = _every_two_cuts(dealt.join(buckets, ["token", "class"]), "node").join(nodes.select("node", "name"), "node")
+    met = met.join(held.select("name", "profile", "second", "third").dropDuplicates(["name"]), "name")
     keys = ["token", "class", "low", "high"]
     met = met.select(*keys, "cut", "native", "node", "n", "profile", "second", "third").repartition(partitions(spark), *keys).sortWithinPartitions(*keys)
     ties = stash(map_arrow(met, _tie(percent), "a long, b long"), "candidate-ties")
