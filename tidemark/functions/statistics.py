@@ -50,11 +50,18 @@ def reciprocal_rank(ranked: DataFrame, k: int) -> DataFrame:
 
 
 def ndcg_at(ranked: DataFrame, k: int) -> DataFrame:
+    """Rows of (query, rank, gain); a relevant row that wasn't ranked has no rank and counts for the ideal alone."""
     discounted = lambda rank: F.sum(F.when(F.col(rank) <= k, F.col("gain") / F.log2(F.col(rank) + 1)).otherwise(0.0))
-    ideal = ranked.withColumn("best", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("gain"), "rank")))
+    ideal = ranked.withColumn("best", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("gain"), F.asc_nulls_last("rank"))))
     return ideal.groupBy("query").agg(F.round(F.when(discounted("best") > 0, discounted("rank") / discounted("best")).otherwise(0.0), 6).alias("ndcg"))
 
 
+def recall(relevant: DataFrame, found: DataFrame, key: str, item: str) -> DataFrame:
+    """Per case the share of its relevant items that were found."""
+    seen = found.select(key, item).distinct().withColumn("seen", F.lit(1))
+    return relevant.select(key, item).distinct().join(seen, [key, item], "left").groupBy(key).agg(F.round(F.count("seen") / F.count("*"), 6).alias("recall"))
+
+
 def permutation_lift(injected: DataFrame, opened: DataFrame, pool: DataFrame, *, rounds: int, seed: int) -> DataFrame:
     """Hit rate of injected files (session, slot, path) against opened ones, and of random files of the pool (path, number from 0) in their place.
 

@@ -31,3 +31,12 @@ def with_context(lines: DataFrame, key: str, order: str, text: str, reach: int)
     some = lambda x: x.isNotNull()
     before = F.filter(F.array(*(F.lag(text, k).over(w) for k in range(reach, 0, -1))), some)
     return lines.withColumns({"before": before, "after": F.filter(F.array(*(F.lead(text, k).over(w) for k in range(1, reach + 1))), some)})
+
+
+def best_covered(lines: DataFrame, key: str, terms: list[str]) -> DataFrame:
+    """Rows of (key, line_no, line, score): per key its line with most terms, and the terms of all lines."""
+    found = F.filter(F.array(*map(F.lit, terms)), lambda t: F.lower(F.col("line")).contains(F.lower(t)))
+    some = lines.withColumn("found", found).filter(F.size("found") > 0)
+    best = F.max_by("line_no", F.struct(F.size("found"), "score", -F.col("line_no")))
+    covered = sum((F.max(F.array_contains("found", t).cast("int")) for t in terms[1:]), F.max(F.array_contains("found", terms[0]).cast("int")))
+    return some.groupBy(key).agg(best.alias("line_no"), F.max(F.size("found")).alias("coverage"), covered.alias("covered"))

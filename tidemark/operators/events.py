@@ -90,14 +90,10 @@ def latest_by(events: DataFrame, key: list[str]) -> DataFrame:
 
 
 def retention(events: DataFrame, key: str, cap: int) -> DataFrame:
-    """Keeps the newest row of every key, then the newest others up to a cap in all."""
+    """At most cap rows: the newest of every key first, newest keys before others, then the newest of the rest."""
     newest = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("ts"), F.desc("ord")))
-    ranked = events.withColumn("protected", newest == 1)
-    protected = ranked.filter("protected")
-    room = protected.agg(F.greatest(F.lit(cap) - F.count("*"), F.lit(0)).alias("room"))
-    others = ranked.filter("not protected").orderBy(F.desc("ts"), F.desc("ord")).limit(cap)
-    placed = others.withColumn("place", F.row_number().over(Window.orderBy(F.desc("ts"), F.desc("ord"))))  # cap rows
-    return protected.unionByName(placed.join(F.broadcast(room)).filter("place <= room").drop("place", "room"))  # one row
+    ranked = events.withColumn("history", (newest > 1).cast("int"))
+    return ranked.orderBy("history", F.desc("ts"), F.desc("ord")).limit(cap).drop("history")
 
 
 def rolling_count(events: DataFrame, key: str, span_ms: int) -> DataFrame:

@@ -127,13 +127,23 @@ def latest_per_key(spark, sf_dir):
     return ev.latest_by(analogs.events(spark, sf_dir), ["sid", "name"]).select("sid", "name", "ord", "ts", "value")
 
 
-@query(f"""WITH {EVENTS}, k AS (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY ts DESC, ord DESC) AS rn FROM e), p AS (SELECT * FROM k WHERE rn = 1),
-o AS (SELECT *, row_number() OVER (ORDER BY ts DESC, ord DESC) AS place FROM k WHERE rn > 1)
-SELECT sid, ord FROM p UNION ALL SELECT sid, ord FROM o WHERE place <= greatest(3000 - (SELECT count(*) FROM p), 0)""")
+def _retention_sql(cap: int) -> str:
+    return f"""WITH {EVENTS}, k AS (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY ts DESC, ord DESC) AS rn FROM e), p AS (SELECT sid, ord, row_number() OVER (ORDER BY ts DESC, ord DESC) AS place FROM k WHERE rn = 1),
+o AS (SELECT sid, ord, row_number() OVER (ORDER BY ts DESC, ord DESC) AS place FROM k WHERE rn > 1)
+SELECT sid, ord FROM p WHERE place <= {cap} UNION ALL SELECT sid, ord FROM o WHERE place <= greatest({cap} - (SELECT count(*) FROM p), 0)"""
+
+
+@query(_retention_sql(3000))
 def retention_two_level(spark, sf_dir):
     return ev.retention(analogs.events(spark, sf_dir), "sid", 3000).select("sid", "ord")
 
 
+@query(_retention_sql(100))
+def retention_of_newest(spark, sf_dir):
+    """A cap below the number of keys: the newest of them win."""
+    return ev.retention(analogs.events(spark, sf_dir), "sid", 100).select("sid", "ord")
+
+
 @query(f"WITH {EVENTS} SELECT ord, sid, count(*) OVER (PARTITION BY sid ORDER BY ts RANGE BETWEEN 60000 PRECEDING AND CURRENT ROW) AS recent FROM e")
 def rolling_60s_count(spark, sf_dir):
     return ev.rolling_count(analogs.events(spark, sf_dir), "sid", 60_000)

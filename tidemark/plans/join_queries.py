@@ -49,9 +49,10 @@ def pair_overlap(spark, sf_dir):
     return pairs.agg(F.count("*").alias("overlap"), F.slice(F.array_sort(F.collect_list("item")), 1, 50).alias("items"))
 
 
-@query("SELECT c_custkey AS id FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey AS id FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 def orphans_anti(spark, sf_dir):
-    orders = analogs.table(spark, sf_dir, "orders").select("o_custkey")
+    """Opportunities that nothing has closed: customers without an urgent order."""
+    orders = analogs.table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'").select("o_custkey")
     customers = analogs.table(spark, sf_dir, "customer")
     return customers.join(orders, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select(F.col("c_custkey").alias("id"))
 

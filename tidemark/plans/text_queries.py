@@ -58,11 +58,11 @@ def search_tiers(spark, sf_dir):
     return ranking.first_tier(counted).select("query", "tier", "hits", "docs")
 
 
-@query(f"""WITH {LINES}, c AS (SELECT doc_id, line_no, contains(lower(line), 'idiot')::INTEGER + contains(lower(line), 'moron')::INTEGER + contains(lower(line), 'scum')::INTEGER AS coverage FROM lines)
-SELECT doc_id, (list(line_no ORDER BY coverage DESC, line_no))[1] AS line_no, max(coverage) AS coverage FROM c WHERE coverage > 0 GROUP BY 1""")
+@query(f"""WITH {LINES}, c AS (SELECT doc_id, line_no, length(line) AS score, list_filter(['idiot', 'moron', 'scum'], lambda t: contains(lower(line), t)) AS found FROM lines)
+SELECT doc_id, (list(line_no ORDER BY len(found) DESC, score DESC, line_no))[1] AS line_no, max(len(found))::INTEGER AS coverage, len(list_distinct(flatten(list(found))))::INTEGER AS covered FROM c WHERE len(found) > 0 GROUP BY 1""")
 def token_coverage_rank(spark, sf_dir):
-    covered = _lines(spark, sf_dir).withColumn("coverage", ft.term_hits(F.col("line"), ["idiot", "moron", "scum"])).filter("coverage > 0")
-    return covered.groupBy("doc_id").agg(F.min_by("line_no", F.struct(-F.col("coverage"), "line_no")).alias("line_no"), F.max("coverage").alias("coverage"))
+    """Per document the line with most of the words, the best scored among equals, and how many of the words its lines hold together."""
+    return ft.best_covered(_lines(spark, sf_dir).withColumn("score", F.length("line")), "doc_id", ["idiot", "moron", "scum"])
 
 
 @query("""SELECT conv_id, turn, role, text, before, after FROM (SELECT *, lag(text, 1) OVER w AS one, lag(text, 2) OVER w AS two, lead(text, 1) OVER w AS next, lead(text, 2) OVER w AS last,

@@ -106,3 +106,26 @@ CODE_SQL = f"SELECT l_partkey AS id, l_orderkey * 10 + l_linenumber AS line_no,
 def code(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, n = F.col("l_orderkey"), F.col("l_linenumber")
     return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("id"), (o * 10 + n).alias("line_no"), _pick(LINES, (o * 7 + n) % 30).alias("line"), (F.lit(400.0) + F.col("l_quantity")).alias("score"))
+
+
+#: A telemetry log with all the names that summaries read: a row for each line item, ord its place in the log.
+EVENT_NAMES = [
+    "retrieval.classified", "retrieval.injected", "retrieval.empty_fallback", "retrieval.deduped", "retrieval.stale_hit", "retrieval.path_hit", "retrieval.path_miss", "retrieval.region_hit", "retrieval.region_miss", "freshness.fresh_hit",
+    "freshness.stale_hit", "freshness.blackout_turn", "freshness.sync_rescan", "scan.completed", "claim.served", "contextdelta.emitted", "structure.delta", "sprawl.nudge", "coherence.report_eligible", "coherence.delta_delivered",
+    "coherence.skipped", "blastradius.injected", "blastradius.path_hit", "blastradius.path_miss", "mcp.invoked", "coherence.agent_registered", "coherence.agent_returned",
+]
+TOOLS, OUTCOMES = ["search", "explain", "(tools/list)", "related"], ["written", "retry", "failed", "missing", "ambiguous", "withheld", "moved"]
+LOG_SQL = f"""SELECT l_orderkey * 10 + l_linenumber AS ord, {sql_list(EVENT_NAMES)}[(l_orderkey * 5 + l_linenumber * 11) % 27 + 1] AS name, l_returnflag AS source, CASE l_suppkey % 5 WHEN 0 THEN 'holdback' WHEN 1 THEN 'holdback' WHEN 4 THEN NULL ELSE 'armed' END AS arm,
+  l_orderkey % 500 AS turn, l_suppkey AS sid, CASE WHEN l_linestatus = 'F' THEN 'head_changed' ELSE 'sync' END AS reason, l_linenumber::BIGINT AS n, l_quantity % 4 AS changed, CASE l_partkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS ok,
+  {sql_list(TOOLS)}[l_partkey % 4 + 1] AS tool, CASE WHEN l_suppkey % 3 > 0 THEN 'client' || (l_suppkey % 3) END AS client, l_extendedprice AS duration_ms, l_tax > 0.02 AS success, l_discount > 0.03 AS retrieve,
+  {sql_list(OUTCOMES)}[l_partkey % 7 + 1] AS outcome, CASE WHEN l_partkey % 9 > 0 THEN l_partkey % 50 END AS agent FROM lineitem"""
+
+
+def log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, n, p, s = (F.col(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
+    return table(spark, sf_dir, "lineitem").select(
+        (o * 10 + n).alias("ord"), _pick(EVENT_NAMES, (o * 5 + n * 11) % 27).alias("name"), F.col("l_returnflag").alias("source"), F.when(s % 5 <= 1, "holdback").when(s % 5 < 4, "armed").alias("arm"), (o % 500).alias("turn"), s.alias("sid"),
+        F.when(F.col("l_linestatus") == "F", "head_changed").otherwise("sync").alias("reason"), n.cast("long").alias("n"), (F.col("l_quantity") % 4).alias("changed"), F.when(p % 3 == 0, True).when(p % 3 == 1, False).alias("ok"),
+        _pick(TOOLS, p % 4).alias("tool"), F.when(s % 3 > 0, F.concat(F.lit("client"), (s % 3).cast("string"))).alias("client"), F.col("l_extendedprice").alias("duration_ms"), (F.col("l_tax") > 0.02).alias("success"), (F.col("l_discount") > 0.03).alias("retrieve"),
+        _pick(OUTCOMES, p % 7).alias("outcome"), F.when(p % 9 > 0, p % 50).alias("agent"),
+    )

@@ -50,16 +50,26 @@ def _frame(sid, rows: list) -> pd.DataFrame:
 
 
 def exposure_windows(events: DataFrame, opening: str) -> DataFrame:
-    """All windows of a finished log (sid, ord, ts, name): one row each, by append order within a session."""
+    """All windows of a finished log (sid, ord, ts, name): one row each, by append order within a session.
+
+    Sessions come sorted and in batches; only the open window of the session at hand is kept.
+    """
     ship_package(events.sparkSession)
 
-    def of_session(rows: pd.DataFrame) -> pd.DataFrame:
-        state, out = Exposure(), []
-        for r in rows.sort_values("ord").itertuples():
-            out += state.take(int(r.ts), r.name == opening)
-        return _frame(rows["sid"].iloc[0], out + state.finish())
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sid, state = None, Exposure()
+        for rows in frames:
+            out = []
+            for r in rows.itertuples(index=False):
+                if r.sid != sid:
+                    out += [(sid, *w) for w in state.finish()]
+                    sid, state = r.sid, Exposure()
+                out += [(sid, *w) for w in state.take(int(r.ts), r.opens)]
+            yield pd.DataFrame(out, columns=["sid", "opened", "closed", "touches", "reason"])
+        yield _frame(sid, state.finish())
 
-    return events.select("sid", "ord", "ts", "name").groupBy("sid").applyInPandas(of_session, EXPOSURES)
+    rows = events.select("sid", "ts", (F.col("name") == opening).alias("opens"), "ord")
+    return rows.repartition("sid").sortWithinPartitions("sid", "ord").mapInPandas(run, EXPOSURES)
 
 
 def stream_exposure_windows(events: DataFrame, opening: str) -> DataFrame:
@@ -82,11 +92,21 @@ def stream_exposure_windows(events: DataFrame, opening: str) -> DataFrame:
 
 
 def spaced(events: DataFrame, key: str, gap_ms: int) -> DataFrame:
-    """Rows at least gap_ms after the last row kept, by key: the gap is to a kept row, so it folds over the sorted times of a key."""
-    times = events.groupBy(key).agg(F.array_sort(F.collect_set("ts")).alias("times"))
-    start = F.array().cast("array<bigint>")
-    keep = F.aggregate("times", start, lambda kept, t: F.when((F.size(kept) == 0) | (t - F.element_at(kept, -1) >= gap_ms), F.concat(kept, F.array(t))).otherwise(kept))
-    return times.select(key, F.explode(keep).alias("ts"))
+    """Times at least gap_ms after the last time kept, by key: one pass over sorted times, with the last kept time as its only state."""
+    ship_package(events.sparkSession)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, last = None, 0
+        for rows in frames:
+            kept = []
+            for k, ts in zip(rows[key], rows["ts"], strict=True):
+                if k != own or ts - last >= gap_ms:
+                    own, last = k, ts
+                    kept.append((k, ts))
+            yield pd.DataFrame(kept, columns=[key, "ts"])
+
+    rows = events.select(key, "ts")
+    return rows.repartition(key).sortWithinPartitions(key, "ts").mapInPandas(run, rows.schema)
 
 
 def upsert_files(current: DataFrame, batch: DataFrame, key: str = "path") -> DataFrame:
@@ -99,7 +119,7 @@ def follow(stream: DataFrame, path: str, checkpoint: str, key: str = "path"):
 
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        latest = batch.dropDuplicates([key])
+        latest = batch.withColumn("_at", F.monotonically_increasing_id()).groupBy(key).agg(F.max_by(F.struct(*batch.columns), "_at").alias("row")).select("row.*")  # the last row of each key
         old = f"{path}/{number - 1}"
         (upsert_files(spark.read.parquet(old), latest, key) if number else latest).write.mode("overwrite").parquet(f"{path}/{number}")
 
