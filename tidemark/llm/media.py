@@ -239,7 +239,8 @@ def sniff_column(media: DataFrame, column: str = "media", declared: str | None =
     replace any of the same name.
     """
     names = [c for c in media.columns if c not in ("true_type", "embedded", "corrected")]
-    kept = media.select(*(F.col(f"`{c}`") for c in names))
+    plain = [f"c{k}" for k in range(len(names))]  # names with dots can't pass through mapInArrow
+    kept = media.select(*(F.col(f"`{c}`") for c in names)).toDF(*plain)
     at = names.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,9 +248,10 @@ def sniff_column(media: DataFrame, column: str = "media", declared: str | None =
         for batch in batches:
             seen = [sniff(b) for b in batch.column(at).to_pylist()]
             inner = [[dict(zip(("kind", "offset", "length"), x, strict=True)) for x in e] for _, e in seen]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([k for k, _ in seen]), pa.array(inner, kinds)], names=[*names, "true_type", "embedded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([k for k, _ in seen]), pa.array(inner, kinds)], names=[*plain, "true_type", "embedded"])
 
-    out = map_arrow(kept, run, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in kept.schema)}, true_type string, embedded {EMBEDDED}")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema)
+    out = map_arrow(kept, run, f"{schema}, true_type string, embedded {EMBEDDED}").toDF(*names, "true_type", "embedded")
     return out.withColumn("corrected", ~F.col(f"`{declared}`").eqNullSafe(F.col("true_type"))) if declared else out
 
 
