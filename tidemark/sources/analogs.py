@@ -129,3 +129,53 @@ def log(spark: SparkSession, sf_dir: str) -> DataFrame:
         _pick(TOOLS, p % 4).alias("tool"), F.when(s % 3 > 0, F.concat(F.lit("client"), (s % 3).cast("string"))).alias("client"), F.col("l_extendedprice").alias("duration_ms"), (F.col("l_tax") > 0.02).alias("success"), (F.col("l_discount") > 0.03).alias("retrieve"),
         _pick(OUTCOMES, p % 7).alias("outcome"), F.when(p % 9 > 0, p % 50).alias("agent"),
     )
+
+
+#: Sessions of twenty orders: every third order surfaces the parts of its lines, the others open them, some by their absolute path.
+SOURCES = ["exported_symbol", "text_only", "path_match"]
+STEPS_SQL = f"""SELECT l_orderkey // 20 AS sid, l_orderkey * 10 + CASE WHEN l_orderkey % 3 = 0 THEN 0 ELSE l_linenumber END AS ord, CASE WHEN l_orderkey % 3 = 0 THEN 'inject' ELSE 'open' END AS kind, l_linenumber AS slot,
+  CASE WHEN l_orderkey % 3 > 0 AND l_linenumber = 2 THEN '/repo/' ELSE '' END || CASE WHEN min(l_partkey) % 9 = 0 THEN 'tests' ELSE 'src' END || '/m' || (min(l_partkey) % 4) || '/f' || (min(l_suppkey) % 3) || '.js' AS path,
+  CASE WHEN l_orderkey % 2 = 0 THEN 'retrieval' ELSE 'static' END AS mode, {sql_list(SOURCES)}[(l_linenumber + l_orderkey) % 3 + 1] AS source, CASE WHEN min(l_partkey) % 3 = 0 THEN 'Edit' ELSE 'Read' END AS tool FROM lineitem GROUP BY l_orderkey, l_linenumber"""
+
+
+def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, n = F.col("l_orderkey"), F.col("l_linenumber")
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"))
+    surfaced = o % 3 == 0
+    path = F.concat(F.when(~surfaced & (n == 2), "/repo/").otherwise(""), F.when(F.col("p") % 9 == 0, "tests").otherwise("src"), F.lit("/m"), (F.col("p") % 4).cast("string"), F.lit("/f"), (F.col("s") % 3).cast("string"), F.lit(".js"))
+    return rows.select(
+        F.floor(o / 20).alias("sid"), (o * 10 + F.when(surfaced, 0).otherwise(n)).alias("ord"), F.when(surfaced, "inject").otherwise("open").alias("kind"), n.alias("slot"), path.alias("path"),
+        F.when(o % 2 == 0, "retrieval").otherwise("static").alias("mode"), _pick(SOURCES, (n + o) % 3).alias("source"), F.when(F.col("p") % 3 == 0, "Edit").otherwise("Read").alias("tool"),
+    )
+
+
+#: Whole sources: the lines of code of each file together.
+SOURCE_SQL = f"SELECT id, string_agg(line, chr(10) ORDER BY line_no, line) AS source FROM ({CODE_SQL}) GROUP BY 1"
+
+
+def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = F.array_sort(F.collect_list(F.struct("line_no", "line")))
+    return code(spark, sf_dir).groupBy("id").agg(F.array_join(F.transform(lines, lambda x: x.line), "\n").alias("source"))
+
+
+#: What files of the tree import.
+SPECIFIERS = ["./index", "./main.js", "../m0/app", "react", "node:fs", "./UserApp.js", "../../src/m0/index", "./flag_registry", "./", "../m0", "./util.spec", "../../../../out", "./renderer.mjs", "./UserApp"]
+IMPORTS_SQL = f"SELECT DISTINCT path AS importer, {sql_list(SPECIFIERS)}[(l_partkey + l_linenumber * 3) % 14 + 1] AS specifier FROM lineitem JOIN ({TREE_SQL}) t ON t.id = l_partkey"
+
+
+def imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("id"), _pick(SPECIFIERS, (F.col("l_partkey") + F.col("l_linenumber") * 3) % 14).alias("specifier")).distinct()
+    return lines.join(tree(spark, sf_dir), "id").select(F.col("path").alias("importer"), "specifier").distinct()
+
+
+#: Evaluated cases, one for each order: metrics with and without the graph, and what usefulness is made of.
+CASES_SQL = """SELECT o_orderkey AS id, o_custkey % 11 = 0 AS negative, o_orderkey % 6 > 0 AS pass, CASE WHEN o_orderkey % 5 > 0 THEN o_custkey % 4 / 4.0 END AS p_on, o_custkey % 3 / 4.0 AS p_off, o_orderkey % 8 / 8.0 AS mrr, o_custkey % 16 / 16.0 AS n_on, o_orderkey % 16 / 16.0 AS n_off,
+  CASE WHEN o_orderkey % 7 > 0 THEN o_custkey % 14 END AS primary_rank, o_custkey % 2 = 0 AS good_hits, o_orderkey % 4 AS warnings, o_custkey % 5 = 0 AS exact, o_orderkey % 9 > 0 AS graph, o_orderkey % 3 AS related, o_custkey % 4 AS lib_related, o_orderkey % 13 AS ranked FROM orders"""
+
+
+def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    return table(spark, sf_dir, "orders").select(
+        o.alias("id"), (c % 11 == 0).alias("negative"), (o % 6 > 0).alias("pass"), F.when(o % 5 > 0, c % 4 / 4).alias("p_on"), (c % 3 / 4).alias("p_off"), (o % 8 / 8).alias("mrr"), (c % 16 / 16).alias("n_on"), (o % 16 / 16).alias("n_off"),
+        F.when(o % 7 > 0, c % 14).alias("primary_rank"), (c % 2 == 0).alias("good_hits"), (o % 4).alias("warnings"), (c % 5 == 0).alias("exact"), (o % 9 > 0).alias("graph"), (o % 3).alias("related"), (c % 4).alias("lib_related"), (o % 13).alias("ranked"),
+    )
