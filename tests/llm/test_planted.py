@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
-from tidemark.llm import jaccard, media, mixing, packing, suffixes, token_files, vectors
+from tidemark.llm import jaccard, media, mixing, packing, suffixes, token_files, toxicity, vectors
 from tidemark.llm.common import new_path
 
 RNG = np.random.default_rng(3)
@@ -132,3 +132,15 @@ def test_media_validators_reject_broken_items():
         assert media.sniff(blob[:-1])[0] == media.UNKNOWN
     png = next(b for k, b in whole if k == "image/png")
     assert media.sniff(png[:40] + b"\0" + png[41:])[0] == media.UNKNOWN
+
+
+def test_inner_scores_never_see_held_out_labels(spark):
+    """Turning the labels of the held-out fold around changes nothing; the inner fold alone is scored."""
+    docs = spark.createDataFrame([(k, f"plain words number {k}. " + ("you vile rotten fool" if k % 3 == 0 else "a kind and calm day")) for k in range(150)], "doc_id long, text string")
+    rest = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    labels = docs.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("toxic"))
+    turned = labels.withColumn("toxic", F.when(rest == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    scores = [sorted(map(tuple, toxicity.inner_scores(docs, x).collect())) for x in (labels, turned)]
+    assert scores[0] == scores[1]
+    assert {r[0] for r in scores[0]} == {r[0] for r in docs.filter(rest == 1).collect()}
+    assert brute.auc([r[1] for r in scores[0]], [r[2] for r in scores[0]]) == 1
