@@ -23,3 +23,4 @@ def query(sql: str | None = None):
 
 
 from tidemark.plans import event_queries, graph_queries, join_queries, metric_queries, path_queries, rank_queries, retrieval_queries, session_queries, text_queries  # noqa: E402, F401
+from tidemark.plans import ledger_queries  # noqa: E402, F401  # after those whose SQL it uses
