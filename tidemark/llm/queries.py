@@ -1,11 +1,11 @@
-"""The registered queries of the ten operators, each over its whole table with production parameters."""
+"""The registered queries of the operators, each over its whole table with production parameters."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import jaccard, media, mixing, packing, quality, suffixes, token_files, toxicity, vectors, warc
+from tidemark.llm import infill, jaccard, media, mixing, negatives, packing, quality, suffixes, token_files, toxicity, url_rules, vectors, warc
 from tidemark.llm.common import new_path
 
 
@@ -101,6 +101,86 @@ def op10_bucket_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_displacement_scatter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents cut and reordered for infilling; digests of the outputs and of the texts restored from them."""
+    cut = infill.fill_in_middle(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    hashed = cut.select("*", F.sha2("output", 256).alias("output_sha256"), F.col("form").alias("kind"))
+    back = infill.restore(hashed)
+    return back.select("doc_id", "n", F.col("kind").alias("form"), "prefix_chars", "middle_chars", "output_sha256", F.sha2("restored", 256).alias("restored_sha256"))
+
+
+OP11_SQL = r"""
+WITH cut AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS tokens,
+         sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS digest
+  FROM documents
+), drawn AS (
+  SELECT *, len(tokens) AS n, [('0x' || substr(digest, 8 * i + 1, 8))::BIGINT FOR i IN range(4)] AS h FROM cut
+), formed AS (
+  SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS low, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS high,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 50 THEN 'plain'
+              WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM drawn
+), parts AS (
+  SELECT *, array_to_string(tokens[1:low], '') AS prefix, array_to_string(tokens[low + 1:high], '') AS middle, array_to_string(tokens[high + 1:], '') AS suffix FROM formed
+)
+SELECT doc_id, n::BIGINT AS n, form,
+       CASE WHEN form <> 'plain' THEN length(prefix) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END::BIGINT AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM parts
+"""
+
+#: The rules of op12: host, path, verdict.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op12_interval_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's URL judged by the longest of four rules."""
+    rules = spark.range(1).select(F.inline(F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in zip(("host", "path", "verdict"), r))) for r in URL_RULES))))
+    return url_rules.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules)
+
+
+OP12_SQL = f"""
+WITH rules(rule_host, rule_path, rule_verdict) AS (VALUES {", ".join(map(str, URL_RULES))}
+), parts AS (
+  SELECT page_id, row_number() OVER () AS row, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), hosts AS (
+  SELECT page_id, row, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM parts
+), urls AS (
+  SELECT page_id, row, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM hosts
+)
+SELECT page_id, host, path, rule_host || rule_path AS rule, coalesce(rule_verdict, 'allow') AS verdict
+FROM urls LEFT JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+QUALIFY row_number() OVER (PARTITION BY row ORDER BY length(rule_host || rule_path) DESC, length(rule_host) DESC) = 1
+"""
+
+
+def op13_packed_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector, with every seventh vector's label moved on by one."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(vectors.withColumn("label", moved))
+
+
+OP13_SQL = """
+WITH usable AS (
+  SELECT vec_id, row_number() OVER () AS row, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * x::DOUBLE) FOR x IN embedding] AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), scored AS (
+  SELECT a.row AS anchor, a.vec_id AS anchor_id, b.row AS other, b.vec_id AS other_id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+  FROM usable a JOIN usable b ON a.vec_id % 50 = 0 AND a.row <> b.row AND len(a.v) = len(b.v)
+), positives AS (
+  SELECT anchor, anchor_id, other AS positive, other_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, other_id) <= 5
+)
+SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor, positive ORDER BY score DESC, other_id)::INTEGER AS rank, other_id AS negative_id, positive_score, score AS negative_score
+FROM positives p JOIN scored n ON n.anchor = p.anchor AND NOT n.same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3
+"""
+
+
 QUERIES = {
     "op1_token_planes": op1_token_planes,
     "op2_rotation_codes": op2_rotation_codes,
@@ -112,5 +192,8 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_kernel_quality": op9_kernel_quality,
     "op10_bucket_refinement": op10_bucket_refinement,
+    "op11_displacement_scatter": op11_displacement_scatter,
+    "op12_interval_sweep": op12_interval_sweep,
+    "op13_packed_products": op13_packed_products,
 }
-ORACLE_SQL: dict[str, str] = {"op5_temperature_mixing": OP5_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_temperature_mixing": OP5_SQL, "op11_displacement_scatter": OP11_SQL, "op12_interval_sweep": OP12_SQL, "op13_packed_products": OP13_SQL}
