@@ -160,13 +160,6 @@ def dropped_from_top(old: DataFrame, new: DataFrame, top: int) -> DataFrame:
     return both.select("case", state.alias("state"), F.when(state == "dropped", F.array_except("was", "now")).otherwise(F.array().cast("array<bigint>")).alias("dropped"))
 
 
-def priors(rates: DataFrame, *, least: int = 30, low: float = 0.7, high: float = 1.3) -> DataFrame:
-    """Multipliers of sources (source, n, opened): their rate over the rate of all, within bounds; sources with few rows have none."""
-    mean = rates.agg((F.sum("opened") / F.sum("n")).alias("mean"))
-    clipped = F.least(F.lit(high), F.greatest(F.lit(low), F.col("opened") / F.col("n") / F.col("mean")))
-    return rates.join(F.broadcast(mean)).select("source", "n", "opened", F.round(F.when(F.col("n") >= least, clipped).otherwise(1.0), 6).alias("multiplier"))  # one row
-
-
 def blind_mutations(touches: DataFrame, mutates: Column, reads: Column) -> DataFrame:
     """Mutations of (sid, path) that no read of the same session and path came before."""
     before = Window.partitionBy("sid", "path").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)

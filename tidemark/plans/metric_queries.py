@@ -204,13 +204,6 @@ def recall_of_runs(spark, sf_dir):
     return st.recall(relevant, found, "case", "path")
 
 
-@query(f"""WITH {LOG}, r AS (SELECT tool || source AS source, count(*) AS n, count(*) FILTER (ok) AS opened FROM log WHERE name IN ('mcp.invoked', 'claim.served') GROUP BY 1)
-SELECT source, n, opened, round(CASE WHEN n >= 30 THEN least(1.3, greatest(0.7, opened / n / (SELECT sum(opened) / sum(n) FROM r))) ELSE 1.0 END, 6) AS multiplier FROM r""")
-def source_priors(spark, sf_dir):
-    rows = analogs.log(spark, sf_dir).filter(mt.named("mcp.invoked") | mt.named("claim.served")).groupBy(F.concat("tool", "source").alias("source")).agg(F.count("*").alias("n"), F.count_if(F.col("ok")).alias("opened"))
-    return mt.priors(rows)
-
-
 @query(f"""WITH {LOG}, r AS (SELECT source, count(*) FILTER (name = 'retrieval.path_hit')::DOUBLE AS k, count(*)::DOUBLE AS n FROM log WHERE name IN ('retrieval.path_hit', 'retrieval.path_miss') GROUP BY 1)
 SELECT source, n::BIGINT AS surfaced, round(k / n, 6) AS rate, round({_wilson_sql('k', 'n', '-')}, 6) AS low, round({_wilson_sql('k', 'n', '+')}, 6) AS high FROM r""")
 def tune_report(spark, sf_dir):
