@@ -22,6 +22,10 @@ BLOCK_COMMENT, LINE_COMMENT = r"/\*[\s\S]*?\*/", r"(?m)^\s*//.*$"
 EXTENSIONS = [".ts", ".tsx", ".mts", ".cts", ".js", ".jsx", ".mjs", ".cjs", ".json"]
 TYPED = [".ts", ".tsx", ".mts", ".cts"]
 REWRITES = {".js": [".ts", ".tsx"], ".jsx": [".tsx", ".ts"], ".mjs": [".mts", ".ts"], ".cjs": [".cts", ".ts"]}
+#: Extensions of assets; files of configuration at the root, in order, and how many they inherit from; entries of a package that names none.
+ASSETS = r"\.(css|scss|sass|less|styl|png|jpe?g|gif|webp|svg|ico|bmp|tiff|woff2?|ttf|otf|eot|mp4|webm|mov|mp3|wav)$"
+CONFIGS, EXTENDS_DEPTH = ["tsconfig.json", "tsconfig.base.json", "jsconfig.json"], 4
+ENTRIES = ["src/index.ts", "src/index.tsx", "src/index.js", "index.ts", "index.js"]
 
 
 def without_comments(source: Column) -> Column:
@@ -62,21 +66,113 @@ def _extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"[^/](\.[^./]*)$", 1))
 
 
-def resolved(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """Adds kind and to_path to imports (importer, specifier): the first candidate that is a file.
+def path_aliases(configs: DataFrame) -> DataFrame:
+    """What each repository's configuration maps: (repo, pattern, deep, place, targets), targets as paths from the root with their star.
 
-    With an extension, only the path itself counts, or where a TypeScript file imports, what the extension is
-    compiled from; without one, extensions follow, then index files. Candidates meet files in an
-    equi-join; everything that isn't relative is external.
+    configs: repo, path, extends, base_url, paths (array of pattern, targets). The first of the
+    known files at the root counts; it inherits from the file it extends, four steps at most,
+    and overrides that. Patterns keep the order in which the deepest file names them: deep
+    first, then place. Extending a package, or a file outside the repository, counts for nothing.
     """
-    imports = imports.dropDuplicates(["importer", "specifier"])
-    base = joined_path(F.regexp_replace("importer", r"(^|/)[^/]*$", ""), F.col("specifier"))
-    relative = imports.filter(F.col("specifier").rlike(r"^\.{1,2}(/|$)")).withColumn("base", base)
-    written, typed = _extension(F.col("base")), _extension(F.col("importer")).isin(TYPED)
-    stem = F.col("base").substr(F.lit(1), F.length("base") - F.length(written))
+    order = F.array_position(F.array(*map(F.lit, CONFIGS)), F.col("path"))
+    first = configs.filter(F.col("path").isin(CONFIGS)).groupBy("repo").agg(F.min_by("path", order).alias("path"))
+    chain = [first.join(configs, ["repo", "path"]).withColumn("level", F.lit(0))]
+    for level in range(1, EXTENDS_DEPTH + 1):
+        named = F.when(F.col("extends").endswith(".json"), F.col("extends")).otherwise(F.concat("extends", F.lit(".json")))
+        above = chain[-1].filter(F.col("extends").startswith(".")).select("repo", joined_path(_folder(F.col("path")), named).alias("path"))
+        chain.append(above.join(configs, ["repo", "path"]).withColumn("level", F.lit(level)))
+    every = reduce(DataFrame.unionByName, chain)
+    base = every.filter("base_url is not null").groupBy("repo").agg(F.min_by("base_url", "level").alias("base_url"))
+    listed = every.select("repo", "level", F.posexplode("paths").alias("place", "x")).select("repo", "level", "place", "x.*")
+    merged = listed.groupBy("repo", "pattern").agg(F.min_by("targets", "level").alias("targets"), F.min_by("place", F.struct(-F.col("level"), "place")).alias("place"), F.max("level").alias("deep"))
+    rooted = F.transform("targets", lambda t: F.when(~t.startswith("/"), joined_path(F.coalesce("base_url", F.lit("")), t)))
+    return merged.join(base, "repo", "left").select("repo", "pattern", "deep", "place", rooted.alias("targets"))
+
+
+def workspace_packages(packages: DataFrame, workspaces: DataFrame) -> DataFrame:
+    """(repo, name, dir, entries): packages (repo, dir, name, module, main, types) whose folder one of the repository's workspaces (repo, glob) takes in; of one name the last by folder."""
+    glob = F.regexp_replace(F.regexp_replace("glob", r"^(\./)+", ""), "/+$", "")
+    # stars take whole parts of a path in, one or any number
+    quoted = F.regexp_replace(glob, r"([.+?^${}()|\[\]\\])", r"\\$1")
+    any_number = F.regexp_replace(F.regexp_replace(quoted, r"/\*\*", "(?:/.<any>)?"), r"\*\*/", "(?:.<any>/)?")
+    pattern = F.concat(F.lit("^"), F.replace(F.replace(any_number, F.lit("*"), F.lit("[^/]*")), F.lit("<any>"), F.lit("*")), F.lit("$"))
+    visible = packages.filter(~F.col("dir").rlike(r"(^|/)(\.|node_modules(/|$))") & (F.trim("name") != ""))
+    taken = visible.join(workspaces.select("repo", pattern.alias("pattern")).distinct(), "repo").filter(F.rlike("dir", F.col("pattern")))
+    entries = F.filter(F.concat(F.array("module", "main", "types"), F.array(*map(F.lit, ENTRIES))), lambda x: x.isNotNull() & (x != ""))
+    return taken.groupBy("repo", "name").agg(F.max_by(F.struct("dir", entries.alias("entries")), "dir").alias("x")).select("repo", "name", "x.*")
+
+
+def _folder(path: Column) -> Column:
+    return F.regexp_replace(path, r"(^|/)[^/]*$", "")
+
+
+def _by_alias(bare: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Attempts of specifiers (repo, specifier) through patterns: a pattern meets all specifiers that begin with what stands before its star."""
+    fixed = F.substring_index("pattern", "*", 1)
+    quoted = F.regexp_replace("pattern", r"([.+?^${}()|\[\]\\])", r"\\$1")
+    rules = aliases.withColumns({"head": fixed, "regex": F.concat(F.lit("^"), F.replace(quoted, F.lit("*"), F.lit("(.+)")), F.lit("$"))})
+    heads = F.transform(F.sequence(F.lit(0), F.length("specifier")), lambda n: F.substring(F.col("specifier"), F.lit(1), n))
+    met = bare.select("repo", "specifier", F.explode(heads).alias("head")).join(rules, ["repo", "head"])
+    starred = F.col("pattern").contains("*")
+    met = met.filter(F.when(starred, F.rlike("specifier", F.col("regex"))).otherwise(F.col("specifier") == F.col("pattern")))
+    star = F.when(starred, F.expr("regexp_extract(specifier, regex, 1)"))
+    tried = met.withColumn("star", star).select("repo", "specifier", "deep", "place", "star", F.posexplode("targets").alias("at", "target"))
+    filled = F.when(F.col("star").isNotNull() & F.col("target").contains("*"), F.concat(F.substring_index("target", "*", 1), "star", F.substr("target", F.instr("target", "*") + 1))).otherwise(F.col("target"))
+    return tried.select("repo", "specifier", F.lit(1).alias("way"), (-F.col("deep")).alias("a"), F.col("place").alias("b"), F.col("at").alias("c"), joined_path(F.lit(""), filled).alias("base"))
+
+
+def _by_package(bare: DataFrame, packages: DataFrame) -> DataFrame:
+    """Attempts of specifiers through workspace packages: a package's entries, or the path inside it."""
+    scoped = F.col("specifier").startswith("@")
+    name = F.when(scoped, F.substring_index("specifier", "/", 2)).otherwise(F.substring_index("specifier", "/", 1))
+    met = bare.withColumn("name", name).join(packages, ["repo", "name"])
+    inside = F.regexp_replace(F.substr("specifier", F.length("name") + 1), "^/+", "")
+    tried = met.select("repo", "specifier", "dir", F.posexplode(F.when(inside == "", F.col("entries")).otherwise(F.array(inside))).alias("a", "entry"))
+    zero = F.lit(0)
+    return tried.select("repo", "specifier", F.lit(2).alias("way"), "a", zero.alias("b"), zero.alias("c"), F.when(~F.col("entry").startswith("/"), joined_path(F.col("dir"), F.col("entry"))).alias("base"))
+
+
+def _candidates(base: Column, importer: Column) -> Column:
+    """Files that a path may stand for: itself, and with an extension, where a TypeScript file imports, what it is compiled from; without one, extensions follow, then index files."""
+    written, typed = _extension(base), _extension(importer).isin(TYPED)
+    stem = base.substr(F.lit(1), F.length(base) - F.length(written))
     sources = reduce(lambda other, rule: F.when(typed & (written == rule[0]), F.array(*(F.concat(stem, F.lit(x)) for x in rule[1]))).otherwise(other), REWRITES.items(), F.array().cast("array<string>"))
-    probed = F.array(*(F.concat("base", F.lit(x)) for x in EXTENSIONS), *(F.concat("base", F.lit(f"/index{x}")) for x in EXTENSIONS))
-    tried = relative.select("importer", "specifier", F.posexplode(F.concat(F.array("base"), F.when(written != "", sources).otherwise(probed))).alias("place", "path"))
-    hit = tried.join(files.select("path"), "path", "left_semi").groupBy("importer", "specifier").agg(F.min_by("path", "place").alias("to_path"))
-    kind = F.when(~F.col("specifier").rlike(r"^\.{1,2}(/|$)"), "external").when(F.col("to_path").isNull(), "unresolved").otherwise("relative")
-    return imports.join(hit, ["importer", "specifier"], "left").withColumn("kind", kind)
+    probed = F.array(*(F.concat(base, F.lit(x)) for x in EXTENSIONS), *(F.concat(base, F.lit(f"/index{x}")) for x in EXTENSIONS))
+    at_root = F.array(*(F.lit(f"index{x}") for x in EXTENSIONS))
+    return F.when(base == "", at_root).otherwise(F.concat(F.array(base), F.when(written != "", sources).otherwise(probed)))
+
+
+def resolved(imports: DataFrame, files: DataFrame, aliases: DataFrame | None = None, packages: DataFrame | None = None) -> DataFrame:
+    """Adds kind and to_path to imports (importer, specifier, and repo where there are several): the first candidate that is a file (path, and repo).
+
+    Relative specifiers count from the importer's folder, those with a first slash from the
+    root; assets (by extension, or with a query or fragment) from the importer's folder,
+    found or not. All others go through aliases, in their order, then through workspace
+    packages; what neither finds is external. Candidates meet files in an equi-join.
+    Importers in Python have rules of their own, in python_imports.
+    """
+    single = "repo" not in imports.columns
+    if single:
+        imports, files = imports.withColumn("repo", F.lit(0)), files.withColumn("repo", F.lit(0))
+    keys = ["repo", "importer", "specifier"]
+    imports = imports.withColumn("specifier", F.coalesce("specifier", F.lit(""))).dropDuplicates(keys)
+    spec = F.col("specifier")
+    nothing, node, asset = spec == "", spec.startswith("node:"), spec.contains("?") | spec.contains("#") | spec.rlike(ASSETS)
+    clean, here = F.regexp_extract(spec, "^[^?#]*", 0), _folder(F.col("importer"))
+    local = F.when(asset & clean.startswith("/"), None).when(asset | spec.startswith("."), joined_path(here, clean)).when(spec.startswith("/"), joined_path(F.lit(""), spec))
+    zero = F.lit(0)
+    tried = imports.filter(~nothing & ~node).select(*keys, zero.alias("way"), zero.alias("a"), zero.alias("b"), zero.alias("c"), local.alias("base"))
+    bare = imports.filter(~nothing & ~node & ~asset & ~spec.startswith(".") & ~spec.startswith("/"))
+    distinct = bare.select("repo", "specifier").distinct()
+    for rules, attempts in ((aliases, _by_alias), (packages, _by_package)):
+        if rules is not None:
+            rules = rules if "repo" in rules.columns else rules.withColumn("repo", F.lit(0))
+            tried = tried.unionByName(bare.select(*keys).join(attempts(distinct, rules), ["repo", "specifier"]))
+    probes = tried.filter("base is not null").select(*keys, "way", "a", "b", "c", F.posexplode(_candidates(F.col("base"), F.col("importer"))).alias("place", "path"))
+    found = probes.join(files.select("repo", "path"), ["repo", "path"], "left_semi")
+    hit = found.groupBy(*keys).agg(F.min_by(F.struct(F.col("path").alias("to_path"), "way"), F.struct("way", "a", "b", "c", "place")).alias("x")).select(*keys, "x.*")
+    missing = F.col("to_path").isNull()
+    local_kind = lambda kind: F.when(missing, "unresolved").otherwise(kind)
+    kind = F.when(nothing, "unresolved").when(node, "external").when(asset, "asset").when(spec.startswith("."), local_kind("relative")).when(spec.startswith("/"), local_kind("root"))
+    out = imports.join(hit, keys, "left").withColumn("kind", kind.when(missing, "external").when(F.col("way") == 1, "tsconfig").otherwise("workspace")).drop("way")
+    return out.drop("repo") if single else out

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import details
-from tidemark.operators import claims, imports, python_imports, touches
+from tidemark.operators import claims, python_imports, touches
 from tidemark.plans.registry import ORACLE_SQL, query
+from tidemark.plans.session_queries import _resolved
 from tidemark.sources import analogs, ledgers
 from tidemark.sources.analogs import STEPS_SQL
 from tidemark.sources.ledgers import BLOCKS_SQL, DEFINED_SQL, DEPENDENTS_SQL, MARKS_SQL, NOW_SQL, PY_SQL, SERVED_SQL, STATEMENTS_SQL, SYMBOLS_SQL, THEN_SQL
@@ -112,7 +113,7 @@ CHANGED = ["lib/core/m0/renderer.mjs", "src/m1/index.js"]
 
 @query(f"SELECT DISTINCT importer FROM ({ORACLE_SQL['resolved_imports']}) WHERE (kind = 'unresolved' OR to_path IN {tuple(CHANGED)} OR contains(lower(specifier), 'renderer') OR contains(lower(specifier), 'index') OR contains(lower(specifier), 'm1')) AND importer NOT IN {tuple(CHANGED)}")
 def repair_importers(spark, sf_dir):
-    return touches.repair_set(imports.resolved(analogs.imports(spark, sf_dir), analogs.tree(spark, sf_dir)), CHANGED, most=10_000_000)
+    return touches.repair_set(_resolved(spark, sf_dir), CHANGED, most=10_000_000)
 
 
 @query(f"""WITH steps AS ({STEPS_SQL}), s AS (SELECT sid, path, ord, slot * 10 AS line, source FROM steps WHERE kind = 'inject' QUALIFY row_number() OVER (PARTITION BY sid, path, ord ORDER BY slot, source) = 1), e AS (SELECT *, count(*) OVER (PARTITION BY sid ORDER BY ord) AS n FROM steps WHERE kind = 'open'),

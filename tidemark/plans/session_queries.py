@@ -10,7 +10,7 @@ from tidemark.plans.event_queries import _wilson_sql
 from tidemark.plans.path_queries import TEST
 from tidemark.plans.registry import query
 from tidemark.sources import analogs
-from tidemark.sources.analogs import CASES_SQL, IMPORTS_SQL, LOG_SQL, SOURCE_SQL, STEPS_SQL, TREE_SQL
+from tidemark.sources.analogs import CASES_SQL, CONFIG_SQL, IMPORTS_SQL, LOG_SQL, PACKAGES_SQL, SOURCE_SQL, STEPS_SQL, TREE_SQL
 
 STEPS = f"steps AS ({STEPS_SQL})"
 FOUND = f"""{STEPS}, o AS (SELECT sid, path, ord, row_number() OVER (PARTITION BY sid ORDER BY ord) AS at FROM steps WHERE kind = 'open'), t AS (SELECT sid, count(*) AS total FROM o GROUP BY 1),
@@ -108,17 +108,39 @@ def reexport_targets(spark, sf_dir):
     return imports.import_rows(analogs.sources(spark, sf_dir)).filter("kind = 'export-from'").groupBy("specifier").agg(F.count("*").alias("files"))
 
 
-_EXT = "lower(regexp_extract(base, '[^/](\\.[^./]*)$', 1))"
-_PROBES = ", ".join(f"base || '{x}'" for x in imports.EXTENSIONS) + ", " + ", ".join(f"base || '/index{x}'" for x in imports.EXTENSIONS)
-_WRITTEN = " ".join(f"WHEN typed AND ext = '{k}' THEN [{', '.join(f'base[1:length(base) - length(ext)] || {x!r}' for x in v)}]" for k, v in imports.REWRITES.items())
+#: A path's candidates, written out: extensions, then index files; what a written extension is compiled from.
+PROBES = "list_transform(['.ts', '.tsx', '.mts', '.cts', '.js', '.jsx', '.mjs', '.cjs', '.json'], lambda x: base || x) || list_transform(['.ts', '.tsx', '.mts', '.cts', '.js', '.jsx', '.mjs', '.cjs', '.json'], lambda x: base || '/index' || x)"
+COMPILED = """CASE ext WHEN '.js' THEN [stem || '.ts', stem || '.tsx'] WHEN '.jsx' THEN [stem || '.tsx', stem || '.ts'] WHEN '.mjs' THEN [stem || '.mts', stem || '.ts'] WHEN '.cjs' THEN [stem || '.cts', stem || '.ts'] ELSE [] END"""
+ASSET = r"(contains(specifier, '?') OR contains(specifier, '#') OR regexp_matches(specifier, '\.(css|scss|sass|less|styl|png|jpe?g|gif|webp|svg|ico|bmp|tiff|woff2?|ttf|otf|eot|mp4|webm|mov|mp3|wav)$'))"
+#: A path with its dots taken out, by letting each .. take one part back from the left; null where it leaves the root.
+FLAT = """list_reduce([[]::VARCHAR[]] || list_transform(list_filter(string_split({0}, '/'), lambda x: x NOT IN ('', '.')), lambda x: [x]), lambda a, x: CASE WHEN a IS NULL THEN NULL WHEN x[1] <> '..' THEN a || x WHEN len(a) > 0 THEN a[1:len(a) - 1] END)"""
+
+
+@query(rf"""WITH tree AS ({TREE_SQL}), imports AS ({IMPORTS_SQL}), configs AS ({CONFIG_SQL}), base_url AS (SELECT arg_min(base_url, level) AS base_url FROM configs WHERE base_url IS NOT NULL),
+listed AS (SELECT level, k, paths[k].pattern AS pattern, paths[k].targets AS targets FROM configs, unnest(range(1, len(paths) + 1)) t(k)), aliases AS (SELECT pattern, arg_min(targets, level) AS targets, max(level) AS deep, arg_max(k, level) AS place FROM listed GROUP BY 1),
+bare AS (SELECT * FROM imports WHERE specifier <> '' AND NOT starts_with(specifier, 'node:') AND NOT {ASSET} AND NOT starts_with(specifier, '.') AND NOT starts_with(specifier, '/')),
+by_alias AS (SELECT importer, specifier, 1 AS way, -deep AS a, place AS b, j AS c, CASE WHEN NOT starts_with(targets[j], '/') THEN base_url || '/' || CASE WHEN contains(pattern, '*') THEN replace(targets[j], '*', specifier[length(pattern):]) ELSE targets[j] END END AS raw
+ FROM bare JOIN aliases ON specifier = pattern OR (ends_with(pattern, '/*') AND starts_with(specifier, pattern[:-2]) AND length(specifier) >= length(pattern)), base_url, unnest(range(1, len(targets) + 1)) t(j)),
+packages AS (SELECT name, max(dir) AS dir, count(*) AS n FROM ({PACKAGES_SQL}) WHERE regexp_matches(dir, '^(lib/core/[^/]*|src(/.*)?)$') GROUP BY 1), entries AS (SELECT p.name, p.dir, list_filter([q.module, q.main, q.types, 'src/index.ts', 'src/index.tsx', 'src/index.js', 'index.ts', 'index.js'], lambda x: x IS NOT NULL) AS entries FROM packages p JOIN ({PACKAGES_SQL}) q USING (name, dir)),
+named AS (SELECT *, CASE WHEN starts_with(specifier, '@') THEN array_to_string(string_split(specifier, '/')[1:2], '/') ELSE split_part(specifier, '/', 1) END AS name FROM bare),
+inside AS (SELECT *, CASE WHEN specifier = name THEN entries ELSE [trim(specifier[length(name) + 1:], '/')] END AS paths FROM named JOIN entries USING (name)),
+by_package AS (SELECT importer, specifier, 2 AS way, j AS a, 0 AS b, 0 AS c, dir || '/' || paths[j] AS raw FROM inside, unnest(range(1, len(paths) + 1)) t(j)),
+local AS (SELECT importer, specifier, 0 AS way, 0 AS a, 0 AS b, 0 AS c, CASE WHEN starts_with(specifier, '/') THEN specifier ELSE array_to_string(string_split(importer, '/')[:-2], '/') || '/' || regexp_extract(specifier, '^[^?#]*') END AS raw FROM imports WHERE {ASSET} OR starts_with(specifier, '.') OR starts_with(specifier, '/')),
+tried AS (SELECT *, array_to_string({FLAT.format('raw')}, '/') AS base FROM (SELECT * FROM local UNION ALL SELECT * FROM by_alias UNION ALL SELECT * FROM by_package) WHERE raw IS NOT NULL),
+e AS (SELECT *, lower(regexp_extract(base, '[^/](\.[^./]*)$', 1)) AS ext, regexp_matches(lower(importer), '[^/]\.(ts|tsx|mts|cts)$') AS typed FROM tried WHERE base IS NOT NULL), s AS (SELECT *, base[1:length(base) - length(ext)] AS stem FROM e),
+l AS (SELECT *, [base] || CASE WHEN ext = '' THEN {PROBES} WHEN typed THEN {COMPILED} ELSE [] END AS found FROM s), c2 AS (SELECT importer, specifier, way, a, b, c, found[j] AS path, j AS place FROM l, unnest(range(1, len(found) + 1)) t(j)),
+h AS (SELECT importer, specifier, path AS to_path, way FROM c2 SEMI JOIN tree USING (path) QUALIFY row_number() OVER (PARTITION BY importer, specifier ORDER BY way, a, b, c, place) = 1)
+SELECT importer, specifier, to_path, CASE WHEN specifier = '' THEN 'unresolved' WHEN starts_with(specifier, 'node:') THEN 'external' WHEN {ASSET} THEN 'asset' WHEN starts_with(specifier, '.') THEN CASE WHEN to_path IS NULL THEN 'unresolved' ELSE 'relative' END
+ WHEN starts_with(specifier, '/') THEN CASE WHEN to_path IS NULL THEN 'unresolved' ELSE 'root' END WHEN way = 1 THEN 'tsconfig' WHEN way = 2 THEN 'workspace' ELSE 'external' END AS kind FROM imports LEFT JOIN h USING (importer, specifier)""")
+def resolved_imports(spark, sf_dir):
+    """Imports of all kinds: relative, root, asset, through path aliases and workspace packages, external and unresolved."""
+    return _resolved(spark, sf_dir).select("importer", "specifier", "to_path", "kind")
 
 
-@query(rf"""WITH tree AS ({TREE_SQL}), imports AS ({IMPORTS_SQL}), a AS (SELECT *, string_split(importer, '/') AS parts, length(regexp_extract_all(specifier, '\.\./|\.\.$')) AS ups, regexp_replace(specifier, '^(\.{{1,2}}/|\.{{1,2}}$)+', '') AS rest FROM imports WHERE starts_with(specifier, '.')),
-b AS (SELECT importer, specifier, CASE WHEN ups < length(parts) THEN trim(array_to_string(parts[1:length(parts) - 1 - ups], '/') || '/' || rest, '/') END AS base FROM a), c AS (SELECT *, {_EXT} AS ext, regexp_matches(lower(importer), '[^/]\.(ts|tsx|mts|cts)$') AS typed FROM b),
-d AS (SELECT importer, specifier, unnest([base] || CASE {_WRITTEN} WHEN ext <> '' THEN [] ELSE [{_PROBES}] END) AS path, generate_subscripts([base] || CASE {_WRITTEN} WHEN ext <> '' THEN [] ELSE [{_PROBES}] END, 1) AS place FROM c),
-h AS (SELECT importer, specifier, arg_min(path, place) AS to_path FROM d SEMI JOIN tree USING (path) GROUP BY 1, 2) SELECT importer, specifier, to_path, CASE WHEN NOT starts_with(specifier, '.') THEN 'external' WHEN to_path IS NULL THEN 'unresolved' ELSE 'relative' END AS kind FROM imports LEFT JOIN h USING (importer, specifier)""")
-def resolved_imports(spark, sf_dir):
-    return imports.resolved(analogs.imports(spark, sf_dir), analogs.tree(spark, sf_dir)).select("importer", "specifier", "to_path", "kind")
+def _resolved(spark, sf_dir):
+    workspaces = spark.createDataFrame([(0, w) for w in analogs.WORKSPACES], "repo int, glob string")
+    packages = imports.workspace_packages(analogs.packages(spark, sf_dir), workspaces)
+    return imports.resolved(analogs.imports(spark, sf_dir), analogs.tree(spark, sf_dir), imports.path_aliases(analogs.configs(spark, sf_dir)), packages)
 
 
 _USE = """CASE WHEN negative THEN CASE WHEN ranked = 0 THEN 1.0 ELSE 0.0 END ELSE 0.3 * CASE WHEN primary_rank = 0 THEN 1.0 WHEN primary_rank <= 2 THEN 0.7 WHEN primary_rank <= 9 THEN 0.4 ELSE 0.0 END

@@ -159,15 +159,55 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: What files of the tree import.
-SPECIFIERS = ["./index", "./main.js", "../m0/app", "react", "node:fs", "./UserApp.js", "../../src/m0/index", "./flag_registry", "./", "../m0", "./util.spec", "../../../../out", "./renderer.mjs", "./UserApp"]
-IMPORTS_SQL = f"SELECT DISTINCT path AS importer, {sql_list(SPECIFIERS)}[(l_partkey + l_linenumber * 3) % 14 + 1] AS specifier FROM lineitem JOIN ({TREE_SQL}) t ON t.id = l_partkey"
+SPECIFIERS = [
+    "./index", "./main.js", "../m0/app", "react", "node:fs", "./UserApp.js", "../../src/m0/index", "./flag_registry", "./", "../m0", "./util.spec", "../../../../out", "./renderer.mjs", "./UserApp", "/src/m0/index", "/lib/core/m1/main.js",
+    "./logo.png", "./index.js?raw", "theme.css", "~0/index", "~1/UserApp", "~4/renderer", "~8/app", "@app2", "@acme/m1", "@acme/m2/renderer", "pkg3", "pkg6/main.js", "@acme", "#x/y", "",
+]
+IMPORTS_SQL = f"SELECT DISTINCT path AS importer, {sql_list(SPECIFIERS)}[(l_partkey + l_linenumber * 3) % {len(SPECIFIERS)} + 1] AS specifier FROM lineitem JOIN ({TREE_SQL}) t ON t.id = l_partkey"
 
 
 def imports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("id"), _pick(SPECIFIERS, (F.col("l_partkey") + F.col("l_linenumber") * 3) % 14).alias("specifier")).distinct()
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("id"), _pick(SPECIFIERS, (F.col("l_partkey") + F.col("l_linenumber") * 3) % len(SPECIFIERS)).alias("specifier")).distinct()
     return lines.join(tree(spark, sf_dir), "id").select(F.col("path").alias("importer"), "specifier").distinct()
 
 
+#: Configuration files, one for each region, each of which extends the next; nations are patterns, some of which a file overrides.
+CONFIG_SQL = """SELECT r_regionkey AS level, ['tsconfig.json', 'conf/c1.json', 'conf/c2.json', 'conf/c3.json', 'conf/c4.json'][r_regionkey + 1] AS path, ['./conf/c1', './c2.json', './c3', './c4', NULL][r_regionkey + 1] AS extends, CASE r_regionkey WHEN 1 THEN 'src' WHEN 3 THEN 'web' END AS base_url,
+ list_transform(list(n_nationkey ORDER BY n_nationkey), lambda n: {'pattern': CASE WHEN n % 6 = 5 THEN '@app' || (n % 3) ELSE '~' || (n // 2 % 9) || '/*' END, 'targets': CASE WHEN n % 6 = 5 THEN ['m0/index', '../docs/m0/main.ts'] ELSE ['m' || (n % 3) || '/*', '../lib/core/m' || (n % 4) || '/*', '/out/*'] END}) AS paths FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY 1"""
+
+
+def configs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r, n = F.col("r_regionkey"), F.col("n")
+    text = lambda c: c.cast("string")
+
+    def mapped(n):
+        exact = n % 6 == 5
+        pattern = F.when(exact, F.concat(F.lit("@app"), text(n % 3))).otherwise(F.concat(F.lit("~"), text(F.floor(n / 2) % 9), F.lit("/*")))
+        targets = F.when(exact, F.array(F.lit("m0/index"), F.lit("../docs/m0/main.ts"))).otherwise(F.array(F.concat(F.lit("m"), text(n % 3), F.lit("/*")), F.concat(F.lit("../lib/core/m"), text(n % 4), F.lit("/*")), F.lit("/out/*")))
+        return F.struct(pattern.alias("pattern"), targets.alias("targets"))
+
+    nations = table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.array_sort(F.collect_list("n_nationkey")).alias("n"))
+    base = F.when(r == 1, "src").when(r == 3, "web")
+    extends = F.element_at(F.array(*map(F.lit, ["./conf/c1", "./c2.json", "./c3", "./c4"]), F.lit(None).cast("string")), (r + 1).cast("int"))
+    path = _pick(["tsconfig.json", "conf/c1.json", "conf/c2.json", "conf/c3.json", "conf/c4.json"], r)
+    return table(spark, sf_dir, "region").join(nations, "r_regionkey").select(F.lit(0).alias("repo"), path.alias("path"), extends.alias("extends"), base.alias("base_url"), F.transform(n, mapped).alias("paths"))
+
+
+#: Packages of the tree's folders: some names twice, some folders that no workspace takes in.
+PACKAGES_SQL = """SELECT DISTINCT CASE p_partkey % 13 WHEN 0 THEN 'src/m' WHEN 1 THEN 'lib/core/m' WHEN 4 THEN 'vendor/acme/m' WHEN 6 THEN 'web/node_modules/x/m' ELSE '.github/m' END || (p_partkey // 100) AS dir,
+ CASE WHEN p_partkey // 100 % 3 > 0 THEN '@acme/m' || (p_partkey // 100 % 7) ELSE 'pkg' || (p_partkey // 100) END AS name, CASE WHEN p_partkey // 100 % 4 = 0 THEN './renderer.mjs' END AS module, CASE WHEN p_partkey // 100 % 2 = 0 THEN 'main.js' END AS main, NULL::VARCHAR AS types FROM part WHERE p_partkey % 13 IN (0, 1, 4, 6, 11)"""
+WORKSPACES = ["lib/core/*", "./src/**/", "web/**", ".github/*"]
+
+
+def packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, m = F.col("p_partkey"), F.floor(F.col("p_partkey") / 100)
+    text = lambda c: c.cast("string")
+    folder = F.when(k % 13 == 0, "src/m").when(k % 13 == 1, "lib/core/m").when(k % 13 == 4, "vendor/acme/m").when(k % 13 == 6, "web/node_modules/x/m").otherwise(".github/m")
+    name = F.when(m % 3 > 0, F.concat(F.lit("@acme/m"), text(m % 7))).otherwise(F.concat(F.lit("pkg"), text(m)))
+    rows = table(spark, sf_dir, "part").filter(k.isNotNull() & (k % 13).isin(0, 1, 4, 6, 11))
+    return rows.select(F.lit(0).alias("repo"), F.concat(folder, text(m)).alias("dir"), name.alias("name"), F.when(m % 4 == 0, "./renderer.mjs").alias("module"), F.when(m % 2 == 0, "main.js").alias("main"), F.lit(None).cast("string").alias("types")).distinct()
+
+
 #: Evaluated cases, one for each order: metrics with and without the graph, and what usefulness is made of.
 CASES_SQL = """SELECT o_orderkey AS id, o_custkey % 11 = 0 AS negative, o_orderkey % 6 > 0 AS pass, CASE WHEN o_orderkey % 5 > 0 THEN o_custkey % 4 / 4.0 END AS p_on, o_custkey % 3 / 4.0 AS p_off, o_orderkey % 8 / 8.0 AS mrr, o_custkey % 16 / 16.0 AS n_on, o_orderkey % 16 / 16.0 AS n_off,
   CASE WHEN o_orderkey % 7 > 0 THEN o_custkey % 14 END AS primary_rank, o_custkey % 2 = 0 AS good_hits, o_orderkey % 4 AS warnings, o_custkey % 5 = 0 AS exact, o_orderkey % 9 > 0 AS graph, o_orderkey % 3 AS related, o_custkey % 4 AS lib_related, o_orderkey % 13 AS ranked FROM orders"""
