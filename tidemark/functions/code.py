@@ -85,11 +85,11 @@ def matches(name: Column, terms: Column, exact_case: bool = False) -> Column:
     return F.coalesce(F.exists(terms, lambda t: own == (t if exact_case else F.lower(t))), F.lit(False))
 
 
-def line_signals(line: Column, path: Column, terms: Column, defined: Column, exact_case: bool = False, enclosing: Column | None = None) -> Column:
-    """Sum of the shares that a line's own signals add; defined is its symbol."""
+def line_signals(line: Column, path: Column, terms: Column, defined: Column, exact_case: bool = False, enclosing: Column | None = None, noise: Column | None = None) -> Column:
+    """Sum of the shares that a line's own signals add; defined is its symbol, noise its noise ratio where it's known."""
     share = lambda name, holds: F.when(holds, SHARES[name]).otherwise(0.0)
     within = F.exists(terms, lambda t: (defined if exact_case else F.lower(defined)).contains(t if exact_case else F.lower(t)))
-    noise, python, swift = noise_ratio(line), path.endswith(".py"), path.endswith(".swift")
+    noise, python, swift = noise_ratio(line) if noise is None else noise, path.endswith(".py"), path.endswith(".swift")
     total = share("exact_symbol", matches(defined, terms, exact_case)) + share("export_match", is_export_statement(line, terms)) + share("symbol_contains", F.coalesce(within, F.lit(False)))
     total = total + F.when(noise > 0.7, SHARES["noise_high"]).when(noise > 0.5, SHARES["noise_mid"]).otherwise(0.0)
     total = total + share("python_public", python & is_public_python(line) & holds_any(line, terms)) + share("docstring", python & line.rlike("^\\s*(\"{3}|'{3}|#)") & holds_any(line, terms))

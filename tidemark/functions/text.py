@@ -19,6 +19,14 @@ def top_segment(path: Column) -> Column:
     return F.when(F.instr(path, "/") > 0, F.substring_index(path, "/", 1))
 
 
+def holding(texts: DataFrame, column: str, terms: DataFrame) -> DataFrame:
+    """Rows of texts whose column has a term (column term) in it, whatever the case, once for each row of terms: they meet in the term's first three characters, and then the whole term is looked for."""
+    low = F.lower(column)
+    pieces = F.array_distinct(F.concat(*(F.regexp_extract_all(low, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in (1, 2, 3))))
+    head = F.substring(F.lower("term"), 1, 3)
+    return texts.select("*", F.explode(pieces).alias("head")).join(terms.filter("term <> ''").withColumn("head", head), "head").filter(low.contains(F.lower("term"))).drop("head")
+
+
 def term_hits(line: Column, terms: list[str]) -> Column:
     """How many distinct terms a line holds, whatever their case."""
     low = F.lower(line)

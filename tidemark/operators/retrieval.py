@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import code as fc
 from tidemark.functions import paths as fp
-from tidemark.functions.text import name_tokens
+from tidemark.functions.text import holding, name_tokens
 from tidemark.operators.ranking import fan_in_fraction
 
 #: Scores of the kinds of evidence, and the fan-in from which a plain word counts.
@@ -26,8 +26,8 @@ def _evidence(rows: DataFrame, layer: int, hit_type: Column, base: Column) -> Da
 
 
 def by_name(terms: DataFrame, names: DataFrame, limit: int) -> DataFrame:
-    """Rows of names (id, name, kind) whose name is a term, the first of each term by kind and file; terms are those of prompts: few."""
-    met = names.join(F.broadcast(terms), F.lower("name") == F.lower("term"))
+    """Rows of names (id, name, kind) whose name is a term, the first of each term by kind and file."""
+    met = names.join(terms, F.lower("name") == F.lower("term"))
     place = F.row_number().over(Window.partitionBy("query", "term").orderBy("kind", "id", "name"))
     return met.withColumn("place", place).filter(F.col("place") <= limit).drop("place")
 
@@ -51,7 +51,7 @@ def declaration_layer(terms: DataFrame, declarations: DataFrame) -> DataFrame:
 
 def chain_layer(terms: DataFrame, reexports: DataFrame) -> DataFrame:
     """All re-exports of a name: each further hop only finds rows that the name has found."""
-    met = reexports.join(F.broadcast(terms), F.lower("name") == F.lower("term"))
+    met = reexports.join(terms, F.lower("name") == F.lower("term"))
     return _evidence(met, 3, F.lit("reexport_chain"), F.lit(CHAIN))
 
 
@@ -60,7 +60,7 @@ def token_layer(terms: DataFrame, exports: DataFrame, files: DataFrame, found: D
     open_terms = terms.join(found.select("query").distinct(), "query", "left_anti")
     parts = exports.select("id", "name", "kind", F.explode(name_tokens(F.col("name"))).alias("token"))
     rare = parts.groupBy("token").agg(F.countDistinct("id").alias("df")).join(F.broadcast(cap), F.col("df") <= F.col("cap"))  # one row
-    met = parts.join(rare, "token").join(F.broadcast(open_terms), F.col("token") == F.lower("term"))
+    met = parts.join(rare, "token").join(open_terms, F.col("token") == F.lower("term"))
     place = F.row_number().over(Window.partitionBy("query", "term").orderBy("kind", "id", "name"))
     kept = met.withColumn("place", place).filter(F.col("place") <= limit).join(files.select("id", "path"), "id").filter(~fp.is_test_of_graph(F.col("path")))
     chain = F.col("kind") == "explicit"
@@ -69,7 +69,7 @@ def token_layer(terms: DataFrame, exports: DataFrame, files: DataFrame, found: D
 
 def path_layer(terms: DataFrame, files: DataFrame, *, most: int = 10, borderline: bool = False) -> DataFrame:
     """Files whose path holds a term that few paths hold."""
-    met = files.join(F.broadcast(terms), F.lower("path").contains(F.lower("term")))
+    met = holding(files, "path", terms)
     few = met.groupBy("query", "term").agg(F.count("*").alias("n")).filter(F.col("n") <= most).select("query", "term")
     kept = met.join(few, ["query", "term"]).withColumn("class", fp.match_class(F.col("term"), F.col("path")))
     kept = kept.filter(F.col("class") != "loose") if borderline else kept
@@ -78,7 +78,7 @@ def path_layer(terms: DataFrame, files: DataFrame, *, most: int = 10, borderline
 
 def strongest(evidence: list[DataFrame], terms: DataFrame) -> DataFrame:
     """One row per query and file: its best evidence, the earliest among equals, and all terms that matched."""
-    every = reduce(DataFrame.unionByName, evidence).join(F.broadcast(terms.select("query", "term", "ord")), ["query", "term"])
+    every = reduce(DataFrame.unionByName, evidence).join(terms.select("query", "term", "ord"), ["query", "term"])
     best = F.min_by(F.struct("hit_type", "base"), F.struct(-F.col("base"), "layer", "ord"))
     out = every.groupBy("query", "id").agg(best.alias("best"), F.array_sort(F.collect_set("term")).alias("terms"))
     return out.select("query", "id", "best.*", "terms")
@@ -96,16 +96,35 @@ def ranked(found: DataFrame, files: DataFrame, fan: DataFrame, limit: int) -> Da
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).select("query", "id", "path", "hit_type", "terms", "fan_in", "score", "rank")
 
 
+#: Endings of paths that a line's own signals depend on.
+DIALECTS = [".py", ".swift", ""]
+
+
 def line_hits(code: DataFrame, queries: DataFrame) -> DataFrame:
-    """Lines that hold any term of a query (query, terms)."""
-    return code.join(F.broadcast(queries), fc.holds_any(F.col("line"), F.col("terms"))).withColumn("symbol", fc.symbol(F.col("line")))
+    """Lines (id, line_no, line, score) that hold any term of a query (query, terms), with what each says by itself.
+
+    What a line defines and how its own signals count is told once for each distinct line
+    and query: strict and loose are the signals of exact and of any case, one for each of
+    the dialects.
+    """
+    asked = queries.select("query", F.explode("terms").alias("term"))
+    found = holding(code.select("line").distinct(), "line", asked).select("query", "line").distinct().join(queries, "query")
+    line, terms = F.col("line"), F.col("terms")
+    told = found.withColumn("symbol", fc.symbol(line)).withColumn("noise", fc.noise_ratio(line))
+    signals = lambda exact: F.array(*(fc.line_signals(line, F.lit(d), terms, F.col("symbol"), exact, noise=F.col("noise")) for d in DIALECTS))
+    told = told.withColumns({"strict": signals(True), "loose": signals(False), "strict_site": fc.matches(F.col("symbol"), terms, True), "site": fc.matches(F.col("symbol"), terms), "coverage": fc.coverage_bonus(line, terms)})
+    return code.join(told, "line")
+
+
+def own_signals(signals: Column, path: Column) -> Column:
+    """A line's signals where it stands."""
+    return reduce(lambda other, k: F.when(path.endswith(DIALECTS[k]), signals[k]).otherwise(other), range(len(DIALECTS) - 1), signals[len(DIALECTS) - 1])
 
 
 def fused(graph: DataFrame, hits: DataFrame, files: DataFrame, limit: int, *, stale: bool = False) -> DataFrame:
     """Graph results (query, id, hit_type, score, fan_in) with the best line of each file: both scores add up, graph evidence counts more, both together more still (but for re-exports), definitions have a floor (but in tests). A stale graph gets none of this."""
-    line = F.col("line")
-    site = F.when(fc.matches(F.col("symbol"), F.col("terms"), True), fc.SHARES["definition_site"]).otherwise(0.0)
-    points = F.col("raw") * (1 + fc.line_signals(line, F.col("path"), F.col("terms"), F.col("symbol"), True) + site) + fc.coverage_bonus(line, F.col("terms"))
+    site = F.when(F.col("strict_site"), fc.SHARES["definition_site"]).otherwise(0.0)
+    points = F.col("raw") * (1 + own_signals(F.col("strict"), F.col("path")) + site) + F.col("coverage")
     best = hits.withColumnRenamed("score", "raw").join(files.select("id", "path"), "id").withColumn("points", points)
     best = best.groupBy("query", "id").agg(F.max_by(F.struct("points", "line_no"), F.struct("points", -F.col("line_no"))).alias("best")).select("query", "id", F.col("best.points").alias("points"), F.col("best.line_no").alias("line_no"))
     both = graph.select("query", "id", "hit_type", F.col("score").alias("graph"), "fan_in").join(best, ["query", "id"], "full_outer").join(files.select("id", "path"), "id")
@@ -122,22 +141,23 @@ def fused(graph: DataFrame, hits: DataFrame, files: DataFrame, limit: int, *, st
 def hot_files(hits: DataFrame, fan: DataFrame) -> DataFrame:
     """Per query the files with at least the fifth highest fan-in among its files, two at least; none where there are fewer than five."""
     files = hits.select("query", "id").distinct().join(fan, "id", "left").withColumn("fan_in", F.coalesce("fan_in", F.lit(0)))
-    fifth = F.nth_value("fan_in", 5).over(Window.partitionBy("query").orderBy(F.desc("fan_in"), "id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return files.withColumn("cut", F.greatest(fifth, F.lit(2))).select("query", "id", "fan_in", F.coalesce(F.col("fan_in") >= F.col("cut"), F.lit(False)).alias("hot"))
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("fan_in")))
+    fifth = files.select("query", "fan_in").withColumn("place", place).filter("place <= 5").groupBy("query").agg(F.when(F.count("*") == 5, F.greatest(F.min("fan_in"), F.lit(2))).alias("cut"))
+    return files.join(fifth, "query").select("query", "id", "fan_in", F.coalesce(F.col("fan_in") >= F.col("cut"), F.lit(False)).alias("hot"))
 
 
 def adjusted(hits: DataFrame, files: DataFrame, hot: DataFrame) -> DataFrame:
     """Scores of lines by their file's role and their own signals, as shares of the base; where a query has a definition site, files without one lose half of their graph part, else hot ones lose theirs."""
-    path, base, terms, line = F.col("path"), F.col("score"), F.col("terms"), F.col("line")
-    rows = hits.join(files.select("id", "path"), "id").join(hot, ["query", "id"]).withColumn("site", fc.matches(F.col("symbol"), terms))
+    path, base, line = F.col("path"), F.col("score"), F.col("line")
+    rows = hits.join(files.select("id", "path"), "id").join(hot, ["query", "id"])
     flag = lambda name, holds: F.when(holds, fc.SHARES[name]).otherwise(0.0)
     entry, hub, fan = flag("entry", fp.is_entry_point(path)), flag("hot", F.col("hot")), fan_in_fraction(F.col("fan_in"))
     role = flag("test", fp.is_test_path(path)) + flag("vendor", fp.is_vendor(path)) + flag("doc", fp.is_doc(path))
-    own = flag("export_line", fc.is_export_line(line)) + flag("definition_line", fc.is_definition_line(line)) + flag("definition_site", F.col("site")) + fc.line_signals(line, path, terms, F.col("symbol"))
+    own = flag("export_line", fc.is_export_line(line)) + flag("definition_line", fc.is_definition_line(line)) + flag("definition_site", F.col("site")) + own_signals(F.col("loose"), path)
     scored = rows.withColumns({"first": F.greatest(F.lit(0.0), base * (1 + entry + hub + fan + role + own)), "graph_part": base * (entry + hub + fan), "hub_part": base * hub})
     of_file = scored.groupBy("query", "id").agg(F.max("site").alias("file_site"))
     of_query = of_file.groupBy("query").agg(F.max("file_site").alias("query_site"))
-    seen = scored.join(of_file, ["query", "id"]).join(F.broadcast(of_query), "query")  # a row for each query
+    seen = scored.join(of_file, ["query", "id"]).join(of_query, "query")
     cut = F.when(F.col("query_site"), F.when(F.col("file_site"), 0.0).otherwise(F.col("graph_part") * 0.5)).otherwise(F.col("hub_part"))
     return seen.withColumn("adjusted", F.round(F.greatest(F.lit(0.0), F.col("first") - cut), 6)).select("query", "id", "path", "line_no", "score", "fan_in", "adjusted")
 
@@ -172,3 +192,32 @@ def blast_radius(edits: DataFrame, edges: DataFrame, pairs: DataFrame, touched:
     close = close.withColumn("place", place).filter(F.col("place") <= partners).groupBy("session", "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "other"))), lambda x: x["other"]).alias("partners"))
     out = deps.filter((F.col("dependents") >= least) & (F.col("untouched") > 0)).join(close, ["session", "id"], "full_outer")
     return out.select("session", "id", F.coalesce("dependents", F.lit(0)).alias("dependents"), F.coalesce("untouched", F.lit(0)).alias("untouched"), F.coalesce("partners", F.array().cast("array<bigint>")).alias("partners"))
+
+
+def stem_tokens(path: Column) -> Column:
+    """Distinct lower-case words of a file's name without its extension, of three letters or more: cut at case changes and at all but letters."""
+    # The patterns of extensions, case changes and what isn't a letter.
+    stem = F.regexp_replace(F.substring_index(path, "/", -1), r"\.[^.]+$", "")
+    words = F.split(F.regexp_replace(stem, "([a-z0-9])([A-Z])", "$1 $2"), "[^A-Za-z]+")
+    return F.array_distinct(F.filter(F.transform(words, F.lower), lambda w: F.length(w) >= 3))
+
+
+def terms_of_new(new_files: DataFrame, exported: DataFrame) -> DataFrame:
+    """(query, term, ord): the words of new files' names (id, path), then the names they export (id, name), but for default and those of one or two characters."""
+    words = new_files.select(F.col("id").alias("query"), F.posexplode(stem_tokens(F.col("path"))).alias("at", "term")).withColumn("part", F.lit(0))
+    names = exported.filter((F.length("name") >= 3) & (F.col("name") != "default")).select(F.col("id").alias("query"), F.lit(0).alias("at"), F.col("name").alias("term"), F.lit(1).alias("part"))
+    first = words.unionByName(names).groupBy("query", "term").agg(F.min(F.struct("part", "at")).alias("first"))
+    return first.select("query", "term", F.row_number().over(Window.partitionBy("query").orderBy("first", "term")).alias("ord"))
+
+
+def sprawl(new_files: DataFrame, exported: DataFrame, layers, files: DataFrame, fan: DataFrame, *, most: int = 3, looked_at: int = 8) -> DataFrame:
+    """Existing files that a new one may be a second version of: every new file is a query of its own, and layers gives the evidence for all terms at once.
+
+    Of the first eight results the best three that are neither tests nor the file itself.
+    Files that exist, or that no index takes, aren't new.
+    """
+    fresh = new_files.join(files.select("path"), "path", "left_anti").filter(fp.is_indexable(F.col("path")))
+    terms = terms_of_new(fresh, exported.join(fresh.select("id"), "id", "left_semi"))
+    best = ranked(strongest(layers(terms), terms), files, fan, looked_at).filter(~fp.is_test_path(F.col("path")))
+    place = F.row_number().over(Window.partitionBy("query").orderBy("rank"))
+    return best.withColumn("place", place).filter(F.col("place") <= most).select("query", "path", F.col("hit_type").alias("reason"), "place")

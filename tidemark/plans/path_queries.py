@@ -32,7 +32,10 @@ def path_types(spark, sf_dir):
     return analogs.tree(spark, sf_dir).groupBy(fp.file_type(F.col("path")).alias("type")).agg(F.count("*").alias("files"), F.sum("size_bytes").alias("bytes"))
 
 
-@query(f"""WITH {TREE} SELECT id, path FROM tree WHERE NOT starts_with(path, '.') AND NOT regexp_matches(path, '/(node_modules|\\.git|\\.planning|\\.claude|dist|build|\\.next)/') AND {EXT} IN ({', '.join(repr(t) for t in fp.CODE_TYPES)})""")
+INDEXABLE_SQL = f"NOT starts_with(path, '.') AND NOT regexp_matches(path, '/(node_modules|\\.git|\\.planning|\\.claude|dist|build|\\.next)/') AND {EXT} IN ({', '.join(repr(t) for t in fp.CODE_TYPES)})"
+
+
+@query(f"WITH {TREE} SELECT id, path FROM tree WHERE {INDEXABLE_SQL}")
 def indexable_paths(spark, sf_dir):
     return analogs.tree(spark, sf_dir).filter(fp.is_indexable(F.col("path"))).select("id", "path")
 

@@ -8,7 +8,7 @@ from tidemark.functions import code as fc
 from tidemark.functions import paths as fp
 from tidemark.operators import graph, retrieval
 from tidemark.plans.graph_queries import PAIRS, _pairs
-from tidemark.plans.path_queries import BASE, DOC_SQL, EDGES, ENTRY_SQL, EXPORTS, PENALTY_SQL, TEST, TREE, VENDOR_SQL, _has
+from tidemark.plans.path_queries import BASE, DOC_SQL, EDGES, ENTRY_SQL, EXPORTS, INDEXABLE_SQL, PENALTY_SQL, TEST, TREE, VENDOR_SQL, _has
 from tidemark.plans.registry import query
 from tidemark.sources import analogs
 from tidemark.sources.analogs import CODE_SQL, LINES, sql_list
@@ -50,8 +50,8 @@ def _fan(spark, sf_dir):
     return inside.groupBy(F.col("to_path").alias("id")).agg(F.count("*").alias("fan_in"))
 
 
-def _layers(spark, sf_dir, last: int = 6):
-    terms, exports, tree = _terms(spark), analogs.exports(spark, sf_dir), analogs.tree(spark, sf_dir)
+def _layers(spark, sf_dir, terms=None):
+    terms, exports, tree = _terms(spark) if terms is None else terms, analogs.exports(spark, sf_dir), analogs.tree(spark, sf_dir)
     found = [retrieval.symbol_layer(terms, exports, _fan(spark, sf_dir)), retrieval.declaration_layer(terms, exports.filter(F.col("kind").isin("struct", "extension"))), retrieval.chain_layer(terms, exports.filter("kind = 'explicit'"))]
     first = found[0].unionByName(found[1]).unionByName(found[2])
     return [*found, retrieval.token_layer(terms, exports, tree, first, _cap(exports)), retrieval.path_layer(terms, tree)]
@@ -259,6 +259,36 @@ def workset_roles(spark, sf_dir):
     return retrieval.roles(_graph(spark, sf_dir))
 
 
+#: New files: one for each supplier, with a name and what it exports; some are there already, some no index takes.
+NEW_NAMES = ["renderer.js", "flagRegistry.ts", "parseLogs.py", "sessionStateStore.ts", "widget2.js", "x.js", "normalizeAll_v2.mjs", "HTMLParser.swift", "useState.tsx", "notes.pdf", "UserApp.ts"]
+NEW_SQL = f"SELECT s_suppkey AS id, CASE WHEN s_suppkey % 12 = 0 THEN (SELECT min(path) FROM tree) ELSE ['src/new/', 'lib/', 'a/node_modules/y/'][s_suppkey % 3 + 1] || s_suppkey || '/' || {sql_list(NEW_NAMES)}[s_suppkey % 11 + 1] END AS path FROM supplier"
+EXPORTED_SQL = "SELECT DISTINCT s_suppkey AS id, unnest(CASE s_suppkey % 4 WHEN 0 THEN ['resolveImport', 'ab', 'default'] WHEN 1 THEN ['run' || (s_suppkey % 40), 'widget'] WHEN 2 THEN ['URI'] ELSE []::VARCHAR[] END) AS name FROM supplier"
+
+
+def _new_files(spark, sf_dir):
+    k = analogs.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"))
+    first = F.broadcast(analogs.tree(spark, sf_dir).agg(F.min("path").alias("first")))  # one row
+    path = F.concat(analogs._pick(["src/new/", "lib/", "a/node_modules/y/"], F.col("id") % 3), F.col("id").cast("string"), F.lit("/"), analogs._pick(NEW_NAMES, F.col("id") % 11))
+    texts = lambda *names: F.array(*(n if isinstance(n, F.Column) else F.lit(n) for n in names))
+    n = F.col("id") % 4
+    names = F.when(n == 0, texts("resolveImport", "ab", "default")).when(n == 1, texts(F.concat(F.lit("run"), (F.col("id") % 40).cast("string")), "widget")).when(n == 2, texts("URI")).otherwise(F.array().cast("array<string>"))
+    return k.join(first).select("id", F.when(F.col("id") % 12 == 0, F.col("first")).otherwise(path).alias("path")), k.select("id", F.explode(names).alias("name"))
+
+
+NEW_TERMS = rf"""new_files AS ({NEW_SQL}), exported AS ({EXPORTED_SQL}), fresh AS (SELECT * FROM new_files ANTI JOIN tree USING (path) WHERE {INDEXABLE_SQL}),
+words AS (SELECT id, list_distinct(list_filter(list_transform(regexp_split_to_array(regexp_replace(regexp_replace(string_split(path, '/')[-1], '\.[^.]+$', ''), '([a-z0-9])([A-Z])', '\1 \2', 'g'), '[^A-Za-z]+'), lambda w: lower(w)), lambda w: length(w) >= 3)) AS w FROM fresh),
+all_terms AS (SELECT id AS query, unnest(w) AS term, 0 AS part FROM words UNION ALL SELECT id, name, 1 FROM exported SEMI JOIN fresh USING (id) WHERE length(name) >= 3 AND name <> 'default'),
+terms AS (SELECT query, term, row_number() OVER (PARTITION BY query ORDER BY min(part), term) AS ord FROM all_terms GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {TREE}, {EXPORTS}, {EDGES}, {FAN}, {NEW_TERMS}, {L1}, {L2}, {L3}, {L5}, {L6}, {BEST}
+SELECT query, path, hit_type AS reason, place::INTEGER AS place FROM (SELECT query, path, hit_type, row_number() OVER (PARTITION BY query ORDER BY rank) AS place FROM graph WHERE rank <= 8 AND NOT {TEST}) WHERE place <= 3""")
+def sprawl_matches(spark, sf_dir):
+    """For every new file the existing ones that it may repeat."""
+    new_files, exported = _new_files(spark, sf_dir)
+    return retrieval.sprawl(new_files, exported, lambda terms: _layers(spark, sf_dir, terms), analogs.tree(spark, sf_dir), _fan(spark, sf_dir))
+
+
 @query(f"""{PAIRS}, {EDGES}, sessions AS (SELECT DISTINCT o_custkey AS session, l_suppkey AS id FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderpriority = '1-URGENT'), edits AS (SELECT session, min(id) AS id FROM sessions GROUP BY 1),
 imports AS (SELECT DISTINCT to_path AS id, from_path AS other FROM edges WHERE to_path IS NOT NULL),
 deps AS (SELECT e.session, e.id, count(*) AS dependents, count(*) FILTER (s.id IS NULL AND i.other <> e.id) AS untouched FROM edits e JOIN imports i USING (id) LEFT JOIN sessions s ON s.session = e.session AND s.id = i.other GROUP BY 1, 2),
