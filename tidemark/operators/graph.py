@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.sources.shared import new_path, written
+
 #: A node imported by more partners than this is a hub: its co-changes say little.
 HUB_DEGREE = 25
 
@@ -100,17 +102,26 @@ def partners(pairs: DataFrame, node, *, hub_degree: int, limit: int) -> DataFram
     return kept.select("path", "count", "confidence").orderBy(F.desc("confidence"), F.desc("count"), "path").limit(limit)
 
 
-def closure(spark, links: DataFrame, start: DataFrame, max_depth: int) -> DataFrame:
-    """Nodes reached from the start nodes (column node) over links (a, b), with their least depth: a recursive query, so that links are planned once."""
-    links.createOrReplaceTempView("closure_links")
-    start.createOrReplaceTempView("closure_start")
-    return spark.sql(f"""
-        WITH RECURSIVE walk(node, depth) AS (
-            SELECT node, 0 FROM closure_start
-            UNION ALL
-            SELECT DISTINCT b, depth + 1 FROM walk JOIN closure_links ON a = node WHERE depth < {int(max_depth)}
-        )
-        SELECT node, min(depth) AS depth FROM walk GROUP BY node""")
+def closure(links: DataFrame, start: DataFrame, max_depth: int) -> DataFrame:
+    """Nodes reached from the start nodes (column node) over links (a, b), with their least depth.
+
+    Each level is written, and nodes that any level before has reached are left out, so a
+    node's links are followed once, whatever the number of ways to it. Start nodes have
+    depth 0; null nodes reach nothing.
+    """
+    spark = links.sparkSession
+    links = written(links.filter("a is not null and b is not null").select("a", "b").distinct(), "links")
+    path = new_path(spark, "closure")
+    level = lambda depth: f"{path}/depth={depth}"
+    frontier = written(start.filter("node is not null").select("node").distinct(), "", level(0))
+    told = f"node {frontier.dtypes[0][1]}, depth int"
+    for depth in range(1, max_depth + 1):
+        reached = spark.read.schema(told).parquet(path)
+        found = frontier.join(links, F.col("node") == F.col("a")).select(F.col("b").cast(frontier.schema["node"].dataType).alias("node")).distinct()
+        frontier = written(found.join(reached.select("node"), "node", "left_anti"), "", level(depth))
+        if frontier.isEmpty():
+            break
+    return spark.read.schema(told).parquet(path)
 
 
 def exports_of(exports: DataFrame, node) -> DataFrame:

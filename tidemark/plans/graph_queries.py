@@ -174,7 +174,7 @@ def cochange_partners_damped(spark, sf_dir):
     return graph.partners(_pairs(spark, sf_dir), 5, hub_degree=98, limit=8)
 
 
-LINKS = "links AS (SELECT DISTINCT l_suppkey AS a, l_suppkey * 7 % (SELECT max(s_suppkey) + 1 FROM supplier) AS b FROM lineitem UNION SELECT DISTINCT l_suppkey, l_partkey % (SELECT max(s_suppkey) + 1 FROM supplier) FROM lineitem WHERE l_partkey % 53 = 1)"
+LINKS = "links AS (SELECT DISTINCT l_suppkey AS a, l_suppkey * 7 % (SELECT max(s_suppkey) + 1 FROM supplier) AS b FROM lineitem UNION SELECT DISTINCT l_suppkey, l_partkey % (SELECT max(s_suppkey) + 1 FROM supplier) FROM lineitem)"
 
 
 @query(f"""WITH RECURSIVE {LINKS}, walk(node, depth) AS (SELECT 1::BIGINT, 0 UNION SELECT b, depth + 1 FROM walk JOIN links ON a = node WHERE depth < 5)
@@ -183,9 +183,9 @@ def recursive_chain(spark, sf_dir):
     lines = analogs.table(spark, sf_dir, "lineitem")
     size = F.broadcast(analogs.table(spark, sf_dir, "supplier").agg((F.max("s_suppkey") + 1).alias("size")))  # one row
     first = lines.select("l_suppkey").distinct().join(size).select(F.col("l_suppkey").alias("a"), (F.col("l_suppkey") * 7 % F.col("size")).alias("b"))
-    more = lines.filter("l_partkey % 53 = 1").select("l_suppkey", "l_partkey").join(size).select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") % F.col("size")).alias("b"))
+    more = lines.select("l_suppkey", "l_partkey").join(size).select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") % F.col("size")).alias("b"))
     start = spark.range(1, 2).select(F.col("id").alias("node"))
-    return graph.closure(spark, first.union(more).distinct(), start, 5)
+    return graph.closure(first.union(more), start, 5)
 
 
 @query("""SELECT c_custkey AS id, list_sort(list(DISTINCT o_orderpriority)) AS files FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY 1
