@@ -144,3 +144,32 @@ def test_inner_scores_never_see_held_out_labels(spark):
     assert scores[0] == scores[1]
     assert {r[0] for r in scores[0]} == {r[0] for r in docs.filter(rest == 1).collect()}
     assert brute.auc([r[1] for r in scores[0]], [r[2] for r in scores[0]]) == 1
+
+
+def coded(rows, threshold=0.95):
+    """What blocks of the second pass read of unit vectors, each a part of its own."""
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int64()), pa.array([rows.shape[1]] * len(rows), pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())], names=["node", "dim", "unit"])
+    (codes,) = vectors._code(4, 1)(iter([batch]))
+    return [(node, node, signs, factor, scale, levels, error) for node, _, signs, factor, scale, levels, error in zip(*(c.to_pylist() for c in codes.columns), strict=True)]
+
+
+@pytest.mark.parametrize("count", [1000, 4000])
+def test_a_block_of_near_vectors_gives_a_forest(count):
+    """A group with cosines around 0.93 in 64 dimensions: a block gives no more rows than vectors, and the components of all links."""
+    draw = np.random.default_rng(5)
+    centre = draw.normal(size=64)
+    rows = centre / np.linalg.norm(centre) + draw.normal(size=(count, 64)) * 0.0343
+    rows /= np.linalg.norm(rows, axis=1)[:, None]
+    product = rows @ rows.T
+    assert 0.92 < np.median(product) < 0.94
+    linked = np.argwhere(np.triu(product >= 0.95, 1))
+    assert len(linked) > 4 * count
+    own = coded(rows)
+    for halves in ([(own, None)], [(own[: count // 2], None), (own[count // 2 :], None), (own[: count // 2], own[count // 2 :])]):
+        sure, left_open = (np.concatenate(x) for x in zip(*(pair for h in halves for pair in vectors.pairs_across(*h, 0.95)), strict=True))
+        assert len(sure) + len(left_open) <= len(halves) * count
+        assert all(product[a, b] >= 0.95 for a, b in sure.tolist())
+        kept = [*map(tuple, sure.tolist()), *((a, b) for a, b in left_open.tolist() if product[a, b] >= 0.95)]
+        assert brute.components(list(range(count)), kept) == brute.components(list(range(count)), [tuple(x) for x in linked.tolist()])

@@ -9,11 +9,13 @@ A first pass only gathers components early: sign bits deal vectors into buckets
 tables, every vector proposes the best-estimated partner of its bucket, and proposals are
 recomputed exactly in double precision. What it misses is left to the second pass, which
 compares the codes of all vectors of a length with each other, block by block. There a pair
-across components is settled only by a bound that always holds: the angle between two
+across components is settled only by bounds that always hold: the angle between two
 vectors is at least that between the one's code and the other less that between the one and
-its own code, with what rounding moved added to the slack; the rounded coordinates give a
-second such bound. All pairs left are recomputed exactly. Links are counted last, by exact
-products of blocks inside each component.
+its own code, with what rounding moved added to the slack; coordinates rounded to 16 bits
+then bound the product from both sides, some hundred-thousandths apart. Pairs that are sure
+to be links join their components in the block, which gives a forest of them and never all
+pairs of a group; only pairs between the bounds are recomputed exactly. Links are counted
+last, by exact products of blocks inside each component.
 """
 
 from __future__ import annotations
@@ -40,6 +42,8 @@ CUT, CUTS, TILE = 32_768, 12, 512
 #: Standard deviations of the estimate's error that a bound allows for.
 DEVIATIONS = 4.0
 SEED = 11
+#: Coordinates are rounded to whole numbers up to this.
+LEVELS = 32_767
 
 UNITS = "vec_id long, dim int, same string, unit binary"
 _ROTATIONS: dict[tuple[int, int], np.ndarray] = {}
@@ -92,9 +96,9 @@ def _code(bits: int, tables: int):
                 on = (np.concatenate(more) > 0)[: bits * tables].reshape(tables, bits)
                 buckets = (np.arange(tables) + tables * dim << bits) + on @ weights
                 code = np.where(turned > 0, 1.0, -1.0) / math.sqrt(dim)
-                scale = np.abs(turned).max() / 127
+                scale = np.abs(turned).max() / LEVELS
                 # randomised rounding keeps the estimate free of bias
-                levels = np.floor(turned / scale + np.random.default_rng((SEED, node & (1 << 63) - 1)).random(dim)).clip(-128, 127).astype(np.int8)
+                levels = np.floor(turned / scale + np.random.default_rng((SEED, node & (1 << 63) - 1)).random(dim)).clip(-LEVELS - 1, LEVELS).astype(np.int16)
                 error = float(np.linalg.norm(turned - levels * scale))
                 rows.append((node, buckets, np.packbits(turned > 0).tobytes(), float(code @ turned), float(scale), levels.tobytes(), error))
             kinds = (pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.float64(), pa.float64(), pa.binary(), pa.float64())
@@ -105,7 +109,7 @@ def _code(bits: int, tables: int):
 
 def upper_bounds(signs: list[bytes], factor: np.ndarray, scale: np.ndarray, levels: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Estimated inner products of all pairs, rows as codes and columns as turned vectors, and their upper bounds."""
-    turned = np.frombuffer(b"".join(levels), np.int8).reshape(len(levels), -1) * scale[:, None]
+    turned = np.frombuffer(b"".join(levels), np.int16).reshape(len(levels), -1) * scale[:, None]
     dim = turned.shape[1]
     code = np.unpackbits(np.frombuffer(b"".join(signs), np.uint8).reshape(len(signs), -1), axis=1, count=dim) * 2.0 - 1
     estimate = code @ turned.T / math.sqrt(dim) / factor[:, None]
@@ -153,18 +157,45 @@ def _as_pairs(found: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
 
-def pairs_across(left: list[tuple], right: list[tuple] | None, threshold: float) -> Iterator[np.ndarray]:
-    """Nodes of all pairs of different parts that bounds don't rule out, of (node, part, signs, factor, scale, levels, error); right None: pairs within left."""
+class Parts:
+    """Components of a block's rows, by the number that each has already."""
+
+    def __init__(self, *parts: np.ndarray):
+        numbers = np.unique(np.concatenate(parts), return_inverse=True)[1]
+        self.rows = np.split(numbers, np.cumsum([len(p) for p in parts])[:-1])
+        self.root = np.arange(numbers.max(initial=-1) + 1)
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Places of the ties (roots a, b) that join two components, in order."""
+        root, made = self.root.tolist(), []
+        for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            while root[y] != y:
+                root[y] = y = root[root[y]]
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                made.append(k)
+        self.root = np.array(root)
+        while not np.array_equal(self.root, shorter := self.root[self.root]):
+            self.root = shorter
+        return np.array(made, np.int64)
+
+
+def pairs_across(left: list[tuple], right: list[tuple] | None, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of nodes of different parts, of (node, part, signs, factor, scale, levels, error), right None: pairs within left: links that join two parts, one for each joining, and pairs that no bound decides."""
     theta = math.acos(min(1.0, max(-1.0, threshold)))
 
     def columns(rows: list[tuple]):
         node, part = (np.array([r[i] for r in rows], np.int64) for i in (0, 1))
         factor, scale, error = (np.array([r[i] for r in rows]) for i in (3, 4, 6))
-        levels = np.frombuffer(b"".join(r[5] for r in rows), np.int8).reshape(len(rows), -1)
+        levels = np.frombuffer(b"".join(r[5] for r in rows), np.int16).reshape(len(rows), -1)
         return node, part, factor, scale, error, levels
 
     node, part, factor, scale, error, levels = columns(left)
     node_r, part_r, _, scale_r, error_r, levels_r = columns(left if right is None else right)
+    parts = Parts(part, part_r)
+    own, own_r = parts.rows
     dim = levels.shape[1]
     code = np.unpackbits(np.frombuffer(b"".join(r[2] for r in left), np.uint8).reshape(len(left), -1), axis=1, count=dim) * np.float32(2) - 1
     code = np.column_stack([code, np.ones(len(left), np.float32)])
@@ -178,20 +209,23 @@ def pairs_across(left: list[tuple], right: list[tuple] | None, threshold: float)
         first = i if right is None else 0
         near = code[i : i + TILE] @ turned[first:].T >= least[i : i + TILE, None]
         if 100 * np.count_nonzero(near) > near.size:
-            near &= part[i : i + TILE, None] != part_r[first:]
+            near &= parts.root[own[i : i + TILE], None] != parts.root[own_r[first:]]
         a, b = np.nonzero(near)
         a, b = a + i, b + first
-        chosen = part[a] != part_r[b]
         if right is None:
-            chosen &= a < b
-        a, b = a[chosen], b[chosen]
+            a, b = a[a < b], b[a < b]
         for k in range(0, len(a), 1 << 16):
             p, q = a[k : k + (1 << 16)], b[k : k + (1 << 16)]
+            apart = parts.root[own[p]] != parts.root[own_r[q]]
+            p, q = p[apart], q[apart]
             product = np.einsum("ij,ij->i", levels[p].astype(float), levels_r[q].astype(float)) * scale[p] * scale_r[q]
-            upper = product + error[p] + error_r[q] + error[p] * error_r[q] + rounding
-            left_over = upper >= threshold
-            if left_over.any():
-                yield np.stack([node[p[left_over]], node_r[q[left_over]]], 1)
+            slack = error[p] + error_r[q] + error[p] * error_r[q] + rounding
+            sure = np.flatnonzero(product - slack >= threshold)
+            sure = sure[parts.join(parts.root[own[p[sure]]], parts.root[own_r[q[sure]]])]
+            left_open = np.flatnonzero((product + slack >= threshold) & (product - slack < threshold))
+            left_open = left_open[parts.root[own[p[left_open]]] != parts.root[own_r[q[left_open]]]]
+            if len(sure) or len(left_open):
+                yield tuple(np.stack([node[p[x]], node_r[q[x]]], 1) for x in (sure, left_open))
 
 
 def _all_across(threshold: float):
@@ -203,8 +237,9 @@ def _all_across(threshold: float):
             left = [r[4:] for r in rows if r[3] == low]
             right = None if low == high else [r[4:] for r in rows if r[3] == high]
             if left and (right is None or right):
-                for found in pairs_across(left, right, threshold):
-                    yield _as_pairs(found)
+                for sure, left_open in pairs_across(left, right, threshold):
+                    found = np.sort(np.concatenate([sure, left_open]), axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1]), pa.array(np.arange(len(found)) < len(sure))], names=["a", "b", "sure"])
 
     return run
 
@@ -285,7 +320,8 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = THRESHOLD, recall:
     size = min(CUT, max(BLOCK, -(-count // CUTS)))
     met = _in_blocks(parted, "dim", size).join(codes.drop("buckets"), "node")
     met = by_block(met.select("block", "low", "high", "cut", "node", "part", "signs", "factor", "scale", "levels", "error"))
-    links = links.unionByName(confirmed(map_arrow(met, _all_across(threshold), "a long, b long")))
+    across = stash(map_arrow(met, _all_across(threshold), "a long, b long, sure boolean"), "pairs-across")
+    links = links.unionByName(across.filter("sure").select("a", "b")).unionByName(confirmed(across.filter("not sure").select("a", "b")))
     roots = stash(connected_components(links), "vector-roots")
     members = _in_blocks(stash(own.join(roots, "node").select("node", "root"), "members"), "root").join(own.select("node", "copies", "unit"), "node")
     in_order = members.select("block", "node", "cut", "copies", "low", "high", "unit").repartition(partitions(spark), "block").sortWithinPartitions("block")
