@@ -24,7 +24,12 @@ def test_scan_tree_and_skip(spark, tree):
     assert {r["path"]: r["source"] for r in found.collect()} == {"a.js": "x", "lib/b.ts": "import './c'", "big.js": None}
     seen = spark.createDataFrame(found.select("path", "mtime", "size").collect(), "path string, mtime timestamp, size long")
     (tree / "a.js").write_text("changed")
-    assert [r["path"] for r in readers.scan_tree(spark, str(tree), ["*.js", "*.ts"], previous=seen).collect()] == ["a.js"]
+    (tree / "lib/o d[d]{1}*.js").write_text("odd")
+    again = readers.scan_tree(spark, str(tree), ["*.js", "*.ts"], previous=seen)
+    assert {r["path"]: r["source"] for r in again.collect()} == {"a.js": "changed", "lib/o d[d]{1}*.js": "odd"}
+    assert len(again.inputFiles()) == 2  # the others aren't opened
+    now = spark.createDataFrame(readers.scan_tree(spark, str(tree), ["*.js", "*.ts"]).select("path", "mtime", "size").collect(), "path string, mtime timestamp, size long")
+    assert readers.scan_tree(spark, str(tree), ["*.js", "*.ts"], previous=now).count() == 0
 
 
 def test_git_logs(spark, tmp_path):

@@ -81,9 +81,10 @@ def repo_matches(folder: Column, asked: str) -> Column:
 
 
 def sample_count(sample: Column) -> Column:
-    """How many findings of a JSON sample changed or were invalidated; 0 for what is too long or isn't a list."""
-    kinds = F.from_json(sample, "array<struct<kind: string>>")
-    return F.when((F.length(sample) <= LONGEST_SAMPLE) & sample.rlike(r"^\s*\["), F.coalesce(F.size(F.filter(kinds, lambda x: x["kind"].isin(COUNTED_KINDS))), F.lit(0))).otherwise(0)
+    """How many findings of a JSON sample changed or were invalidated, whatever else the list holds; 0 for what is too long or isn't a list."""
+    items = F.try_variant_get(F.try_parse_json(sample), "$", "array<variant>")
+    counted = F.filter(items, lambda x: F.coalesce(F.try_variant_get(x, "$.kind", "string").isin(COUNTED_KINDS), F.lit(False)))
+    return F.when(F.length(sample) <= LONGEST_SAMPLE, F.coalesce(F.size(counted), F.lit(0))).otherwise(0)
 
 
 def iso_date(seconds: Column) -> Column:

@@ -44,13 +44,14 @@ def edits_of_surfaced(surfaced: DataFrame, calls: DataFrame, results: DataFrame)
     """Edits (calls by id, their results by the same id) of files that were surfaced with a line before: whether they meet it, and the opens in between.
 
     surfaced has sid, ord, path, line and source; calls sid, ord, id, tool; results id, path, first and
-    last line. The first edit after a row was surfaced uses it up; the last result of an id counts.
+    last line. The first edit after a row was surfaced whose lines are known uses it up, the
+    others pass it over; the last result of an id counts.
     """
     done = results.groupBy("id").agg(F.max_by(F.struct("path", "first", "last"), F.struct("at", "path")).alias("edit"))
     rows = surfaced.groupBy("sid", "path", "ord").agg(F.min(F.struct("line", "source")).alias("row")).withColumn("side", F.lit(0))
     both = rows.unionByName(calls.withColumn("side", F.lit(1)), allowMissingColumns=True)
     both = both.withColumn("opens", F.sum("side").over(Window.partitionBy("sid").orderBy("ord", "side", "id", "path").rowsBetween(Window.unboundedPreceding, 0)))
-    edits = both.filter((F.col("side") == 1) & F.col("tool").isin(EDIT_TOOLS)).drop("path").join(done, "id").withColumn("path", F.col("edit.path"))
+    edits = both.filter((F.col("side") == 1) & F.col("tool").isin(EDIT_TOOLS)).drop("path").join(done.filter("edit.first is not null and edit.last is not null"), "id").withColumn("path", F.col("edit.path"))
     shown = F.when(F.col("side") == 0, F.struct("ord", "row", "opens"))
     both = both.filter("side = 0").unionByName(edits, allowMissingColumns=True)
     latest = both.withColumn("shown", F.last(shown, ignorenulls=True).over(Window.partitionBy("sid", "path").orderBy("ord", "side", "id"))).filter("side = 1 and shown is not null")

@@ -117,11 +117,12 @@ def repair_importers(spark, sf_dir):
 
 
 @query(f"""WITH steps AS ({STEPS_SQL}), s AS (SELECT sid, path, ord, slot * 10 AS line, source FROM steps WHERE kind = 'inject' QUALIFY row_number() OVER (PARTITION BY sid, path, ord ORDER BY slot, source) = 1), e AS (SELECT *, count(*) OVER (PARTITION BY sid ORDER BY ord) AS n FROM steps WHERE kind = 'open'),
-j AS (SELECT e.sid, e.path, e.ord AS id, s.ord AS shown, s.source, s.line BETWEEN e.slot * 5 AND e.slot * 5 + 20 AS hit, e.n FROM e ASOF JOIN s ON e.sid = s.sid AND e.path = s.path AND e.ord >= s.ord WHERE e.tool = 'Edit' QUALIFY row_number() OVER (PARTITION BY e.sid, e.path, s.ord ORDER BY e.ord) = 1)
+j AS (SELECT e.sid, e.path, e.ord AS id, s.ord AS shown, s.source, s.line BETWEEN e.slot * 5 AND e.slot * 5 + 20 AS hit, e.n FROM e ASOF JOIN s ON e.sid = s.sid AND e.path = s.path AND e.ord >= s.ord WHERE e.tool = 'Edit' AND e.ord % 7 > 0 QUALIFY row_number() OVER (PARTITION BY e.sid, e.path, s.ord ORDER BY e.ord) = 1)
 SELECT sid, path, id, source, hit, n - (SELECT count(*) FROM e WHERE e.sid = j.sid AND e.ord < j.shown) AS opens FROM j""")
 def edits_of_surfaced(spark, sf_dir):
+    """Every seventh edit's lines aren't known."""
     steps = analogs.steps(spark, sf_dir)
     opens = steps.filter("kind = 'open'")
-    results = opens.select(F.col("ord").alias("id"), F.lit(0).alias("at"), "path", (F.col("slot") * 5).cast("int").alias("first"), (F.col("slot") * 5 + 20).cast("int").alias("last"))
+    results = opens.select(F.col("ord").alias("id"), F.lit(0).alias("at"), "path", F.when(F.col("ord") % 7 > 0, F.col("slot") * 5).cast("int").alias("first"), (F.col("slot") * 5 + 20).cast("int").alias("last"))
     surfaced = steps.filter("kind = 'inject'").select("sid", "ord", "path", (F.col("slot") * 10).cast("int").alias("line"), "source")
     return touches.edits_of_surfaced(surfaced, opens.select("sid", "ord", F.col("ord").alias("id"), "tool"), results)

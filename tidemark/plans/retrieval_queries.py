@@ -289,15 +289,15 @@ def sprawl_matches(spark, sf_dir):
     return retrieval.sprawl(new_files, exported, lambda terms: _layers(spark, sf_dir, terms), analogs.tree(spark, sf_dir), _fan(spark, sf_dir))
 
 
-@query(f"""{PAIRS}, {EDGES}, sessions AS (SELECT DISTINCT o_custkey AS session, l_suppkey AS id FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderpriority = '1-URGENT'), edits AS (SELECT session, min(id) AS id FROM sessions GROUP BY 1),
+@query(f"""{PAIRS}, {EDGES}, sessions AS (SELECT DISTINCT o_custkey AS session, l_suppkey AS id FROM orders JOIN lineitem ON l_orderkey = o_orderkey), edits AS (SELECT session, min(id) AS id FROM sessions GROUP BY 1),
 imports AS (SELECT DISTINCT to_path AS id, from_path AS other FROM edges WHERE to_path IS NOT NULL),
 deps AS (SELECT e.session, e.id, count(*) AS dependents, count(*) FILTER (s.id IS NULL AND i.other <> e.id) AS untouched FROM edits e JOIN imports i USING (id) LEFT JOIN sessions s ON s.session = e.session AND s.id = i.other GROUP BY 1, 2),
 ties AS (SELECT file_a AS id, file_b AS other, count, confidence FROM pairs UNION ALL SELECT file_b, file_a, count, confidence FROM pairs),
 close AS (SELECT session, id, list(other ORDER BY place) AS partners FROM (SELECT e.session, e.id, b.other, row_number() OVER (PARTITION BY e.session, e.id ORDER BY confidence DESC, count DESC, b.other) AS place FROM edits e JOIN ties b ON b.id = e.id
- WHERE confidence >= 0.05 AND NOT EXISTS (SELECT 1 FROM sessions s WHERE s.session = e.session AND s.id = b.other)) WHERE place <= 2 GROUP BY 1, 2)
+ WHERE confidence >= 0.4 AND NOT EXISTS (SELECT 1 FROM sessions s WHERE s.session = e.session AND s.id = b.other)) WHERE place <= 2 GROUP BY 1, 2)
 SELECT coalesce(d.session, c.session) AS session, coalesce(d.id, c.id) AS id, coalesce(dependents, 0) AS dependents, coalesce(untouched, 0) AS untouched, coalesce(partners, []) AS partners FROM (SELECT * FROM deps WHERE dependents >= 3 AND untouched > 0) d FULL JOIN close c ON d.session = c.session AND d.id = c.id""")
 def blast_radius(spark, sf_dir):
-    orders = analogs.table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("session"))
+    orders = analogs.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("session"))
     touched = analogs.table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("id")).join(orders, "l_orderkey").select("session", "id").distinct()
     edits = touched.groupBy("session").agg(F.min("id").alias("id"))
-    return retrieval.blast_radius(edits, analogs.edges(spark, sf_dir), _pairs(spark, sf_dir), touched, confidence=0.05)
+    return retrieval.blast_radius(edits, analogs.edges(spark, sf_dir), _pairs(spark, sf_dir), touched)

@@ -23,16 +23,16 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Notes, spans, counts, folders, samples and times, a row for each order.
 NOTES = ["lib/a.js high fan-in (12)", "no hazard here", "x<y> & \"q\" 'z' `t`", "src/b.ts high fan-in (3)"]
 HOMES = ["-root-tidal", "-home-me-Tidal", "tidal", "tidalwave", "-root-tidal-x"]
-SAMPLES = ['[{"kind":"changed"},{"kind":"overlap"}]', "not json", '{"kind":"changed"}', "[]", '[{"kind":"invalidated"},{"kind":"changed"},{"k":1}]']
+SAMPLES = ['[{"kind":"changed"},{"kind":"overlap"}]', "not json", '{"kind":"changed"}', "[]", '[{"kind":"invalidated"},{"kind":"changed"},{"k":1}]', '[{"kind":"changed"},5,"changed",null,[{"kind":"changed"}]]', '[{"kind":"changed"}']
 MARKS_SQL = f"""SELECT o_orderkey AS id, {sql_list(NOTES)}[o_orderkey % 4 + 1] AS note, CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey % 50 END AS first, CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey % 50 + o_custkey % 2 * 9 END AS last, CASE WHEN o_orderkey % 2 > 0 THEN o_orderkey % 90 END AS line,
-  (o_orderkey % 7 - 3) * 1.5::DOUBLE AS value, {sql_list(HOMES)}[o_orderkey % 5 + 1] AS folder, {sql_list(SAMPLES)}[o_custkey % 5 + 1] AS sample, o_orderkey % 400 * 4000037 AS seconds FROM orders"""
+  (o_orderkey % 7 - 3) * 1.5::DOUBLE AS value, {sql_list(HOMES)}[o_orderkey % 5 + 1] AS folder, {sql_list(SAMPLES)}[o_custkey % 7 + 1] AS sample, o_orderkey % 400 * 4000037 AS seconds FROM orders"""
 
 
 def marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, c = F.col("o_orderkey"), F.col("o_custkey")
     return table(spark, sf_dir, "orders").select(
         o.alias("id"), _pick(NOTES, o % 4).alias("note"), F.when(o % 3 > 0, o % 50).alias("first"), F.when(o % 3 > 0, o % 50 + c % 2 * 9).alias("last"), F.when(o % 2 > 0, o % 90).alias("line"),
-        ((o % 7 - 3) * 1.5).alias("value"), _pick(HOMES, o % 5).alias("folder"), _pick(SAMPLES, c % 5).alias("sample"), (o % 400 * 4000037).alias("seconds"),
+        ((o % 7 - 3) * 1.5).alias("value"), _pick(HOMES, o % 5).alias("folder"), _pick(SAMPLES, c % 7).alias("sample"), (o % 400 * 4000037).alias("seconds"),
     )
 
 

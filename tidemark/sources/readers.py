@@ -6,6 +6,7 @@ so that rows keep their order when a large file is read by many tasks.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -28,15 +29,22 @@ def scan_tree(spark: SparkSession, root: str, names: list[str], ignored: str = r
     """(path, mtime, size, source) of the files below root whose names match one of the globs, but for hidden and ignored ones.
 
     A source larger than 512 KiB is null. With the rows of a previous scan, files of equal
-    path, mtime and size are left out, before any of them is read.
+    path, mtime and size are left out before any of them is read: the folders are listed
+    without contents, and only what is left is opened. Names of changed files pass through
+    the driver, as those of all files do wherever Spark lists a folder.
     """
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "{" + ",".join(names) + "}").load(root)
-    below = F.regexp_replace("path", r"^.*?\Q" + root.rstrip("/").split(":")[-1] + r"\E/", "")
-    kept = found.select(below.alias("path"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"), "content")
-    kept = kept.filter(~F.concat(F.lit("/"), "path").rlike(r"/\.") & ~F.concat(F.lit("/"), "path").rlike(ignored))
+    listed = _files(spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "{" + ",".join(names) + "}").format("binaryFile").load(root), root, ignored)
     if previous is not None:
-        kept = kept.join(previous.select("path", "mtime", "size"), ["path", "mtime", "size"], "left_anti")
-    return kept.select("path", "mtime", "size", F.when(F.col("size") <= MOST_BYTES, F.col("content").cast("string")).alias("source"))
+        changed = listed.drop("content").join(previous.select("path", "mtime", "size"), ["path", "mtime", "size"], "left_anti").select("file")
+        files = [re.sub(r"([\\{}\[\]*?^,])", r"\\\1", r["file"]) for r in changed.toLocalIterator()]
+        listed = _files(spark.read.format("binaryFile").load(files), root, ignored) if files else listed.filter(F.lit(False))
+    return listed.select("path", "mtime", "size", F.when(F.col("size") <= MOST_BYTES, F.col("content").cast("string")).alias("source"))
+
+
+def _files(found: DataFrame, root: str, ignored: str) -> DataFrame:
+    below = F.regexp_replace("path", r"^.*?\Q" + root.rstrip("/").split(":")[-1] + r"\E/", "")
+    rows = found.select(F.col("path").alias("file"), below.alias("path"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"), "content")
+    return rows.filter(~F.concat(F.lit("/"), "path").rlike(r"/\.") & ~F.concat(F.lit("/"), "path").rlike(ignored))
 
 
 def commits_of_log(spark: SparkSession, path: str) -> DataFrame:
