@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions import canonical
 from tidemark.plans.registry import query
 from tidemark.sources.analogs import _pick, table
 from tidemark.streaming import exposures, lifetimes
@@ -55,3 +56,19 @@ def listed_snapshots(spark, sf_dir):
     rows = _snapshots(spark, sf_dir)
     now = rows.agg(F.max("ts")).first()[0]
     return lifetimes.listed(rows, (now or 0) - 43_200_000)
+
+
+#: Findings of suppliers' tasks, spelled in two ways; every eleventh order's isn't JSON.
+FINDINGS_SQL = """SELECT l_suppkey AS task, l_orderkey * 10 + l_linenumber AS ord, CASE WHEN l_orderkey % 11 = 0 THEN '{not json' WHEN l_linenumber % 2 = 1 THEN '{"path": "f' || (l_partkey % 5) || '", "lines": [' || (l_partkey % 3) || '.0, {"b":1e0, "a":' || (l_linenumber % 2) || '}], "kind":"changed"}'
+ ELSE '{"kind":"changed","lines":[' || (l_partkey % 3) || ',{"a":' || (l_linenumber % 2) || ',"b":1}],"path":"f' || (l_partkey % 5) || '"}' END AS finding, '{"kind":"changed","lines":[' || (l_partkey % 3) || ',{"a":' || (l_linenumber % 2) || ',"b":1}],"path":"f' || (l_partkey % 5) || '"}' AS canonical FROM lineitem"""
+
+
+@query(f"""WITH f AS ({FINDINGS_SQL}) SELECT task, (row_number() OVER (PARTITION BY task ORDER BY canonical))::INTEGER AS place, canonical, min(ord) AS ord, arg_min(finding, ord) AS finding, count(*) AS copies FROM f WHERE finding <> '{{not json' GROUP BY task, canonical""")
+def unique_findings(spark, sf_dir):
+    """Findings of a task that say the same, whatever the order of their keys and the spelling of their numbers, once each."""
+    o, n, p = (F.col(c) for c in ("l_orderkey", "l_linenumber", "l_partkey"))
+    text = lambda *parts: F.concat(*(x.cast("string") if isinstance(x, F.Column) else F.lit(x) for x in parts))
+    spaced = text('{"path": "f', p % 5, '", "lines": [', p % 3, '.0, {"b":1e0, "a":', n % 2, '}], "kind":"changed"}')
+    tight = text('{"kind":"changed","lines":[', p % 3, ',{"a":', n % 2, ',"b":1}],"path":"f', p % 5, '"}')
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("task"), (o * 10 + n).alias("ord"), F.when(o % 11 == 0, "{not json").when(n % 2 == 1, spaced).otherwise(tight).alias("finding"))
+    return canonical.unique_sorted(rows, "task", "ord", "finding")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import search
+from tidemark.operators import scopes, search
 from tidemark.operators.search import Query
 from tidemark.plans.registry import query
-from tidemark.sources.corpus import LINES_SQL, lines
+from tidemark.sources.corpus import CODE_SQL, LINES_SQL, code_lines, lines
 
 QUERIES = [
     Query(1, "Apache License", literal=True), Query(2, "licen[sc]ed? under"), Query(3, r"\b(MIT|GNU) [A-Z]\w+"), Query(4, r"[\w.]+@\w+\.(com|org|net)"), Query(5, "^the .*thing"),
@@ -66,3 +66,32 @@ def search_lines_read(spark, sf_dir):
     """How many lines a search reads where postings rule the other blocks out."""
     corpus = lines(spark, sf_dir)
     return search.lines_read(corpus, search.postings(corpus, block_lines=4), QUERIES, block_lines=4)
+
+#: Ends of blocks by comparing lines of a file: the next line that is no deeper, or the line where as few braces are open as before.
+SCOPES = rf"""code AS ({CODE_SQL}), py AS (SELECT path, line_no, line, length(regexp_extract(line, '^ *')) AS depth FROM code WHERE ends_with(path, '.py') AND trim(line) <> '' AND NOT starts_with(trim(line), '#')),
+py_defs AS (SELECT path, line_no AS first, depth, coalesce(nullif(regexp_extract(line, '^\s*(?:async\s+)?def\s+(\w+)', 1), ''), regexp_extract(line, '^\s*class\s+(\w+)', 1)) AS name, CASE WHEN contains(line, 'class') THEN 'class' ELSE 'function' END AS kind FROM py WHERE regexp_matches(line, '^\s*(async\s+def|def|class)\s')),
+py_next AS (SELECT d.path, d.first, d.name, d.kind, (SELECT min(l.line_no) FROM py l WHERE l.path = d.path AND l.line_no > d.first AND l.depth <= d.depth) AS after FROM py_defs d),
+py_scopes AS (SELECT n.path, n.first, n.name, n.kind, (SELECT max(l.line_no) FROM py l WHERE l.path = n.path AND (n.after IS NULL OR l.line_no < n.after)) AS last FROM py_next n),
+py_named AS (SELECT s.path, s.name, CASE WHEN s.kind = 'function' AND (SELECT arg_max(p.kind, p.first) FROM py_scopes p WHERE p.path = s.path AND p.first < s.first AND p.last >= s.first) = 'class' THEN 'method' ELSE s.kind END AS kind, s.first, s.last FROM py_scopes s),
+braced AS (SELECT path, line_no, line, CASE WHEN contains(line, '{{') THEN 1 ELSE 0 END AS opens, CASE WHEN contains(line, '}}') AND NOT contains(line, '''') THEN 1 ELSE 0 END AS closes FROM code WHERE ends_with(path, '.ts')),
+depths AS (SELECT *, sum(opens - closes) OVER (PARTITION BY path ORDER BY line_no) AS depth FROM braced),
+b_defs AS (SELECT path, line_no AS first, depth - (opens - closes) AS before, CASE line WHEN 'class A {{' THEN 'A' WHEN 'function f(x) {{' THEN 'f' WHEN 'const g = (y) => {{' THEN 'g' WHEN 'm(a) {{' THEN 'm' END AS name FROM depths),
+b_scopes AS (SELECT d.path, d.name, CASE name WHEN 'A' THEN 'class' WHEN 'm' THEN 'method' ELSE 'function' END AS kind, d.first, (SELECT min(l.line_no) FROM depths l WHERE l.path = d.path AND l.line_no > d.first AND l.depth <= d.before) AS last FROM b_defs d WHERE name IS NOT NULL),
+scopes AS (SELECT * FROM py_named UNION ALL SELECT * FROM b_scopes WHERE last IS NOT NULL)"""
+
+
+@query(f"WITH {SCOPES} SELECT path, name, kind, first, last FROM scopes")
+def code_scopes(spark, sf_dir):
+    """Functions, methods and classes with the lines they span, by indentation or braces."""
+    return scopes.scopes(code_lines(spark, sf_dir))
+
+
+@query(f"""WITH {SCOPES}, hits AS (SELECT path, line_no FROM code WHERE contains(line, 'x')), met AS (SELECT h.path, h.line_no, name, kind, first, last FROM hits h LEFT JOIN scopes s ON s.path = h.path AND line_no BETWEEN first AND last),
+best AS (SELECT * FROM met QUALIFY row_number() OVER (PARTITION BY path, line_no ORDER BY (kind = 'class')::INTEGER, last - first, first DESC, name) = 1)
+SELECT b.path, b.line_no, name, kind, b.line_no - first AS place, list(c.line ORDER BY c.line_no) FILTER (c.line IS NOT NULL) AS body, last - first + 1 > 12 AS truncated FROM best b LEFT JOIN code c ON c.path = b.path AND c.line_no BETWEEN first AND least(last, first + 11) GROUP BY ALL""")
+def hit_scopes(spark, sf_dir):
+    """The function around each line that holds an x, or the class where there is none, with its first twelve lines."""
+    rows = code_lines(spark, sf_dir)
+    hits = rows.filter(F.col("line").contains("x")).select("path", "line_no")
+    told = scopes.with_body(scopes.enclosing(hits, scopes.scopes(rows)), rows, most=12)
+    return told.select("path", "line_no", "scope.name", "scope.kind", "place", "body", "truncated")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.sources.analogs import _pick, sql_list, table
@@ -18,3 +18,18 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat(_pick(FOLDERS, k % 8), "source", F.lit("/d"), k.cast("string"), _pick(ENDINGS, F.floor(k / 8) % 6))
     split = table(spark, sf_dir, "documents").select(path.alias("path"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
     return split.select("path", (F.col("at") + 1).cast("long").alias("line_no"), "line")
+
+#: Code of parts: Python files with lines at any depth, and braced ones.
+PYTHON_LINES = ["class A:", "def f(x):", "x = 1", "", "# note", "async def g():", "return x", "s = 'def no():'"]
+BRACED_LINES = ["class A {", "function f(x) {", "}", "x = 1;", "if (x) {", "} else {", "const g = (y) => {", "m(a) {", "", "}", "s = 'x }'"]
+CODE_SQL = f"""SELECT CASE WHEN l_partkey % 2 = 0 THEN 'p' || l_partkey || '.py' ELSE 'b' || l_partkey || '.ts' END AS path, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey) AS line_no,
+ CASE WHEN l_partkey % 2 = 0 THEN repeat('    ', (l_orderkey + l_linenumber) % 4) || {sql_list(PYTHON_LINES)}[(l_orderkey * 5 + l_linenumber * 3) % 8 + 1] ELSE {sql_list(BRACED_LINES)}[(l_orderkey * 5 + l_linenumber * 3) % 11 + 1] END AS line FROM lineitem"""
+
+
+def code_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, n, p = (F.col(c) for c in ("l_orderkey", "l_linenumber", "l_partkey"))
+    python = p % 2 == 0
+    path = F.when(python, F.concat(F.lit("p"), p.cast("string"), F.lit(".py"))).otherwise(F.concat(F.lit("b"), p.cast("string"), F.lit(".ts")))
+    line = F.when(python, F.concat(F.repeat(F.lit("    "), ((o + n) % 4).cast("int")), _pick(PYTHON_LINES, (o * 5 + n * 3) % 8))).otherwise(_pick(BRACED_LINES, (o * 5 + n * 3) % 11))
+    number = F.row_number().over(Window.partitionBy("l_partkey").orderBy("l_orderkey", "l_linenumber", "l_suppkey")).cast("long")
+    return table(spark, sf_dir, "lineitem").select(path.alias("path"), number.alias("line_no"), line.alias("line"))
