@@ -60,7 +60,18 @@ def test_upsert_and_follow(spark, tmp_path):
     stream().awaitTermination()
     spark.createDataFrame([("b", 5)], "path string, v int").coalesce(1).write.mode("append").parquet(source)
     stream().awaitTermination()
-    assert sorted(map(tuple, spark.read.parquet(f"{table}/1").collect())) == [("a", 1), ("b", 5)]
+    seen = lambda: sorted(map(tuple, windows.followed(spark, table, "path string, v int").collect()))
+    assert seen() == [("a", 1), ("b", 5)]
+    stream().awaitTermination()  # nothing new
+    for k in range(3):
+        spark.createDataFrame([("b", k), (f"c{k}", k), ("b", 10 + k)], "path string, v int").coalesce(1).write.mode("append").parquet(source)
+        stream().awaitTermination()
+    assert seen() == [("a", 1), ("b", 12), ("c0", 0), ("c1", 1), ("c2", 2)]
+    data = {p.name for p in (tmp_path / "table" / "data").iterdir() if p.name.isdigit()}
+    # the first batch still holds a; of b's versions the last two are left
+    assert data >= {"0", "3", "4"} and "1" not in data and len([p for p in (tmp_path / "table" / "versions").iterdir() if p.name.isdigit()]) == 2
+    assert not (tmp_path / "table" / "data" / "4" / f"_bucket={spark.range(1).select(F.pmod(F.xxhash64(F.lit('a')), F.lit(64))).first()[0]}").exists()
+    assert windows.followed(spark, str(tmp_path / "none"), "path string").count() == 0
 
 
 def test_permutation_lift(spark):

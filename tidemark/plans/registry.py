@@ -24,5 +24,5 @@ def query(sql: str | None = None):
     return add
 
 
-from tidemark.plans import event_queries, graph_queries, join_queries, lifecycle_queries, lift_queries, metric_queries, path_queries, rank_queries, retrieval_queries, scorecard_queries, search_queries, session_queries, text_queries  # noqa: E402, F401
+from tidemark.plans import event_queries, graph_queries, join_queries, lifecycle_queries, lift_queries, metric_queries, path_queries, prompt_queries, rank_queries, retrieval_queries, scorecard_queries, search_queries, session_queries, text_queries  # noqa: E402, F401
 from tidemark.plans import ledger_queries  # noqa: E402, F401  # after those whose SQL it uses

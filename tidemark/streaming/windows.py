@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -114,13 +114,62 @@ def upsert_files(current: DataFrame, batch: DataFrame, key: str = "path") -> Dat
     return current.join(batch.select(key).distinct(), key, "left_anti").unionByName(batch)
 
 
-def follow(stream: DataFrame, path: str, checkpoint: str, key: str = "path"):
-    """Keeps a table of files up to date from a stream of rows; every micro-batch writes a new snapshot folder, named by its number."""
+def _at(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _numbers(spark: SparkSession, path: str) -> list[int]:
+    """Batches whose list of versions is whole."""
+    at, files = _at(spark, f"{path}/versions")
+    names = [s.getPath().getName() for s in files.listStatus(at)] if files.exists(at) else []
+    return sorted(int(n) for n in names if n.isdigit() and files.exists(_at(spark, f"{path}/versions/{n}/_SUCCESS")[0]))
+
+
+def _versions(spark: SparkSession, path: str, number: int) -> dict[int, int]:
+    """Which batch wrote each bucket last; a row for each bucket."""
+    return {r["bucket"]: r["version"] for r in spark.read.parquet(f"{path}/versions/{number}").collect()}
+
+
+def followed(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The table as the last whole batch left it."""
+    numbers = _numbers(spark, path)
+    known = _versions(spark, path, numbers[-1]) if numbers else {}
+    folders = [f"{path}/data/{v}/_bucket={b}" for b, v in sorted(known.items())]
+    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
+
+
+def follow(stream: DataFrame, path: str, checkpoint: str, key: str = "path", *, buckets: int = 64):
+    """Keeps a table of files up to date from a stream of rows, see followed.
+
+    Rows are dealt to buckets by their key, and a micro-batch writes only the buckets it
+    touches anew, under its number; a list of the buckets' versions makes the batch count, so
+    a batch that comes again has the same effect. Versions that neither the last list nor
+    the one before names are deleted.
+    """
 
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         latest = batch.withColumn("_at", F.monotonically_increasing_id()).groupBy(key).agg(F.max_by(F.struct(*batch.columns), "_at").alias("row")).select("row.*")  # the last row of each key
-        old = f"{path}/{number - 1}"
-        (upsert_files(spark.read.parquet(old), latest, key) if number else latest).write.mode("overwrite").parquet(f"{path}/{number}")
+        latest = latest.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).persist()
+        touched = [r["_bucket"] for r in latest.select("_bucket").distinct().collect()]
+        before = [n for n in _numbers(spark, path) if n < number]
+        known = _versions(spark, path, before[-1]) if before else {}
+        old = [f"{path}/data/{known[b]}/_bucket={b}" for b in touched if b in known]
+        if touched:
+            rows = latest
+            if old:
+                held = spark.read.schema(batch.schema).parquet(*old).withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+                rows = upsert_files(held, latest, key)
+            rows.repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/data/{number}")
+            versions = known | dict.fromkeys(touched, number)
+            spark.createDataFrame(sorted(versions.items()), "bucket int, version long").coalesce(1).write.mode("overwrite").parquet(f"{path}/versions/{number}")
+            named = set(versions.values()) | set(known.values())
+            for folder, kept in ((f"{path}/data", named), (f"{path}/versions", {number, *before[-1:]})):
+                at, files = _at(spark, folder)
+                for name in [s.getPath().getName() for s in files.listStatus(at)]:
+                    if name.isdigit() and int(name) < number and int(name) not in kept:
+                        files.delete(_at(spark, f"{folder}/{name}")[0], True)
+        latest.unpersist()
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
