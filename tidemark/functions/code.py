@@ -101,40 +101,3 @@ def coverage_bonus(line: Column, terms: Column) -> Column:
     """Points for every further term that a line holds."""
     held = F.size(F.filter(terms, lambda t: F.lower(line).contains(F.lower(t))))
     return F.when(held > 1, (held - 1) * COVERAGE_STEP).otherwise(0)
-
-
-#: Patterns of imports and exports, with the kinds they give.
-IMPORTS = [
-    (r"(?m)^\s*import\s+(?:type\s+)?[\s\S]{0,500}?\sfrom\s*[\"']([^\"']+)[\"']", "import"), (r"(?m)^\s*import\s*[\"']([^\"']+)[\"']", "import"), (r"(?m)^\s*export\s+[\s\S]{0,500}?\sfrom\s*[\"']([^\"']+)[\"']", "export-from"),
-    (r"\bimport\s*\(\s*[\"']([^\"']+)[\"']\s*\)", "dynamic"), (r"\brequire\s*\(\s*[\"']([^\"']+)[\"']\s*\)", "require"),
-]
-EXPORTS = [
-    (r"\bexport\s+(default)\b", "default"), (r"\bexport\s+(?:async\s+)?function\s+([A-Za-z0-9_$]+)", "named"), (r"\bexport\s+class\s+([A-Za-z0-9_$]+)", "named"), (r"\bexport\s+(?:const|let|var)\s+([A-Za-z0-9_$]+)", "named"),
-    (r"\bexport\s+type\s+([A-Za-z0-9_$]+)", "type"), (r"\bexport\s+interface\s+([A-Za-z0-9_$]+)", "type"), (r"\bexports\.([A-Za-z0-9_$]+)\s*=", "cjs-named"),
-]
-EXPORT_LIST, COMMON_JS = r"\bexport\s*\{\s*([^}]+)\s*\}(?!\s*from)", r"\bmodule\.exports\s*="
-
-
-def without_comments(source: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(source, r"(?s)/\*.*?\*/", ""), r"(?m)^\s*//.*$", "")
-
-
-def _found(source: Column, patterns: list[tuple[str, str]], name: str) -> Column:
-    def of(pattern: str, kind: str) -> Column:
-        return F.transform(F.regexp_extract_all(source, F.lit(pattern), F.lit(1)), lambda x: F.struct(x.alias(name), F.lit(kind).alias("kind")))
-
-    return F.concat(*(of(*p) for p in patterns))
-
-
-def imports(source: Column) -> Column:
-    """Distinct (specifier, kind) of a source's imports."""
-    return F.array_distinct(_found(without_comments(source), IMPORTS, "specifier"))
-
-
-def exports(source: Column) -> Column:
-    """Distinct (name, kind) of a source's exports; a renamed one has its new name."""
-    plain = without_comments(source)
-    parts = F.filter(F.split(F.array_join(F.regexp_extract_all(plain, F.lit(EXPORT_LIST), F.lit(1)), ","), ","), lambda x: F.trim(x) != "")
-    listed = F.transform(parts, lambda x: F.struct(F.trim(F.element_at(F.split(F.trim(x), r"(?i)\s+as\s+"), -1)).alias("name"), F.lit("named").alias("kind")))
-    whole = F.when(plain.rlike(COMMON_JS), F.array(F.struct(F.lit("default").alias("name"), F.lit("cjs-default").alias("kind")))).otherwise(F.array().cast("array<struct<name: string, kind: string>>"))
-    return F.array_distinct(F.concat(_found(plain, EXPORTS, "name"), listed, whole))

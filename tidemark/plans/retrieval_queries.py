@@ -115,29 +115,6 @@ def line_symbols(spark, sf_dir):
     return lines.select("line", fc.symbol(F.col("line")).alias("symbol"), F.round(fc.noise_ratio(F.col("line")), 6).alias("noise"), "n")
 
 
-#: What lines import and export, told by hand.
-IMPORTED = {4: ("./widget", "import"), 13: ("./session", "require"), 22: ("./lazy", "dynamic"), 23: ("./all", "export-from"), 24: ("side-effect", "import")}
-EXPORTED = {0: [("resolveImport", "named")], 5: [("default", "cjs-default")], 6: [("run", "cjs-named")], 8: [("URI", "named")], 12: [("useState", "named")], 17: [("default", "default")], 19: [("start", "named"), ("Widget", "named")], 25: [("Shape", "type")]}
-QUOTE = lambda s: "'" + s.replace("'", "''") + "'"
-
-
-@query(f"WITH code AS ({CODE_SQL}), told AS (SELECT * FROM (VALUES {', '.join(f'({QUOTE(LINES[k])}, {QUOTE(s)}, {QUOTE(kind)})' for k, (s, kind) in IMPORTED.items())}) t(line, specifier, kind)) SELECT DISTINCT id, specifier, kind FROM code JOIN told USING (line)")
-def file_imports(spark, sf_dir):
-    """Imports of each statement; over a whole source, a pattern may run from one export to the next from."""
-    return analogs.code(spark, sf_dir).select("id", F.explode(fc.imports(F.col("line"))).alias("x")).select("id", "x.*").distinct()
-
-
-@query(f"WITH code AS ({CODE_SQL}), told AS (SELECT * FROM (VALUES {', '.join(f'({QUOTE(LINES[k])}, {QUOTE(s)}, {QUOTE(kind)})' for k, xs in EXPORTED.items() for s, kind in xs)}) t(line, name, kind)) SELECT DISTINCT id, name, kind FROM code JOIN told USING (line)")
-def file_exports(spark, sf_dir):
-    return _sources(spark, sf_dir).select("id", F.explode(fc.exports(F.col("source"))).alias("x")).select("id", "x.*")
-
-
-def _sources(spark, sf_dir):
-    lines = analogs.code(spark, sf_dir).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("lines"))
-    # a statement of its own between lines, as a list followed by from is no export
-    return lines.select("id", F.array_join(F.transform("lines", lambda x: x["line"]), "\n;\n").alias("source"))
-
-
 ASKED = {1: ["resolveImport"], 2: ["Widget", "run"], 3: ["URI", "extension"], 4: ["flags", "registry", "loadFlags"], 5: ["parse_log", "north"], 6: ["session", "value"]}
 ASKED_SQL = "asked AS (SELECT * FROM (VALUES " + ", ".join(f"({q}, {sql_list(ts)})" for q, ts in ASKED.items()) + ") t(query, terms))"
 LOW = "list_filter(terms, lambda t: contains(lower(line), lower(t)))"

@@ -8,7 +8,7 @@ from tidemark.functions import paths as fp
 from tidemark.operators import evaluation, imports, sessions
 from tidemark.plans.event_queries import _wilson_sql
 from tidemark.plans.path_queries import TEST
-from tidemark.plans.registry import query
+from tidemark.plans.registry import ORACLE_SQL, query
 from tidemark.sources import analogs
 from tidemark.sources.analogs import CASES_SQL, CONFIG_SQL, IMPORTS_SQL, LOG_SQL, PACKAGES_SQL, SOURCE_SQL, STEPS_SQL, TREE_SQL
 
@@ -103,6 +103,25 @@ def source_exports(spark, sf_dir):
     return imports.export_rows(analogs.sources(spark, sf_dir))
 
 
+_FILE = "SELECT id, list_sort(list(DISTINCT kind || ' ' || {0})) AS found, count(*) AS n FROM ({1}) GROUP BY 1"
+
+
+def _by_file(rows, column):
+    return rows.groupBy("id").agg(F.array_sort(F.collect_set(F.concat("kind", F.lit(" "), column))).alias("found"), F.count("*").alias("n"))
+
+
+@query(_FILE.format("specifier", ORACLE_SQL["import_specifiers"]))
+def file_imports(spark, sf_dir):
+    """What each whole source imports, as one list."""
+    return _by_file(imports.import_rows(analogs.sources(spark, sf_dir)), "specifier")
+
+
+@query(_FILE.format("name", ORACLE_SQL["source_exports"]))
+def file_exports(spark, sf_dir):
+    """What each whole source exports, as one list."""
+    return _by_file(imports.export_rows(analogs.sources(spark, sf_dir)), "name")
+
+
 @query(f"WITH {_CODE} SELECT found AS specifier, count(*) AS files FROM ({' UNION '.join(_extracted(imports.IMPORTS))}) WHERE kind = 'export-from' GROUP BY 1")
 def reexport_targets(spark, sf_dir):
     return imports.import_rows(analogs.sources(spark, sf_dir)).filter("kind = 'export-from'").groupBy("specifier").agg(F.count("*").alias("files"))
