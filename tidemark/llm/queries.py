@@ -10,26 +10,31 @@ from tidemark.llm.common import new_path
 
 
 def op1_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids written as compressed planes and read back: where they start, how many, and their checksum."""
     path = new_path(spark, "token-blocks")
     token_files.write_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), path)
     return token_files.read_documents(spark, path)
 
 
 def op2_rotation_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's links with cosine 0.95 or more and the component they make."""
     return vectors.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
 def op3_signature_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document stored as samples of a media format, read back and described."""
     path = new_path(spark, "media")
     media.store_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"), path)
     return media.read_stored(spark, path)
 
 
 def op4_toxic_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity, learned from labels outside the held-out fold."""
     return toxicity.toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def op5_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that each source gives to a mix whose smaller sources come twice at most."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     return mixing.mix(docs).select("doc_id", "source", "mix.*")
 
@@ -76,24 +81,29 @@ SELECT doc_id, source, tokens, epoch::INTEGER AS epoch, block, before, quota FRO
 
 
 def op6_prefix_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shingles, links and component."""
     return jaccard.similar_sets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def op7_warc_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to archives and read back by its chain of records."""
     path = new_path(spark, "archives")
     warc.write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
     return warc.read_archives(spark, path)
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces and their places in sequences of 1,024 tokens."""
     return packing.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def op9_kernel_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality, learned from labels outside the held-out fold."""
     return quality.quality(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def op10_bucket_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages of 200 bytes and more that occur elsewhere."""
     out = suffixes.remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select(
         "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),

@@ -293,7 +293,7 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, as_text: bool = Fal
     table gives no rows.
     """
     row = [F.struct(*(F.col(f"`{c}`") for c in carry)).alias("carried")] if carry else []
-    wide = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *row)
+    wide = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"), *row)
     docs = wide.select("doc_id", "text")
     named = stash(docs.select("doc_id", F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 32).alias("text_id")), "text-ids")
     copied = stash(named.groupBy("text_id").agg(F.count("*").alias("n")).filter("n > 1"), "copied-texts").select("text_id", F.lit(True).alias("copied"))
