@@ -85,16 +85,26 @@ def matches(name: Column, terms: Column, exact_case: bool = False) -> Column:
     return F.coalesce(F.exists(terms, lambda t: own == (t if exact_case else F.lower(t))), F.lit(False))
 
 
-def line_signals(line: Column, path: Column, terms: Column, defined: Column, exact_case: bool = False, enclosing: Column | None = None, noise: Column | None = None) -> Column:
-    """Sum of the shares that a line's own signals add; defined is its symbol, noise its noise ratio where it's known."""
+def line_signals(line: Column, path: Column, terms: Column, defined: Column, exact_case: bool = False, noise: Column | None = None, asks_extension: Column | None = None) -> Column:
+    """Sum of the shares that a line's own signals add; defined is its symbol, noise its noise ratio where it's known, asks_extension whether the query is shaped like one for an extension, see there."""
     share = lambda name, holds: F.when(holds, SHARES[name]).otherwise(0.0)
     within = F.exists(terms, lambda t: (defined if exact_case else F.lower(defined)).contains(t if exact_case else F.lower(t)))
     noise, python, swift = noise_ratio(line) if noise is None else noise, path.endswith(".py"), path.endswith(".swift")
     total = share("exact_symbol", matches(defined, terms, exact_case)) + share("export_match", is_export_statement(line, terms)) + share("symbol_contains", F.coalesce(within, F.lit(False)))
     total = total + F.when(noise > 0.7, SHARES["noise_high"]).when(noise > 0.5, SHARES["noise_mid"]).otherwise(0.0)
     total = total + share("python_public", python & is_public_python(line) & holds_any(line, terms)) + share("docstring", python & line.rlike("^\\s*(\"{3}|'{3}|#)") & holds_any(line, terms))
-    total = total + share("extension_target", swift & (F.size(terms) >= 2) & matches(extension_target(line), terms))
-    return total if enclosing is None else total + share("enclosing_type", swift & matches(enclosing, terms))
+    shaped = F.size(terms) >= 2 if asks_extension is None else asks_extension
+    return total + share("extension_target", swift & shaped & matches(extension_target(line), terms))
+
+
+def asks_extension(terms: Column, raw: Column) -> Column:
+    """A query of several terms, or whose text has a + or the word extension."""
+    return (F.size(terms) >= 2) | F.coalesce(raw.contains("+") | raw.rlike(r"(?i)\bextension\b"), F.lit(False))
+
+
+def enclosing_share(before: Column, path: Column, terms: Column) -> Column:
+    """What a Swift line gets for the type around it: the nearest that opens in the lines before."""
+    return F.when(path.endswith(".swift") & matches(enclosing_type(before), terms), SHARES["enclosing_type"]).otherwise(0.0)
 
 
 def coverage_bonus(line: Column, terms: Column) -> Column:

@@ -116,6 +116,27 @@ def attempt_units(rows: DataFrame) -> DataFrame:
     return unit.select("sid", "agent", outcome.alias("outcome"), "rows")
 
 
+def lifecycle_defects(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What went wrong where agents were spawned or returned (sid, agent, stage spawn or return, outcome, reason, ord, ts), and a verdict for each sid.
+
+    Attempts of one agent at one stage are a unit, see attempt_units. A failed return whose
+    own spawn failed is explained by that; a sid with any defect that isn't is open.
+    """
+    kind = F.when(F.col("outcome").isin(TERMINAL), 2).when(F.col("outcome").isin(SUCCESS), 1).otherwise(0)
+    unit = rows.groupBy("sid", "stage", "agent", F.when(F.col("agent").isNull(), F.col("ord")).alias("alone")).agg(
+        F.max_by(F.struct("outcome", "reason", "ts"), F.struct(kind, "ord")).alias("last"), F.max(kind).alias("kind"), F.max(F.col("outcome") == "written").alias("ever")
+    )
+    outcome = F.when((F.col("kind") == 1) & F.col("ever"), "written").when(F.col("kind") == 1, "retry").otherwise(F.col("last.outcome"))
+    units = unit.select("sid", "stage", "agent", outcome.alias("outcome"), "last.reason", "last.ts")
+    spawned = units.filter("stage = 'spawn' and agent is not null").select("sid", "agent", F.col("outcome").alias("spawn_outcome"))
+    bad = units.filter(~F.coalesce(F.col("outcome").isin(SUCCESS), F.lit(False))).join(spawned, ["sid", "agent"], "left")
+    explained = (F.col("stage") == "return") & F.col("spawn_outcome").isNotNull() & ~F.col("spawn_outcome").isin(SUCCESS)
+    defects = bad.withColumn("explained", explained).groupBy("sid", "stage", "outcome", "reason", "explained").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    open_sids = defects.filter(~F.col("explained")).select("sid").distinct().withColumn("open", F.lit(True))
+    verdict = F.when(F.col("open"), "DEFECT_OPEN").otherwise("CLEAN")
+    return defects, units.select("sid").distinct().join(open_sids, "sid", "left").select("sid", verdict.alias("verdict"))
+
+
 def finding_coverage(reports: DataFrame) -> DataFrame:
     """Per incident the most findings of each kind that were eligible, delivered, told before and held back; what of the eligible was delivered and resolved."""
     of = lambda stage, c: F.coalesce(F.max(F.when(F.col("stage") == stage, F.col(c))), F.lit(0))

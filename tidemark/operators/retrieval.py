@@ -101,24 +101,26 @@ DIALECTS = [".py", ".swift", ""]
 
 
 def line_hits(code: DataFrame, queries: DataFrame) -> DataFrame:
-    """Lines (id, line_no, line, score) that hold any term of a query (query, terms), with what each says by itself.
+    """Lines (id, line_no, line, score, and before, the lines before it) that hold any term of a query (query, terms, and raw, its text), with what each says by itself.
 
     What a line defines and how its own signals count is told once for each distinct line
     and query: strict and loose are the signals of exact and of any case, one for each of
     the dialects.
     """
+    queries = queries if "raw" in queries.columns else queries.withColumn("raw", F.lit(None).cast("string"))
+    code = code if "before" in code.columns else code.withColumn("before", F.array().cast("array<string>"))
     asked = queries.select("query", F.explode("terms").alias("term"))
     found = holding(code.select("line").distinct(), "line", asked).select("query", "line").distinct().join(queries, "query")
     line, terms = F.col("line"), F.col("terms")
     told = found.withColumn("symbol", fc.symbol(line)).withColumn("noise", fc.noise_ratio(line))
-    signals = lambda exact: F.array(*(fc.line_signals(line, F.lit(d), terms, F.col("symbol"), exact, noise=F.col("noise")) for d in DIALECTS))
+    signals = lambda exact: F.array(*(fc.line_signals(line, F.lit(d), terms, F.col("symbol"), exact, F.col("noise"), fc.asks_extension(terms, F.col("raw"))) for d in DIALECTS))
     told = told.withColumns({"strict": signals(True), "loose": signals(False), "strict_site": fc.matches(F.col("symbol"), terms, True), "site": fc.matches(F.col("symbol"), terms), "coverage": fc.coverage_bonus(line, terms)})
-    return code.join(told, "line")
+    return code.join(told.drop("raw"), "line")
 
 
 def own_signals(signals: Column, path: Column) -> Column:
-    """A line's signals where it stands."""
-    return reduce(lambda other, k: F.when(path.endswith(DIALECTS[k]), signals[k]).otherwise(other), range(len(DIALECTS) - 1), signals[len(DIALECTS) - 1])
+    """A line's signals where it stands, with the type around it."""
+    return fc.enclosing_share(F.col("before"), path, F.col("terms")) + reduce(lambda other, k: F.when(path.endswith(DIALECTS[k]), signals[k]).otherwise(other), range(len(DIALECTS) - 1), signals[len(DIALECTS) - 1])
 
 
 def fused(graph: DataFrame, hits: DataFrame, files: DataFrame, limit: int, *, stale: bool = False) -> DataFrame:

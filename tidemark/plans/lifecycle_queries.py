@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import canonical
-from tidemark.plans.registry import query
+from tidemark.operators import coherence
+from tidemark.plans.registry import ORACLE_SQL, query
 from tidemark.sources.analogs import _pick, table
 from tidemark.streaming import exposures, lifetimes
 
@@ -72,3 +73,40 @@ def unique_findings(spark, sf_dir):
     tight = text('{"kind":"changed","lines":[', p % 3, ',{"a":', n % 2, ',"b":1}],"path":"f', p % 5, '"}')
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("task"), (o * 10 + n).alias("ord"), F.when(o % 11 == 0, "{not json").when(n % 2 == 1, spaced).otherwise(tight).alias("finding"))
     return canonical.unique_sorted(rows, "task", "ord", "finding")
+
+
+#: Worksets of agents: files and regions that they were shown, and the states of their claims.
+WORKSETS_SQL = "SELECT DISTINCT l_suppkey % 5 AS task, 'a' || (l_partkey % 300) AS agent, CASE WHEN l_linenumber % 3 = 0 THEN 'region' ELSE 'path' END AS kind, CASE WHEN l_linenumber % 3 = 0 THEN 'f' || (l_orderkey % 900) || '#r' || (l_orderkey % 3) ELSE 'f' || (l_orderkey % 400) END AS item FROM lineitem"
+CLAIMS_SQL = "SELECT l_suppkey % 5 AS task, 'a' || (l_partkey % 300) AS agent, ['unchanged', 'changed', 'invalidated', 'unknown', 'odd'][l_orderkey % 5 + 1] AS status FROM lineitem"
+LISTED = f"listed AS (SELECT repo AS task, agent, place FROM ({ORACLE_SQL['listed_snapshots']}))"
+
+
+def _worksets(spark, sf_dir):
+    o, n, p, s = (F.col(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
+    text = lambda c: c.cast("string")
+    region = n % 3 == 0
+    item = F.when(region, F.concat(F.lit("f"), text(o % 900), F.lit("#r"), text(o % 3))).otherwise(F.concat(F.lit("f"), text(o % 400)))
+    return table(spark, sf_dir, "lineitem").select(
+        (s % 5).alias("task"), F.concat(F.lit("a"), text(p % 300)).alias("agent"), F.when(region, "region").otherwise("path").alias("kind"), item.alias("item"), _pick([*coherence.STATES, "odd"], o % 5).alias("status")
+    )
+
+
+def _listed(spark, sf_dir):
+    return listed_snapshots(spark, sf_dir).withColumnRenamed("repo", "task")
+
+
+@query(f"""WITH {LISTED}, w AS (SELECT w.* FROM ({WORKSETS_SQL}) w SEMI JOIN listed USING (task, agent)), m AS (SELECT x.task, x.agent AS a, y.agent AS b, x.kind, x.item FROM w x JOIN w y ON x.task = y.task AND x.kind = y.kind AND x.item = y.item AND x.agent < y.agent),
+t AS (SELECT task, a, b, count(*) FILTER (kind = 'path') AS path_total, count(*) FILTER (kind = 'region') AS region_total, coalesce(list_sort(list(item) FILTER (kind = 'path'))[1:50], []) AS shared_paths, coalesce(list_sort(list(item) FILTER (kind = 'region'))[1:50], []) AS shared_regions FROM m GROUP BY 1, 2, 3),
+p AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY a, b)::INTEGER AS place, count(*) OVER (PARTITION BY task) AS pairs FROM t)
+SELECT p.task, a, b, path_total, region_total, shared_paths, shared_regions, p.place, pairs, l.agent IN (a, b) AS involves_current FROM p JOIN listed l ON l.task = p.task AND l.place = 1 WHERE p.place <= 64""")
+def coherence_overlaps(spark, sf_dir):
+    """Pairs of a repository's listed agents that were shown the same files or regions; the newest agent is the current one."""
+    listed = _listed(spark, sf_dir)
+    return coherence.overlaps(listed, _worksets(spark, sf_dir), current=listed.filter("place = 1"))
+
+
+@query(f"""WITH {LISTED}, c AS (SELECT c.* FROM ({CLAIMS_SQL}) c SEMI JOIN listed USING (task, agent)), n AS (SELECT task, count(*) AS agents FROM listed GROUP BY 1),
+s AS (SELECT task, {', '.join(f"count(*) FILTER (status = '{x}') AS {x}" for x in coherence.STATES)} FROM c GROUP BY 1) SELECT task, agents, {', '.join(f'coalesce({x}, 0) AS {x}' for x in coherence.STATES)} FROM n LEFT JOIN s USING (task)""")
+def coherence_totals(spark, sf_dir):
+    """What has become of the claims of a repository's listed agents."""
+    return coherence.totals(_listed(spark, sf_dir), _worksets(spark, sf_dir))

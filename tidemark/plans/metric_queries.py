@@ -129,6 +129,32 @@ def attempt_units(spark, sf_dir):
     return mt.attempt_units(analogs.log(spark, sf_dir).filter(mt.named("coherence.agent_registered")))
 
 
+#: Spawns and returns; what becomes of agents 0 to 3 is always written at the first two sids, so that some sids are clean.
+SPAWNS_SQL = "SELECT sid, agent, ord, ord AS ts, CASE WHEN name = 'coherence.agent_registered' THEN 'spawn' ELSE 'return' END AS stage, CASE WHEN sid <= 2 THEN CASE WHEN agent < 4 OR name = 'coherence.agent_returned' THEN 'written' ELSE 'retry' END ELSE outcome END AS outcome, reason FROM log WHERE name IN ('coherence.agent_registered', 'coherence.agent_returned')"
+DEFECTS = f"""WITH {LOG}, r AS ({SPAWNS_SQL}), k AS (SELECT *, CASE WHEN outcome IN ('ambiguous', 'withheld', 'moved') THEN 2 WHEN outcome IN ('written', 'retry') THEN 1 ELSE 0 END AS kind, CASE WHEN agent IS NULL THEN ord END AS alone FROM r),
+g AS (SELECT sid, stage, agent, alone, (list(outcome ORDER BY kind DESC, ord DESC))[1] AS last, (list(reason ORDER BY kind DESC, ord DESC))[1] AS reason, (list(ts ORDER BY kind DESC, ord DESC))[1] AS ts, max(kind) AS kind, bool_or(outcome = 'written') AS ever FROM k GROUP BY 1, 2, 3, 4),
+u AS (SELECT sid, stage, agent, reason, ts, CASE WHEN kind = 1 THEN CASE WHEN ever THEN 'written' ELSE 'retry' END ELSE last END AS outcome FROM g),
+d AS (SELECT u.sid, u.stage, u.outcome, u.reason, u.stage = 'return' AND s.outcome IS NOT NULL AND s.outcome NOT IN ('written', 'retry') AS explained, u.ts FROM u LEFT JOIN u s ON s.stage = 'spawn' AND s.sid = u.sid AND s.agent = u.agent WHERE u.outcome NOT IN ('written', 'retry'))"""
+
+
+def _spawns(spark, sf_dir):
+    rows = analogs.log(spark, sf_dir).filter(mt.named("coherence.agent_registered") | mt.named("coherence.agent_returned"))
+    spawn = mt.named("coherence.agent_registered")
+    clean = F.when((F.col("agent") < 4) | ~spawn, "written").otherwise("retry")
+    return rows.select("sid", "agent", "ord", F.col("ord").alias("ts"), F.when(spawn, "spawn").otherwise("return").alias("stage"), F.when(F.col("sid") <= 2, clean).otherwise(F.col("outcome")).alias("outcome"), "reason")
+
+
+@query(f"{DEFECTS} SELECT sid, stage, outcome, reason, explained, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM d GROUP BY ALL")
+def lifecycle_defects(spark, sf_dir):
+    """Failures of spawns and returns, and whether a return's is explained by its spawn's."""
+    return mt.lifecycle_defects(_spawns(spark, sf_dir))[0]
+
+
+@query(f"{DEFECTS} SELECT sid, CASE WHEN sid IN (SELECT sid FROM d WHERE NOT explained) THEN 'DEFECT_OPEN' ELSE 'CLEAN' END AS verdict FROM (SELECT DISTINCT sid FROM u)")
+def lifecycle_verdicts(spark, sf_dir):
+    return mt.lifecycle_defects(_spawns(spark, sf_dir))[1]
+
+
 REPORTS = """reports AS (SELECT l_orderkey // 2 AS incident, ['eligible', 'delivered', 'deduped', 'heldback'][(l_orderkey + l_linenumber) % 4 + 1] AS stage, (l_quantity % 5)::BIGINT AS "overlaps", (l_partkey % 3)::BIGINT AS changed, (l_suppkey % 2)::BIGINT AS invalidated FROM lineitem)"""
 
 

@@ -115,8 +115,10 @@ def line_symbols(spark, sf_dir):
     return lines.select("line", fc.symbol(F.col("line")).alias("symbol"), F.round(fc.noise_ratio(F.col("line")), 6).alias("noise"), "n")
 
 
-ASKED = {1: ["resolveImport"], 2: ["Widget", "run"], 3: ["URI", "extension"], 4: ["flags", "registry", "loadFlags"], 5: ["parse_log", "north"], 6: ["session", "value"]}
-ASKED_SQL = "asked AS (SELECT * FROM (VALUES " + ", ".join(f"({q}, {sql_list(ts)})" for q, ts in ASKED.items()) + ") t(query, terms))"
+ASKED = {
+    1: (["resolveImport"], None), 2: (["Widget", "run"], None), 3: (["URI", "extension"], None), 4: (["flags", "registry", "loadFlags"], None), 5: (["parse_log", "north"], None), 6: (["session", "value"], None), 7: (["Widget"], "Widget+Toolbar"), 8: (["Widget"], "Widget"), 9: (["URI"], "the Extension of URI"),
+}
+ASKED_SQL = "asked AS (SELECT * FROM (VALUES " + ", ".join(f"({q}, {sql_list(ts)}, {'NULL' if raw is None else repr(raw)})" for q, (ts, raw) in ASKED.items()) + ") t(query, terms, raw))"
 LOW = "list_filter(terms, lambda t: contains(lower(line), lower(t)))"
 EXACT = "(symbol IS NOT NULL AND list_contains({terms}, {symbol}))"
 
@@ -127,16 +129,21 @@ def _signals_sql(strict: bool) -> str:
     return f"""(CASE WHEN {EXACT.format(terms=terms, symbol=symbol)} THEN 0.4 ELSE 0.0 END + CASE WHEN {export} AND len({LOW}) > 0 THEN 0.1 ELSE 0.0 END
 + CASE WHEN symbol IS NOT NULL AND len(list_filter({terms}, lambda t: contains({symbol}, t))) > 0 THEN 0.12 ELSE 0.0 END - CASE WHEN {NOISE_SQL} > 0.7 THEN 0.15 WHEN {NOISE_SQL} > 0.5 THEN 0.08 ELSE 0.0 END
 + CASE WHEN ends_with(path, '.py') AND regexp_matches(line, '^\\s*(async\\s+)?(def|class)\\s+[A-Za-z0-9]') AND len({LOW}) > 0 THEN 0.08 ELSE 0.0 END
-+ CASE WHEN ends_with(path, '.swift') AND len(terms) >= 2 AND line = 'extension Widget {{' AND list_contains(list_transform(terms, lambda t: lower(t)), 'widget') THEN 0.15 ELSE 0.0 END)"""
++ CASE WHEN ends_with(path, '.py') AND (starts_with(line, '# how') OR starts_with(line, '\'\'\'\'\'\'docs')) AND len({LOW}) > 0 THEN 0.05 ELSE 0.0 END
++ CASE WHEN ends_with(path, '.swift') AND (len(terms) >= 2 OR contains(raw, '+') OR regexp_matches(raw, '(?i)\\bextension\\b')) AND line = 'extension Widget {{' AND list_contains(list_transform(terms, lambda t: lower(t)), 'widget') THEN 0.15 ELSE 0.0 END
++ CASE WHEN ends_with(path, '.swift') AND list_contains(list_transform(terms, lambda t: lower(t)), CASE WHEN prev IN ('class Widget(Base):', 'extension Widget {{') THEN 'widget' WHEN prev = 'public struct URI: Hashable {{' THEN 'uri' END) THEN 0.1 ELSE 0.0 END)"""
 
 
-HITS_SQL = f"hits AS (SELECT query, terms, c.id, line_no, line, score, {SYMBOL_SQL} AS symbol, path FROM code c JOIN tree USING (id), asked WHERE len({LOW}) > 0)"
+HITS_SQL = f"lined AS (SELECT *, lag(line) OVER (PARTITION BY id ORDER BY line_no, line, score) AS prev FROM code), hits AS (SELECT query, terms, raw, prev, c.id, line_no, line, score, {SYMBOL_SQL} AS symbol, path FROM lined c JOIN tree USING (id), asked WHERE len({LOW}) > 0)"
 CODE_CTE = f"code AS ({CODE_SQL})"
 
 
 def _hits(spark, sf_dir):
-    asked = spark.createDataFrame(list(ASKED.items()), "query int, terms array<string>")
-    return retrieval.line_hits(analogs.code(spark, sf_dir), asked)
+    from pyspark.sql import Window
+
+    asked = spark.createDataFrame([(q, ts, raw) for q, (ts, raw) in ASKED.items()], "query int, terms array<string>, raw string")
+    before = F.lag("line").over(Window.partitionBy("id").orderBy("line_no", "line", "score"))
+    return retrieval.line_hits(analogs.code(spark, sf_dir).withColumn("before", F.array_compact(F.array(before))), asked)
 
 
 @query(f"""{EVERY}, {BEST}, {CODE_CTE}, {ASKED_SQL}, {HITS_SQL}, g AS (SELECT query, id, hit_type, score AS graph, fan_in FROM graph WHERE rank <= 10),

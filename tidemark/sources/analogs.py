@@ -98,14 +98,14 @@ def exports(spark: SparkSession, sf_dir: str) -> DataFrame:
 LINES = [
     "export function resolveImport(root) {", "  const flags = loadFlags()", "class Widget(Base):", "def parse_log(text):", "import { Widget } from './widget'", "module.exports = { run }", "exports.run = run", "return the value of the flags",
     "export class URI extends Node {", "FLAG_REGISTRY = {}", "public struct URI: Hashable {", "    async def run(self):", "export const useState = 1", "const x = require('./session')", "if else for while return const let", "func run() {", "extension Widget {", "export default function main() {",
-    "__all__ = ['Widget', 'run']", "export { run as start, Widget }", "type State = number", "plain words about a session", "await import('./lazy')", "export * from './all'", "import 'side-effect'", "export interface Shape {", "pub fn parse_log() {", "@main", "from .models import User", "  case north",
+    "__all__ = ['Widget', 'run']", "export { run as start, Widget }", "type State = number", "plain words about a session", "await import('./lazy')", "export * from './all'", "import 'side-effect'", "export interface Shape {", "pub fn parse_log() {", "@main", "from .models import User", "  case north", "# how to run and parse_log a Widget", '\'\'\'docs of the URI and its flags',
 ]
-CODE_SQL = f"SELECT l_partkey AS id, l_orderkey * 10 + l_linenumber AS line_no, {sql_list(LINES)}[(l_orderkey * 7 + l_linenumber) % 30 + 1] AS line, 400.0 + l_quantity AS score FROM lineitem"
+CODE_SQL = f"SELECT l_partkey AS id, l_orderkey * 10 + l_linenumber AS line_no, {sql_list(LINES)}[(l_orderkey * 7 + l_linenumber) % 32 + 1] AS line, 400.0 + l_quantity AS score FROM lineitem"
 
 
 def code(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, n = F.col("l_orderkey"), F.col("l_linenumber")
-    return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("id"), (o * 10 + n).alias("line_no"), _pick(LINES, (o * 7 + n) % 30).alias("line"), (F.lit(400.0) + F.col("l_quantity")).alias("score"))
+    return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("id"), (o * 10 + n).alias("line_no"), _pick(LINES, (o * 7 + n) % 32).alias("line"), (F.lit(400.0) + F.col("l_quantity")).alias("score"))
 
 
 #: A telemetry log with all the names that summaries read: a row for each line item, ord its place in the log.
