@@ -2,11 +2,12 @@
 
 import hashlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
-from tidemark.llm import jaccard, media, mixing, packing, quality, suffixes, token_files, toxicity, vectors, warc
+from tidemark.llm import jaccard, media, mixing, packing, quality, suffixes, token_files, tokens, toxicity, vectors, warc
 from tidemark.llm.common import new_path
 
 PASSAGE = " ".join(f"word{i}é" for i in range(60))
@@ -46,6 +47,20 @@ def test_tokens(spark, docs, none):
             assert len(got) == len(texts)
 
 
+def test_encoder_equals_the_library(monkeypatch):
+    """Spaces beside all kinds of white space, characters that pattern engines class differently, added tokens, a store that starts anew."""
+    import random
+
+    draw = random.Random(7)
+    pieces = [" ", " ", " ", "  ", "\n", "\t", "\x1c", "\x85", "\u00a0", "\u2003", "a", "word", "Ünï", "don't", "'s", "12", "½", "²", "_", "...", "€", "😀", "中文", "<|endoftext|>", "x" * 60, "Ⅷ", "\u0301", ""]
+    texts = [None, "", " ", "  ", " a", "a ", "a b ", "\n a", "a \n", *("".join(draw.choices(pieces, k=draw.randrange(12))) for _ in range(3000))]
+    coder = tokens.Encoder(tokens.default_vocabulary())
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 3000)
+    got = [ids for i in range(0, len(texts), 100) for ids in coder.encode(texts[i : i + 100])]
+    wanted = [coder.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == wanted
+
+
 def test_vectors(spark):
     rows = [(1, None), (2, []), (3, [0.0, 0.0]), (4, [1.0, None]), (5, [float("nan"), 1.0]), (6, [1.0, 0.0]), (7, [2.0, 0.0]), (8, [1.0, 0.1]), (9, [1.0, 0.0, 0.0]), (10, [-1.0, 0.0]), (11, [1.0, 0.0])]
     wanted = brute.vector_links(rows, 0.95)

@@ -157,7 +157,7 @@ def coded(rows, threshold=0.95):
 
 @pytest.mark.parametrize("count", [1000, 4000])
 def test_a_block_of_near_vectors_gives_a_forest(count):
-    """A group with cosines around 0.93 in 64 dimensions: a block gives no more rows than vectors, and the components of all links."""
+    """A group with cosines around 0.93 in 64 dimensions: a block gives fewer links than vectors, few pairs that no bound decides, and the components of all links."""
     draw = np.random.default_rng(5)
     centre = draw.normal(size=64)
     rows = centre / np.linalg.norm(centre) + draw.normal(size=(count, 64)) * 0.0343
@@ -169,7 +169,7 @@ def test_a_block_of_near_vectors_gives_a_forest(count):
     own = coded(rows)
     for halves in ([(own, None)], [(own[: count // 2], None), (own[count // 2 :], None), (own[: count // 2], own[count // 2 :])]):
         sure, left_open = (np.concatenate(x) for x in zip(*(pair for h in halves for pair in vectors.pairs_across(*h, 0.95)), strict=True))
-        assert len(sure) + len(left_open) <= len(halves) * count
+        assert len(sure) < len(halves) * count and len(left_open) <= len(halves) * count // 10
         assert all(product[a, b] >= 0.95 for a, b in sure.tolist())
         kept = [*map(tuple, sure.tolist()), *((a, b) for a, b in left_open.tolist() if product[a, b] >= 0.95)]
         assert brute.components(list(range(count)), kept) == brute.components(list(range(count)), [tuple(x) for x in linked.tolist()])
