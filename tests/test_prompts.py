@@ -23,3 +23,11 @@ def test_prompts(spark):
     heavier = prompts.rules(spark, prompts.WEIGHTS | {"terms": 3})
     assert {r["id"]: r["retrieve"] for r in prompts.classified(table, noise, weights=heavier).collect()}[list(CASES).index("static payload")]
     assert prompts.classified(table.limit(0), noise).count() == 0
+
+
+def test_words_end_at_other_letters(spark):
+    """As in the patterns' own language: an accented letter is no part of a word."""
+    cases = {"one momentÉeaux thing": (False, -2), "fixé rerankFiles": (True, 7), "éTypeError thing": (True, 6)}
+    table = spark.createDataFrame(list(enumerate(cases)), "id int, prompt string")
+    got = {r["id"]: (r["retrieve"], r["score"]) for r in prompts.classified(table, spark.createDataFrame([("the",)], "term string")).collect()}
+    assert [got[k] for k in range(len(cases))] == list(cases.values())

@@ -39,6 +39,11 @@ WEIGHTS = {"identifier": 3, "path": 4, "question": 3, "action": 3, "trace": 2, "
 SURE, STRICT, PERMISSIVE, MOST_TERMS, LONG, VERY_LONG = 3, 2, 1, 6, 80, 200
 
 
+def says(text: Column, pattern: str) -> Column:
+    """Whether a pattern is found, with words of ASCII letters, digits and _ alone: Java's own boundary takes an accented letter for a part of the word."""
+    return text.rlike(pattern.replace(r"\b", r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"))
+
+
 def looks_like_path(token: Column) -> Column:
     return token.contains("/") | F.lower(F.regexp_extract(token, r"^.+(\.[^.]*)$", 1)).isin(PATH_EXTENSIONS)
 
@@ -79,8 +84,8 @@ def classified(prompts: DataFrame, noise: DataFrame, *, weights: DataFrame | Non
     told, n = F.col("said"), F.size("terms")
     bare = (F.col("identifiers") == 0) & (F.col("paths") == 0)
     signals = {
-        "identifier": F.col("identifiers") > 0, "path": F.col("paths") > 0, "question": told.rlike(QUESTION) & (F.col("words") >= 3) & (~bare | told.rlike(DEFINITION) | told.rlike(IMPORT)), "action": told.rlike(ACTION) & ~bare, "trace": told.rlike(TRACE), "import": told.rlike(IMPORT),
-        "definition": told.rlike(DEFINITION), "empty": (F.col("words") < 4) & bare & (n == 0), "git": told.rlike(GIT) & bare, "small_talk": told.rlike(SMALL_TALK) & bare, "very_long": (F.col("words") > VERY_LONG) & (F.col("paths") == 0), "fence": told.rlike(FENCE) & bare, "terms": (F.col("words") <= LONG) & (n > 0),
+        "identifier": F.col("identifiers") > 0, "path": F.col("paths") > 0, "question": says(told, QUESTION) & (F.col("words") >= 3) & (~bare | says(told, DEFINITION) | says(told, IMPORT)), "action": says(told, ACTION) & ~bare, "trace": says(told, TRACE), "import": says(told, IMPORT),
+        "definition": says(told, DEFINITION), "empty": (F.col("words") < 4) & bare & (n == 0), "git": says(told, GIT) & bare, "small_talk": says(told, SMALL_TALK) & bare, "very_long": (F.col("words") > VERY_LONG) & (F.col("paths") == 0), "fence": says(told, FENCE) & bare, "terms": (F.col("words") <= LONG) & (n > 0),
     }
     held = rows.select("id", F.explode(F.array_compact(F.array(*(F.when(holds, F.lit(name)) for name, holds in signals.items())))).alias("rule"))
     sums = held.join(weights if weights is not None else rules(prompts.sparkSession), "rule").groupBy("id").agg(F.sum("weight").alias("score"))
