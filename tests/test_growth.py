@@ -55,3 +55,10 @@ def test_new_files_with_one_list_of_terms_share_a_search(spark):
     got = sorted(map(tuple, retrieval.sprawl(new, exported, layers, files, fan).collect()))
     assert got == [(k, "lib/a.py", "path_match", 1) for k in range(4)]
     assert seen == [[(0, "widget"), (2, "session"), (3, "Other"), (3, "widget")]]
+
+
+def test_blast_radius_tells_of_weak_ties_too(spark):
+    """A query that asks for ties that its tables don't have never ranks a partner."""
+    from tidemark.plans import registry
+
+    assert registry.QUERIES["blast_radius"](spark, "/root/testdata/sf0.01").filter("size(partners) > 0").count() > 0
