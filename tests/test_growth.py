@@ -62,3 +62,48 @@ def test_blast_radius_tells_of_weak_ties_too(spark):
     from tidemark.plans import registry
 
     assert registry.QUERIES["blast_radius"](spark, "/root/testdata/sf0.01").filter("size(partners) > 0").count() > 0
+
+
+def test_spellings_are_read_once(spark):
+    from tidemark.functions import canonical
+
+    rows = spark.createDataFrame([(1, 2, '{"b":1,"a":2}'), (1, 1, '{"a":2,"b":1}'), (1, 3, '{"b":1,"a":2}'), (1, 0, "{no"), (2, 5, "[1]")], "task int, ord int, finding string")
+    out = canonical.unique_sorted(rows, "task", "ord", "finding")
+    first = next(k for k, line in enumerate(reversed(plan(out))) if "HashAggregate" in line or "SortAggregate" in line)
+    assert "parse_json" not in "".join(plan(out)[len(plan(out)) - first :])  # nothing is parsed below the first grouping
+    assert sorted((r["task"], r["place"], r["ord"], r["finding"], r["copies"]) for r in out.collect()) == [(1, 1, 1, '{"a":2,"b":1}', 3), (2, 1, 5, "[1]", 1)]
+
+
+def test_a_snapshot_costs_little_however_many_are_kept():
+    from collections import namedtuple
+    from random import Random
+    from time import process_time
+
+    from tidemark.streaming.lifetimes import TTL_MS, Lifetimes
+
+    told, rng = namedtuple("Told", "ts ord agent generation"), Random(5)
+    rows = [told(k // 3 * 60_000, k, rng.choice(["a", "b", "c", None]), rng.choice([1, 2, None])) for k in range(9000)]
+
+    def plain(stored):
+        live, out = [], []
+        key = lambda x: (x[0], -1 if x[1] is None else x[1], x[2] or "")
+        for r in rows:
+            gone = sorted((x for x in live if r.ts - x[0] > TTL_MS), key=key)
+            live = [x for x in live if r.ts - x[0] <= TTL_MS] + [(r.ts, r.generation, r.agent)]
+            out += [(a, ts, g, ts + TTL_MS, "expired") for ts, g, a in gone]
+            newest, rest, seen = [], [], set()
+            for x in sorted(live, key=key, reverse=True):
+                (rest if x[2] in seen else newest).append(x)
+                seen.add(x[2])
+            out += [(a, ts, g, r.ts, "cap") for ts, g, a in (newest + rest)[stored:]]
+            live = (newest + rest)[:stored]
+        return out
+
+    for stored in (2, 200):
+        machine = Lifetimes(stored)
+        assert [x for r in rows for x in machine.take(r)] == plain(stored)
+    many = Lifetimes(4000)
+    began = process_time()
+    for r in rows:
+        many.take(r)
+    assert process_time() - began < 2

@@ -55,8 +55,10 @@ class Exposures:
         return [self._closed(w, reason, at) for w in gone]
 
     def expire(self, now: int) -> list[tuple]:
-        out = [self._closed(w, "timeout", w["expires_at"]) for w in self.windows if now >= w["expires_at"]]
-        self.windows = [w for w in self.windows if now < w["expires_at"]]
+        out = []
+        while self.windows and now >= self.windows[0]["expires_at"]:  # they stand in the order in which they were opened
+            w = self.windows.pop(0)
+            out.append(self._closed(w, "timeout", w["expires_at"]))
         if now - self.last > STATE_MS:
             self.seen = []
         return out
@@ -78,7 +80,7 @@ class Exposures:
         paths = sorted({p for p in (row.paths if row.paths is not None else []) if p})[:PATHS]
         if not (row.opportunity and row.task and row.surface and paths) or row.arm not in ARMS:
             return []
-        new = {k: row[k] for k in ("opportunity", "task", "arm", "surface")} | {"mode": row["mode"] if row["mode"] in MODES else "unknown", "paths": paths}
+        new = {k: getattr(row, k) for k in ("opportunity", "task", "arm", "surface")} | {"mode": row.mode if row.mode in MODES else "unknown", "paths": paths}
         for field, reason in (("opportunity", "exact_opportunity"), ("task", "task_already_enrolled")):
             if any(x[field] == new[field] for x in self.seen + self.windows):
                 active = next((w for w in self.windows if w[field] == new[field]), None)
@@ -99,8 +101,10 @@ class Exposures:
         self.seen = [x for x in self.seen if x["opportunity"] in own] + others[: max(0, SEEN - len(own))]
 
     def _touch(self, row: Row) -> list[tuple]:
+        full = False
         for w in self.windows:
             w["touches"] += 1
+            full = full or w["touches"] >= TOUCHES
             if row.path not in w["paths"]:
                 continue
             w["first_rank"] = w["first_rank"] or w["touches"]
@@ -110,7 +114,7 @@ class Exposures:
             else:
                 w["target_mutation"] = True
                 w["blind"] = w["blind"] or row.path not in w["read"]
-        return self._close("touch_limit", row.ts, lambda w: w["touches"] >= TOUCHES)
+        return self._close("touch_limit", row.ts, lambda w: w["touches"] >= TOUCHES) if full else []
 
 
 def exposure_log(rows: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ these alone are more), then the newest of the rest.
 from __future__ import annotations
 
 import json
+from heapq import heappop, heappush
 
 from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
@@ -23,37 +24,62 @@ ENDS = "repo long, agent string, ts long, generation long, ended_at long, reason
 
 
 class Lifetimes:
+    """The live snapshots as two heaps, the oldest first: each agent's newest, and the rest. A row costs the logarithm of what is kept, however many snapshots that is."""
+
     def __init__(self, stored: int = STORED):
-        self.live: list[list] = []  # ts, generation, agent
         self.stored = stored
+        self.newest: dict[str | None, tuple] = {}
+        self.heads: list[tuple] = []  # every newest, and some that no longer are
+        self.rest: list[tuple] = []
+
+    def _add(self, ts: int, generation: int | None, agent: str | None) -> None:
+        x = (ts, -1 if generation is None else generation, agent or "", generation, agent)
+        own = self.newest.get(agent)
+        if own is not None and x < own:
+            heappush(self.rest, x)
+            return
+        if own is not None:
+            heappush(self.rest, own)
+        self.newest[agent] = x
+        heappush(self.heads, x)
+
+    def _oldest(self) -> tuple | None:
+        """The oldest of the newest; those that a newer one has replaced are dropped on the way."""
+        while self.heads and self.newest.get(self.heads[0][4]) != self.heads[0]:
+            heappop(self.heads)
+        return self.heads[0] if self.heads else None
 
     def dump(self) -> list[str]:
-        return [json.dumps(x) for x in self.live]
+        return [json.dumps([ts, generation, agent]) for ts, _, _, generation, agent in [*self.newest.values(), *self.rest]]
 
     def load(self, texts: list[str]) -> None:
-        self.live = [json.loads(t) for t in texts]
+        for t in texts:
+            self._add(*json.loads(t))
 
     def due(self) -> int | None:
-        return min((ts for ts, _, _ in self.live), default=None) and min(ts for ts, _, _ in self.live) + TTL_MS + 1
+        first = min([x[0] for x in (self._oldest(), self.rest[0] if self.rest else None) if x], default=None)
+        return None if first is None else first + TTL_MS + 1
 
     def expire(self, now: int) -> list[tuple]:
-        gone = sorted(x for x in self.live if now - x[0] > TTL_MS)
-        self.live = [x for x in self.live if now - x[0] <= TTL_MS]
-        return [(agent, ts, generation, ts + TTL_MS, "expired") for ts, generation, agent in gone]
+        gone = []
+        while self.rest and now - self.rest[0][0] > TTL_MS:
+            gone.append(heappop(self.rest))
+        while (x := self._oldest()) and now - x[0] > TTL_MS:
+            gone.append(heappop(self.heads))
+            del self.newest[x[4]]
+        return [(agent, ts, generation, ts + TTL_MS, "expired") for ts, _, _, generation, agent in sorted(gone)]
 
     def take(self, row: Row) -> list[tuple]:
         out = self.expire(row.ts)
-        self.live.append([row.ts, row.generation, row.agent])
-        if len(self.live) <= self.stored:
-            return out
-        newest, seen = [], set()
-        rest = []
-        for x in sorted(self.live, reverse=True):
-            (rest if x[2] in seen else newest).append(x)
-            seen.add(x[2])
-        kept = (newest + rest)[: self.stored]
-        out += [(agent, ts, generation, row.ts, "cap") for ts, generation, agent in (newest + rest)[self.stored :]]
-        self.live = kept
+        self._add(row.ts, row.generation, row.agent)
+        while len(self.newest) + len(self.rest) > self.stored:
+            if self.rest:
+                x = heappop(self.rest)
+            else:
+                x = self._oldest()
+                heappop(self.heads)
+                del self.newest[x[4]]
+            out.append((x[4], x[0], x[3], row.ts, "cap"))
         return out
 
 

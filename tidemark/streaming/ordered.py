@@ -9,6 +9,7 @@ behind the watermark are dropped by Spark. Timers run on event time.
 
 from __future__ import annotations
 
+from collections import namedtuple
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -101,17 +102,21 @@ def logged(rows: DataFrame, key: str, machine: Callable[[], Machine], schema: st
     ship_package(rows.sparkSession)
     names = rows.columns
     columns = columns_of(schema)
+    at = names.index(key)
+
+    def plain(column: pd.Series) -> list:
+        missing = column.isna()
+        return [None if gone else v for v, gone in zip(column.tolist(), missing.tolist())] if missing.any() else column.tolist()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, held = None, machine()
+        own, held, told = None, machine(), namedtuple("Told", names)
         first = True
         for frame in frames:
             out = []
-            for values in frame.itertuples(index=False, name=None):
-                row = Row(*names)(*(None if v is None or v is pd.NaT or isinstance(v, float) and v != v else v for v in values))
-                if first or row[key] != own:
+            for row in map(told, *(plain(frame[c]) for c in names)):
+                if first or row[at] != own:
                     out += [(own, *x) for x in held.expire(NEVER)]
-                    own, held, first = row[key], machine(), False
+                    own, held, first = row[at], machine(), False
                 out += [(own, *x) for x in held.take(row)]
             yield pd.DataFrame(out, columns=columns, dtype=object)
         yield pd.DataFrame([(own, *x) for x in held.expire(NEVER)], columns=columns, dtype=object)
