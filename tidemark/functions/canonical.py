@@ -73,6 +73,8 @@ def canonical_json(text: Column) -> Column:
 
 def unique_sorted(findings: DataFrame, group: str, order: str, text: str) -> DataFrame:
     """Of each group's findings with one canonical text the first by order, numbered by that text; those that aren't JSON don't count."""
-    canonical = findings.select(group, order, text, canonical_json(F.col(text)).alias("canonical")).filter("canonical is not null")
-    first = canonical.groupBy(group, "canonical").agg(F.min_by(F.struct(order, text), order).alias("first"), F.count("*").alias("copies"))
+    spelled = findings.groupBy(group, text).agg(F.min(order).alias(order), F.count("*").alias("n"))  # each spelling is read once
+    # the count keeps the optimizer from reading every row's text before they are grouped
+    canonical = spelled.withColumn("canonical", canonical_json(F.when(F.col("n") > 0, F.col(text)))).filter("canonical is not null")
+    first = canonical.groupBy(group, "canonical").agg(F.min_by(F.struct(order, text), order).alias("first"), F.sum("n").alias("copies"))
     return first.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy("canonical"))).select(group, "place", "canonical", "first.*", "copies")
