@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.statistics import wilson
+from tidemark.sources.shared import written
 
 #: Names of events, and what the gates ask.
 PREFIX = "coherence."
@@ -114,9 +115,10 @@ def _failures() -> Column:
 
 def experiment_scorecard(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The scorecard of each root, and its arms."""
-    rows = relevant(events)
-    unit_rows = units(rows)
-    task_rows = tasks(unit_rows, rows)
+    # each is read several times
+    rows = written(relevant(events), "experiment")
+    unit_rows = written(units(rows), "experiment-units")
+    task_rows = written(tasks(unit_rows, rows), "experiment-tasks")
     by_arm = arms(unit_rows, task_rows, events)
 
     exact = F.col("by").isin(ARMS) & F.col("task").isNotNull() & F.col("opportunity").isNotNull()
