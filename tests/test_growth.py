@@ -107,3 +107,25 @@ def test_a_snapshot_costs_little_however_many_are_kept():
     for r in rows:
         many.take(r)
     assert process_time() - began < 2
+
+
+def test_draws_are_not_shuffled(spark, monkeypatch):
+    from tidemark.functions import statistics as st
+
+    monkeypatch.setattr(st, "OPENED", 2)
+    injected = spark.createDataFrame([(s, k, (s * 3 + k) % 10) for s in range(6) for k in range(3)], "session long, slot int, path long")
+    opened = [(s, p) for s in range(6) for p in range(10) if (s + p) % 3 == 0] * 2
+    pool = [(p, p - 1) for p in range(9)] + [(30, 4), (9, 4), (31, 99)]  # one number below 0 and one too high, one three times, some missing
+    got = st.permutation_lift(injected, spark.createDataFrame(opened, "session long, path long"), spark.createDataFrame(pool, "path long, number long"), rounds=50, seed=7)
+    lines = plan(got)
+    for k, line in enumerate(lines):
+        if "Generate explode([1,2,3," in line:
+            depth = len(line) - len(line.lstrip(" :+-"))
+            for above in reversed(lines[:k]):
+                at = len(above) - len(above.lstrip(" :+-"))
+                if at < depth:
+                    depth = at
+                    assert "hashpartitioning" not in above
+    hashed = injected.select("session", F.explode(F.transform(F.sequence(F.lit(1), F.lit(50)), lambda r: F.xxhash64(F.lit(7), "session", "slot", r))).alias("h")).collect()
+    drawn = [(r["session"], p) in opened for r in hashed for p, n in pool if n == r["h"] % len(pool)]
+    assert abs(got.first()["null_rate"] - sum(drawn) / len(drawn)) < 1e-12

@@ -62,16 +62,38 @@ def recall(relevant: DataFrame, found: DataFrame, key: str, item: str) -> DataFr
     return relevant.select(key, item).distinct().join(seen, [key, item], "left").groupBy(key).agg(F.round(F.count("seen") / F.count("*"), 6).alias("recall"))
 
 
+#: Numbers of a session's opened files that one row holds.
+OPENED = 1000
+
+
+def numbers_below(spark, size: DataFrame) -> DataFrame:
+    """number: from 0 up to a size (one row) that only Spark knows, by way of blocks."""
+    block = 1 << 16
+    blocks = size.filter("size > 0").select("size", F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / block))).alias("block")).repartition("block")
+    inside = blocks.select("size", "block", F.explode(F.sequence(F.lit(0), F.lit(block - 1))).alias("at"))
+    return inside.select("size", (F.col("block") * block + F.col("at")).alias("number")).filter("number < size")
+
+
 def permutation_lift(injected: DataFrame, opened: DataFrame, pool: DataFrame, *, rounds: int, seed: int) -> DataFrame:
     """Hit rate of injected files (session, slot, path) against opened ones, and of random files of the pool (path, number from 0) in their place.
 
     A draw's number comes from a hash of seed, session, slot and round, so any partitioning
-    gives the same draws.
+    gives the same draws. They are made beside the numbers of the session's opened files, in
+    lists of at most OPENED, and counted there: no draw is shuffled. Numbers that the pool
+    lacks or has several times are few, as it counts from 0; draws of the former don't count.
     """
     hits = opened.select("session", "path").distinct().withColumn("hit", F.lit(1))
     actual = injected.join(hits, ["session", "path"], "left").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("rate"))
     size = pool.agg(F.count("*").alias("size"))
-    draws = injected.select("session", "slot", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"))
-    numbered = draws.join(F.broadcast(size)).withColumn("number", F.pmod(F.xxhash64(F.lit(seed), "session", "slot", "round"), F.col("size")))  # one row
-    null = numbered.join(pool, "number").join(hits, ["session", "path"], "left").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("null_rate"))
+    wanted = pool.select("number").unionByName(numbers_below(pool.sparkSession, size).select("number"))
+    strays = wanted.groupBy("number").agg((F.count("*") - 1).alias("files")).filter("files != 1")
+    place = F.floor((F.row_number().over(Window.partitionBy("session").orderBy("number")) - 1) / OPENED).alias("list")
+    lists = hits.join(pool, "path").select("session", "number").select("session", "number", place).groupBy("session", "list").agg(F.collect_list("number").alias("numbers"))
+    beside = injected.select("session", "slot").join(lists, "session", "left").join(F.broadcast(size))  # one row
+    draws = beside.select("session", "slot", "size", "list", "numbers", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"))
+    number = F.pmod(F.xxhash64(F.lit(seed), "session", "slot", "round"), F.col("size")).alias("number")
+    drawn = draws.select("list", "numbers", number).join(F.broadcast(strays), "number", "left")
+    met = F.when(F.array_contains("numbers", F.col("number")), F.size(F.filter("numbers", lambda x: x == F.col("number")))).otherwise(0)
+    once = F.when(F.coalesce("list", F.lit(0)) == 0, F.coalesce("files", F.lit(1))).otherwise(0)
+    null = drawn.agg((F.sum(met) / F.sum(once)).alias("null_rate"))
     return actual.join(F.broadcast(null)).withColumn("lift", F.when(F.col("null_rate") > 0, F.col("rate") / F.col("null_rate")))  # one row each
