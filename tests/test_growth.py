@@ -129,3 +129,13 @@ def test_draws_are_not_shuffled(spark, monkeypatch):
     hashed = injected.select("session", F.explode(F.transform(F.sequence(F.lit(1), F.lit(50)), lambda r: F.xxhash64(F.lit(7), "session", "slot", r))).alias("h")).collect()
     drawn = [(r["session"], p) in opened for r in hashed for p, n in pool if n == r["h"] % len(pool)]
     assert abs(got.first()["null_rate"] - sum(drawn) / len(drawn)) < 1e-12
+
+
+def test_layers_gather_terms_not_files_and_stay_short(spark):
+    """No plan of the ranking holds those of its layers, and what is broadcast starts from the terms' values."""
+    from tidemark.plans import registry
+
+    for name, most in (("layer_path_matches", 60), ("graph_retrieve", 150), ("sprawl_matches", 150)):
+        found = registry.QUERIES[name](spark, "/root/testdata/sf0.01")
+        assert len(plan(found)) < most, (name, len(plan(found)))
+        assert not any("part.parquet" in line or "lineitem.parquet" in line for line in gathered(found)), name
