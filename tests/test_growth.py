@@ -139,3 +139,21 @@ def test_layers_gather_terms_not_files_and_stay_short(spark):
         found = registry.QUERIES[name](spark, "/root/testdata/sf0.01")
         assert len(plan(found)) < most, (name, len(plan(found)))
         assert not any("part.parquet" in line or "lineitem.parquet" in line for line in gathered(found)), name
+
+
+def test_sets_meet_sessions_in_cells_whatever_is_cut(spark, monkeypatch):
+    """Draws are made in cells of a block and a slice: no plan deals them out, and cuts of any size give the same sums."""
+    from tests.test_lift import cases
+    from tidemark.operators import lift
+
+    injections, opens = cases()
+    injected = spark.createDataFrame([*injections, (9, 900, 10, [None, "src/f1.js"]), (9, 901, None, ["src/f1.js"])], "repo int, sid long, ord long, files array<string>")
+    opened = spark.createDataFrame([*opens, (900, 11, "src/f1.js")], "sid long, ord long, path string")
+    for window, resize in ((None, False), (None, True), (5, True)):
+        whole = lift.lift(injected, opened, rounds=30, window=window, resize=resize)
+        assert not any("explode(sequence(1, 30" in line for line in plan(whole))
+        with monkeypatch.context() as m:
+            for name, value in (("BLOCK", 3), ("SLAB", 2), ("SLICES", 3), ("SLICE", 2), ("STEP", 7)):
+                m.setattr(lift, name, value)
+            cut = lift.lift(injected, opened, rounds=30, window=window, resize=resize).first()
+        assert cut == whole.first() and cut["opened"] > 0 and cut["null_opened"] > 0
