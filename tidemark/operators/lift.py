@@ -33,7 +33,7 @@ MODULUS, FACTORS = 2_147_483_647, (48_271, 69_621)
 WINDOW = 32
 
 
-#: Sets of a block (or four times as many files), which a task holds at once; a window has one block for as many. Injections of a row, slices of a window at most and sets for each.
+#: Sets of a block (or four times as many files), which a task holds at once; a window has one block for as many. Injections or sets of a row, slices of a window at most and sets for each.
 BLOCK, SLAB, SLICES, SLICE = 2_000_000, 64, 16, 4096
 #: Draws and files that one vectorised step works on, and places of its table of opened files.
 STEP = 2_000_000
@@ -82,7 +82,7 @@ def numbered(injections: DataFrame, window: int | None) -> DataFrame:
 
 
 def cells(placed: DataFrame, last: DataFrame) -> DataFrame:
-    """Rows of cells: first a block's sets by place (names are their files), then the asking injections, up to SLAB of one session in a row (names are its opened files).
+    """Rows of cells: first a block's sets by place, up to SLAB in a row (files), then the asking injections, up to SLAB of one session in a row (names are its opened files).
 
     Every set goes to each slice of its window, every injection to each block. Slices are 16
     at most however large the window, and blocks one up to two million sets.
@@ -93,13 +93,14 @@ def cells(placed: DataFrame, last: DataFrame) -> DataFrame:
     cut = placed.withColumns({"slices": slices, "width": F.greatest(over(F.col("pool"), blocks), F.lit(1).cast("long"))})
     none = lambda kind: F.lit(None).cast(kind)
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
-    of_sets = [F.lit(0).alias("kind"), "place", F.col("files").alias("names"), *(none("array<long>").alias(c) for c in ("lasts", "places", "ords", "sizes")), *(none("long").alias(c) for c in ("sid", "own", "mine", "pool"))]
-    sets = cut.select("repo", "stratum", upto(F.col("slices")).alias("slice"), F.floor(F.col("place") / F.col("width")).alias("block"), *of_sets)
+    of_sets = [F.lit(0).alias("kind"), F.col("held")[0]["place"].alias("place"), F.col("held.files").alias("files"), none("array<string>").alias("names"), *(none("array<long>").alias(c) for c in ("lasts", "places", "ords", "sizes")), *(none("long").alias(c) for c in ("sid", "own", "mine", "pool"))]
+    slabs = cut.groupBy("repo", "stratum", "slices", F.floor(F.col("place") / F.col("width")).alias("block"), F.floor(F.col("place") % F.col("width") / SLAB).alias("slab")).agg(F.array_sort(F.collect_list(F.struct("place", "files"))).alias("held"))
+    sets = slabs.select("repo", "stratum", upto(F.col("slices")).alias("slice"), "block", *of_sets)
     mine = F.array_sort(F.collect_list(F.struct("place", F.col("ord").cast("long").alias("ord"), F.coalesce(F.col("size"), F.lit(0)).cast("long").alias("size"))))
     rows = cut.groupBy("repo", "stratum", "sid", "own", "mine", "pool", "slices", "width", F.floor((F.col("place") - F.col("own")) / SLAB).alias("slab")).agg(mine.alias("asked"))
     opened = last.groupBy("sid").agg(F.collect_list(F.struct("path", "last")).alias("opened"))
     asks = rows.join(opened.hint("merge"), "sid", "left").withColumn("slice", F.pmod(F.xxhash64("sid", "slab"), F.col("slices")))
-    of_asks = [F.lit(1).alias("kind"), F.col("asked")[0]["place"].alias("place"), F.col("opened.path").alias("names"), F.col("opened.last").alias("lasts"), *(F.col(f"asked.{c}").alias(f"{c}s") for c in ("place", "ord", "size")), F.col("sid").cast("long").alias("sid"), "own", "mine", "pool"]
+    of_asks = [F.lit(1).alias("kind"), F.col("asked")[0]["place"].alias("place"), none("array<array<string>>").alias("files"), F.col("opened.path").alias("names"), F.col("opened.last").alias("lasts"), *(F.col(f"asked.{c}").alias(f"{c}s") for c in ("place", "ord", "size")), F.col("sid").cast("long").alias("sid"), "own", "mine", "pool"]
     asks = asks.select("repo", "stratum", "slice", upto(over(F.col("pool"), F.col("width"))).alias("block"), *of_asks)
     where = ["repo", "stratum", "slice", "block"]
     tasks = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -126,7 +127,7 @@ class Block:
 
     def __init__(self, rows: list[pa.RecordBatch], rounds: int, seed: int, resize: bool):
         self.rounds, self.seed, self.resize = np.arange(1, rounds + 1), seed, resize
-        names, self.at = _flat(pa.concat_arrays([r.column("names") for r in rows]))
+        names, self.at = _flat(pa.concat_arrays([r.column("files").flatten() for r in rows]))
         coded = names.dictionary_encode()
         self.names = coded.dictionary
         self.files = coded.indices.fill_null(len(self.names)).to_numpy(zero_copy_only=False)  # one more for files without a name
