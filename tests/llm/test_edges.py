@@ -61,6 +61,55 @@ def test_encoder_equals_the_library(monkeypatch):
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == wanted
 
 
+def test_columns_are_encoded_as_the_library_does_it(monkeypatch):
+    """Contractions beside everything, slices of columns, batches that meet in a step, words too long to keep, columns of nothing but empty texts."""
+    import random
+
+    import pyarrow as pa
+
+    draw = random.Random(11)
+    pieces = ["'", "'", "'s", "'re", "'l", "'ll", "'ve", "'S", " ", " ", "\n", "\u3000", "s", "e", "é", "9", "٣", "!", "—", "l", "🙂", "\u0301", "x" * 70, " " * 70, "<|endof", "text|>", "<|endoftext|>"]
+    texts = [None, "", *("".join(draw.choices(pieces, k=draw.randrange(9))) for _ in range(4000)), "'", "a'", "'r", "e"]
+    monkeypatch.setattr(tokens, "BYTES_PER_STEP", 3000)
+    monkeypatch.setattr(tokens, "BYTES_PER_CUT", 700)
+    coder, got = tokens.Encoder(tokens.default_vocabulary()), {}
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(i, min(i + 90, len(texts)))), pa.array(texts[i : i + 90])], names=["doc_id", "text"]) for i in range(0, len(texts), 90)]
+    for ids, column in tokens.column_steps(batches):
+        plain, ends = coder.encode_column(column)
+        closed, stops = coder.encode_column(column, end=True)
+        assert (stops - ends).tolist() == list(range(1, len(ids) + 1)) and (closed[stops - 1] == tokens.END_ID).all()
+        assert np.delete(closed, stops - 1).tolist() == plain.tolist()
+        got |= dict(zip(ids, (x.tolist() for x in np.split(plain, ends[:-1])), strict=True))
+    assert [got[i] for i in range(len(texts))] == [coder.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert not any(len(w) > tokens.CACHE_BYTES for w in coder.words.at)
+    for none in ([], [None], ["", ""], ["<|endoftext|>"]):
+        ids, ends = coder.encode_column(pa.array(none, pa.string()), end=True)
+        assert len(ids) == len(none) + sum(map(bool, none)) and len(ends) == len(none)
+
+
+def test_known_words_cost_less_than_a_cut_by_pattern():
+    """The encoder's own share, once words are known, against the cut of the same texts by a pattern, with which it began before."""
+    import re
+    import time
+
+    import pyarrow.dataset as ds
+
+    texts = ds.dataset("/root/testdata/sf0.01/documents.parquet").to_table(columns=["text"])["text"].combine_chunks().to_pylist()
+    pattern = re.compile(r" ?[^\W\d_]+|'(?:s|t|re|ve|m|ll|d)| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+    coder = tokens.Encoder(tokens.default_vocabulary())
+    coder.encode(texts)
+
+    def least(step) -> float:
+        took = []
+        for _ in range(5):
+            began = time.process_time()
+            step()
+            took.append(time.process_time() - began)
+        return min(took)
+
+    assert least(lambda: coder.encode(texts)) < least(lambda: [pattern.findall(t or "") for t in texts])
+
+
 def test_vectors(spark):
     rows = [(1, None), (2, []), (3, [0.0, 0.0]), (4, [1.0, None]), (5, [float("nan"), 1.0]), (6, [1.0, 0.0]), (7, [2.0, 0.0]), (8, [1.0, 0.1]), (9, [1.0, 0.0, 0.0]), (10, [-1.0, 0.0]), (11, [1.0, 0.0])]
     wanted = brute.vector_links(rows, 0.95)

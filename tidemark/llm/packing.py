@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import documents, map_arrow, stash, text_steps
-from tidemark.llm.tokens import END_ID, default_vocabulary, encoder
+from tidemark.llm.common import documents, map_arrow, stash
+from tidemark.llm.tokens import column_steps, default_vocabulary, encoder
 
 CAPACITY = 1024
 
@@ -94,22 +94,19 @@ def _cut(vocabulary: str, capacity: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task, encode, seen = TaskContext.get().partitionId(), encoder(vocabulary).encode, defaultdict(int)
-        end = np.array([END_ID], "<u4").tobytes()
-        for batch in batches:
-            doc_ids, texts = (c.to_pylist() for c in batch.columns)
-            for i, j in text_steps(texts):
-                out = []
-                for doc_id, ids in zip(doc_ids[i:j], encode(texts[i:j]), strict=True):
-                    ids += end
-                    n = len(ids) // 4
-                    cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]
-                    for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                        part = ids[4 * a : 4 * b]
-                        out.append((doc_id, k, a, b - a, zlib.crc32(part), task, seen[b - a], part if with_ids else None))
-                        seen[b - a] += 1
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split(" ")[0] for x in PIECES.split(", ")])
+        task, coder, seen = TaskContext.get().partitionId(), encoder(vocabulary), defaultdict(int)
+        for doc_ids, texts in column_steps(batches):
+            ids, ends = coder.encode_column(texts, end=True)
+            ids, ends, out = memoryview(ids).cast("B"), ends.tolist(), []
+            for doc_id, begin, stop in zip(doc_ids, [0, *ends], ends, strict=False):
+                n = stop - begin
+                cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]
+                for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                    part = ids[4 * (begin + a) : 4 * (begin + b)]
+                    out.append((doc_id, k, a, b - a, zlib.crc32(part), task, seen[b - a], bytes(part) if with_ids else None))
+                    seen[b - a] += 1
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split(" ")[0] for x in PIECES.split(", ")])
 
     return run
 

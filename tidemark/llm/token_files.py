@@ -28,8 +28,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import documents, map_arrow, partitions, text_steps
-from tidemark.llm.tokens import END_ID, default_vocabulary, encoder
+from tidemark.llm.common import documents, map_arrow, partitions
+from tidemark.llm.tokens import column_steps, default_vocabulary, encoder
 
 #: Ids in a block.
 BLOCK_IDS = 65_536
@@ -65,8 +65,7 @@ def _write_blocks(vocabulary: str, block_ids: int, unit: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard, encode = TaskContext.get().partitionId(), encoder(vocabulary).encode
-        end = np.array([END_ID], "<u4").tobytes()
+        shard, coder = TaskContext.get().partitionId(), encoder(vocabulary)
         squeeze = zstandard.ZstdCompressor(level=LEVEL)
         held, docs, block, first = bytearray(), [], 0, 0
 
@@ -79,20 +78,20 @@ def _write_blocks(vocabulary: str, block_ids: int, unit: str):
                 "doc_before": [b for _, b, _ in docs], "doc_len": [n for _, _, n in docs], "planes": b"".join(packed),
             }
 
-        for batch in batches:
-            doc_ids, texts = (c.to_pylist() for c in batch.columns)
-            for i, j in text_steps(texts):
-                for doc_id, ids in zip(doc_ids[i:j], encode(texts[i:j]), strict=True):
-                    ids, at = memoryview(ids + end), 0
-                    while at < len(ids):
-                        part = ids[at : at + 4 * block_ids - len(held)]
-                        held += part
-                        docs.append((doc_id, at // 4, len(part) // 4))
-                        at += len(part)
-                        if len(held) == 4 * block_ids:
-                            yield pa.RecordBatch.from_pylist([row()], schema=_arrow_blocks())
-                            first, block, docs = first + block_ids, block + 1, []
-                            held.clear()
+        for doc_ids, texts in column_steps(batches):
+            ids, ends = coder.encode_column(texts, end=True)
+            ids, ends = memoryview(ids).cast("B"), (4 * ends).tolist()
+            for doc_id, at, stop in zip(doc_ids, [0, *ends], ends, strict=False):
+                begin = at
+                while at < stop:
+                    part = ids[at : min(stop, at + 4 * block_ids - len(held))]
+                    held += part
+                    docs.append((doc_id, (at - begin) // 4, len(part) // 4))
+                    at += len(part)
+                    if len(held) == 4 * block_ids:
+                        yield pa.RecordBatch.from_pylist([row()], schema=_arrow_blocks())
+                        first, block, docs = first + block_ids, block + 1, []
+                        held.clear()
         if held:
             yield pa.RecordBatch.from_pylist([row()], schema=_arrow_blocks())
 
