@@ -157,3 +157,25 @@ def test_sets_meet_sessions_in_cells_whatever_is_cut(spark, monkeypatch):
                 m.setattr(lift, name, value)
             cut = lift.lift(injected, opened, rounds=30, window=window, resize=resize).first()
         assert cut == whole.first() and cut["opened"] > 0 and cut["null_opened"] > 0
+
+
+def test_blast_radius_keeps_every_partner(spark, tmp_path):
+    """Partners that 5,100 pairs outrank, that only large commits show, or that stand behind others the session has touched."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from tests.oracle import spark_rows, sql_rows
+    from tidemark.plans import registry
+
+    commits = [(1, [1]), (2, [2]), (3, [3]), *((3, [f]) for f in range(9201, 9205))]  # session, files
+    commits += [(10, [1, 9001])] * 3 + [(10, [2, *range(9101, 9108)])] * 3 + [(10, [3, *range(9201, 9206)])] * 4 + [(10, [3, 9206])] * 3
+    commits += [(11, [20000 + 2 * k, 20001 + 2 * k]) for k in range(5100) for _ in range(4)]
+    items = [(o, f, n) for o, (_, files) in enumerate(commits) for n, f in enumerate(files)]
+    order, file, number = map(list, zip(*items))
+    pq.write_table(pa.table({"l_orderkey": order, "l_suppkey": file, "l_linenumber": number, "l_partkey": [11] * len(items), "l_returnflag": ["N"] * len(items)}), tmp_path / "lineitem.parquet")
+    pq.write_table(pa.table({"o_orderkey": list(range(len(commits))), "o_custkey": [session for session, _ in commits]}), tmp_path / "orders.parquet")
+    got = registry.QUERIES["blast_radius"](spark, str(tmp_path))
+    assert spark_rows(got) == sql_rows(str(tmp_path), registry.ORACLE_SQL["blast_radius"])
+    found = {r["session"]: r["partners"] for r in got.collect()}
+    assert (found[1], found[2], found[3]) == ([9001], [9101, 9102], [9205, 9206])
+    assert not any("BroadcastExchange" in line for line in plan(got))

@@ -90,6 +90,21 @@ def cochange_pairs(commits: DataFrame, *, bulk: int, min_count: int, limit: int)
     return scored.orderBy(F.desc("count"), F.desc("confidence"), "file_a", "file_b").limit(limit)
 
 
+def cochange_ties(commits: DataFrame, files: DataFrame, *, min_count: int) -> DataFrame:
+    """(id, other, count, confidence): all that the given files (id) change together with, in min_count commits or more.
+
+    Every commit counts, whatever its size, and no tie is left out for its place among all;
+    only pairs without a given file aren't made. Nothing is gathered: commits are dealt by
+    file to be counted, then by commit to be paired.
+    """
+    commits = commits.filter("hash is not null and file is not null").select("hash", "file").repartition("file").distinct()
+    known = commits.join(commits.groupBy("file").agg(F.count("*").alias("occ")).hint("merge"), "file")
+    given = known.join(files.select(F.col("id").alias("file")).distinct().hint("merge"), "file", "left_semi")
+    left, right = given.withColumnsRenamed({"file": "id", "occ": "occ_a"}), known.withColumnsRenamed({"file": "other", "occ": "occ_b"})
+    met = left.join(right.hint("merge"), "hash").filter("id <> other").groupBy("id", "other").agg(F.count("*").alias("count"), F.min(F.least("occ_a", "occ_b")).alias("occ"))
+    return met.filter(F.col("count") >= min_count).select("id", "other", "count", F.round(F.col("count") / F.col("occ"), 6).alias("confidence"))
+
+
 def partner_degree(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("file_a", "file_b")).alias("path")).groupBy("path").agg(F.count("*").alias("degree"))
 
